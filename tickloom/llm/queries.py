@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontam
+from tickloom.llm import bpe, decontam, token_fsm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": decontam.op1_decontamination}
+    return {
+        "op1_decontamination": decontam.op1_decontamination,
+        "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_token_counts": token_fsm.op4_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
