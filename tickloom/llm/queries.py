@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontam, token_fsm
+from tickloom.llm import bpe, decontam, token_files, token_fsm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_token_files": token_files.op2_token_files,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_token_counts": token_fsm.op4_token_counts,
     }
