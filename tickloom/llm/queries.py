@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontam, token_files, token_fsm
+from tickloom.llm import bpe, decontam, html_region, quality_gam, token_files, token_fsm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": token_files.op2_token_files,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_token_counts": token_fsm.op4_token_counts,
+        "op5_quality": quality_gam.op5_quality,
+        "op8_html_text": html_region.op8_html_text,
     }
 
 
