@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontam, html_region, quality_gam, token_files, token_fsm
+from tickloom.llm import bpe, decontam, html_region, quality_gam, secrets, token_files, token_fsm, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": token_fsm.op4_token_counts,
         "op5_quality": quality_gam.op5_quality,
         "op8_html_text": html_region.op8_html_text,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_secrets": secrets.op10_secrets,
     }
 
 
