@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontam, html_region, ngram_join, quality_gam, secrets, token_files, token_fsm, toxicity
+from tickloom.llm import ann_forest, bpe, decontam, html_region, ngram_join, quality_gam, secrets, token_files, token_fsm, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": token_fsm.op4_token_counts,
         "op5_quality": quality_gam.op5_quality,
         "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op7_nearest": ann_forest.op7_nearest,
         "op8_html_text": html_region.op8_html_text,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
