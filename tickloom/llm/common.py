@@ -23,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that reach Python workers."""
+    """Bounds the batches of texts that the scan decodes and that reach Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(2 * BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tickloom.llm import ann_forest, bpe, decontam, html_region, ngram_join, quality_gam, secrets, token_files, token_fsm, toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": html_region.op8_html_text,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
+        "pipeline": corpus_pipeline.run,
     }
 
 
