@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import bar_queries  # noqa: F401
+from tickloom.plans import bar_queries, trade_queries  # noqa: F401
 from tickloom.plans.registry import QUERIES, SQL
 
 
