@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +22,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN stands for "no value" in numeric feeds; in frames that is null."""
     real = [c for c, t in df.dtypes if t in ("double", "float")]
     return df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in real}) if real else df
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, which only a local session may lack."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/tickloom-shared"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
