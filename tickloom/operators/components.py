@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.operators.align import merge_child
 from tickloom.session import KEYS
@@ -51,9 +52,7 @@ class Component:
 def predict(df: DataFrame, inputs: list[str], model: Callable[[np.ndarray], np.ndarray], name: str, outputs: int = 1) -> DataFrame:
     """Adds a model's predictions; it sees batches of rows as a matrix. Inputs must be numbers."""
     names = signal_names(name, outputs)
-    schema = df.schema
-    for n in names:
-        schema = schema.add(n, "double")
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -48,7 +48,7 @@ def holdout(df: DataFrame, train: float, val: float) -> DataFrame:
 def folds(n_dates: int, n_splits: int = 5, max_train: int | None = None, test_size: int | None = None, gap: int = 0) -> list[tuple[int, int, int, int]]:
     """(train from, train to, test from, test to) of expanding windows; ends are exclusive."""
     test = test_size or n_dates // (n_splits + 1)
-    if n_dates - gap - test * n_splits <= 0:
+    if test < 1 or n_dates - gap - test * n_splits <= 0:
         raise ValueError("there are too few dates for so many splits")
     out = []
     for k in range(n_splits):
