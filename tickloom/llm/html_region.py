@@ -110,7 +110,8 @@ def score(kind: str, value: str, context: tuple[str, ...], excluded: bool, weigh
     if kind == "words":
         w = weights.get(f"words {place(context, excluded)}", -1.0 if excluded or "a" in context else 0.5)
         return len(value.split()) * (min(w, -0.5) if excluded else w)
-    return max(-1.0, min(-0.01, weights.get(f"{kind} {value}", 0.0) - 0.5))
+    unknown = 0.45 if value in INLINE and value != "a" else 0.0
+    return max(-1.0, min(-0.01, weights.get(f"{kind} {value}", unknown) - 0.5))
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
