@@ -41,7 +41,7 @@ class Forest:
         self.n_leaves = 0
         random = np.random.default_rng(seed)
         self.roots = [self._grow(x, depth, random) for _ in range(trees)]
-        self.matrix = np.array(self.planes).reshape(len(self.planes), -1)
+        self.matrix = np.array(self.planes).reshape(len(self.planes), x.shape[1])
         self.shift = np.array(self.offsets)
 
     def _grow(self, x: np.ndarray, depth: int, random) -> int:
@@ -62,7 +62,7 @@ class Forest:
         return -self.n_leaves
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.matrix.T - self.shift if len(self.planes) else np.zeros((len(x), 0))
+        return x @ self.matrix.T - self.shift
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree."""
@@ -115,6 +115,8 @@ def calibrated(forest: Forest, x: np.ndarray, k: int = K, trials: int = TRIALS,
 
 def _classes(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        if not len(batch):
+            continue
         kept = batch.sort_values("id").groupby("raw", sort=False)["id"].apply(lambda s: s.head(most).tolist())
         yield pd.DataFrame({"raw": kept.index, "ids": kept.values})
 
@@ -149,6 +151,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             yield pd.DataFrame({"id": b["id"], "raw": [np.asarray(v, dtype=np.float64).tobytes() for v in b["v"]]})
 
     packed = rows.mapInPandas(pack, "id bigint, raw binary")
@@ -191,7 +195,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     def rerank(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"id": [], "raw": [], "ids": [], "score": []})
+            return pd.DataFrame({"id": np.empty(0, np.int64), "raw": np.empty(0, object), "ids": np.empty(0, object), "score": np.empty(0)})
         a, b = (np.frombuffer(b"".join(z["raw"]), np.float64).reshape(len(z), -1) for z in (q, c))
         la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         most = min(2 * k + 2, len(b))

@@ -75,7 +75,8 @@ def mine_terms(sample: DataFrame, max_voters: int = VOTERS) -> list[tuple[str, i
                     row = sums.setdefault(term, [0] * (2 * LEVELS))
                     for k, vote in enumerate(votes(n, total)):
                         row[2 * k + int(y)] += vote
-            yield pd.DataFrame({"term": list(sums), "n": list(sums.values())})
+            if sums:
+                yield pd.DataFrame({"term": list(sums), "n": list(sums.values())})
 
     clean, toxic = (int(sample.agg(F.coalesce(F.sum((F.col("y") == v).cast("int")), F.lit(0))).first()[0]) for v in (0, 1))
     counted = sample.select("text", "y").mapInPandas(count, "term string, n array<bigint>")
@@ -175,15 +176,15 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 2
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_voters: int = VOTERS) -> tuple[list[tuple[str, int]], np.ndarray]:
     """Voters and weights, from ``labels.toxic`` of at most ``max_rows`` labelled texts outside the held-out fold.
 
-    Without labelled rows, or with one class only, there are no voters and scores are constant.
+    Without labelled rows all scores are 0.5; with clean ones only there are no voters.
     """
     sample = labelled_sample(docs, labels, "toxic", max_rows)
     terms = mine_terms(sample, max_voters)
     row_of = _row_udf(terms)
     rows = sorted(tuple(r) for r in sample.select("doc_id", "y", row_of("text").alias("x")).collect())
-    x, y = np.array([r[2] for r in rows], dtype=float).reshape(len(rows), -1), np.array([r[1] for r in rows], dtype=float)
-    if not len(rows):
+    if not rows:
         return terms, np.zeros(len(Counters(terms).row("")) + 1)
+    x, y = np.array([r[2] for r in rows], dtype=float), np.array([r[1] for r in rows], dtype=float)
     return terms, fit_linear(x, label_model(x[:, : len(terms)], y))
 
 
