@@ -10,8 +10,9 @@ pruned by size and by the Hamming distance of a second, short bit sketch, and ve
 the sets.
 
 Copies cannot blow this up. Documents with equal sets are one class. Classes that share a part
-are compared with the least of them only; after components are formed, comparisons go on just
-between classes of different components.
+are compared with the one among them that shares most with all, the middle of a group of
+copies; after components are formed, comparisons go on just between classes of different
+components.
 
 Nodes are 64-bit digests of whole sets; sets are compared as 64-bit hashes of shingles.
 """
@@ -98,12 +99,14 @@ def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     return out
 
 
-def part_keys(s: np.ndarray, band: int, apart: int) -> tuple[np.ndarray, int]:
+def part_keys(s: np.ndarray, band: int, apart: int, fine: bool = False) -> tuple[np.ndarray, int]:
     """Keys of a set's parts in a band, and how many of them are beyond the D + 1 that must be looked at.
 
     Parts without shingles come last in the order of rarity, so they are sent only if needed.
+    ``fine`` parts hold one shingle at most as a rule, so that each edit costs a part.
     """
-    parts = apart + 1 + (apart // 5 + 1 if apart else 0)
+    spare = 15 * apart if fine else max(apart // 5, min(apart, 8)) + 1
+    parts = apart + 1 + (spare if apart else 0)
     at = (_mix(s, 80) % np.uint64(parts)).astype(np.int64)
     xor = np.zeros(parts, dtype=np.uint64)
     np.bitwise_xor.at(xor, at, _mix(s, 81))
@@ -127,7 +130,7 @@ def _members(text_col: str):
     return measure(F.col(text_col))
 
 
-def _send_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[pa.RecordBatch]:
     sent: set[int] = set()
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -140,25 +143,29 @@ def _send_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(sent) < SENT_NODES:
                     sent.add(node)
                 for band, apart in bands(len(s)):
-                    k, spare = part_keys(s, band, apart)
+                    k, spare = part_keys(s, band, apart, fine)
                     keys.append(k)
                     nodes.append(np.full(len(k), node))
                     tags.append(np.full(len(k), band << 24 | spare, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, tags)], ["key", "node", "tag"])
 
 
-def rare_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, node) of the parts over which classes must meet; keys that one class alone has are gone."""
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(_send_parts, "key bigint, node bigint, tag int")
+def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False) -> DataFrame:
+    """(key, node, pop) of the parts over which classes must meet; keys that one class alone has are gone.
+
+    ``pop`` is large for classes whose parts many others have: the middle of a group of copies.
+    """
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(lambda batches: _send_parts(batches, fine), "key bigint, node bigint, tag int")
     counted = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").dropDuplicates(["key", "node", "tag"])
     mine = Window.partitionBy("node", F.shiftright("tag", 24))
     spare = F.col("tag").bitwiseAND((1 << 24) - 1)
     return (
         counted.withColumn("place", F.row_number().over(mine.orderBy("c", "key")))
         .withColumn("all", F.count(F.lit(1)).over(mine))
+        .withColumn("pop", F.sum("c").over(mine))
         .where(F.col("place") <= F.col("all") - spare)
-        .select("key", "node")
-        .distinct()
+        .groupBy("key", "node")
+        .agg(F.max("pop").alias("pop"))
     )
 
 
@@ -218,31 +225,47 @@ class NearDuplicates:
         """Pairs that are similar. Only the texts of classes in question are read on."""
         pairs = checkpointed(self.spark, self.pruned(pairs), "candidates")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = asked.join(self.classes.select("node", "id"), "node")
-        texts = self.docs.join(wanted, "id").select("node", "text")
-        sets = checkpointed(self.spark, texts.mapInArrow(_set_bytes, "node bigint, members binary").dropDuplicates(["node"]), "sets")
+        sets = checkpointed(self.spark, self.texts(asked).mapInArrow(_set_bytes, "node bigint, members binary").dropDuplicates(["node"]), "sets")
         for side in "ba":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}")), side)
         return checkpointed(self.spark, pairs.where(_similar(self.percent)("ma", "mb")).select("a", "b"), "verified")
 
-    def labelled(self, links: DataFrame) -> DataFrame:
-        """``parts`` with the component of each node."""
-        found = components(links)
-        return self.parts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of classes."""
+        return self.docs.join(nodes.join(self.classes.select("node", "id"), "node"), "id").select("node", "text")
+
+    def stars(self, parts: DataFrame) -> DataFrame:
+        """Each class with the middle one of all that it shares a part with, as pairs a < b."""
+        hub = F.max(F.struct("pop", "node")).over(Window.partitionBy("key"))
+        found = parts.withColumn("hub", hub).where(F.col("hub.node") != F.col("node")).groupBy("node").agg(F.max("hub").alias("hub"))
+        pairs = found.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        return checkpointed(self.spark, pairs, "stars")
+
+    def open(self, parts: DataFrame, links: DataFrame) -> DataFrame:
+        """(key, node, component, pop) where classes of several components share a part."""
+        known = parts.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spread = Window.partitionBy("key")
+        ends = known.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
+        return checkpointed(self.spark, ends.where("lo < hi").select("key", "node", "component", "pop"), "open")
 
     def links(self) -> DataFrame:
-        least = self.parts.withColumn("a", F.min("node").over(Window.partitionBy("key")))
-        stars = checkpointed(self.spark, least.where("a < node").select("a", F.col("node").alias("b")).distinct(), "stars")
-        first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        """Links that join all similar classes into one component each.
+
+        Copies that lie just too far from the middle of their group share coarse parts with all
+        of it. Those classes, and only those, are taken through fine parts, where what they
+        share with one another must be rarer than what the group shares.
+        """
+        first = self.stars(self.parts)
         links = self.verified(first)
-        # What is left: classes that share a part and are not in one component yet.
-        rest = self.labelled(links)
-        spread = Window.partitionBy("key")
-        open_ = rest.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread)).where("lo < hi").select("key", "node", "component")
-        open_ = checkpointed(self.spark, open_, "open")
+        left = self.open(self.parts, links).select("node").distinct()
+        parts = checkpointed(self.spark, rare_parts(self.texts(left), fine=True), "fine")
+        second = self.stars(parts).join(first, ["a", "b"], "left_anti")
+        links = checkpointed(self.spark, links.union(self.verified(second)), "links")
+        open_ = self.open(parts, links).drop("pop")
         other = open_.toDF("key", "b", "of_b")
         crossing = open_.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("of_b"))).select("a", "b").distinct()
-        return links.union(self.verified(crossing.join(first, ["a", "b"], "left_anti")))
+        tried = first.union(second)
+        return links.union(self.verified(crossing.join(tried, ["a", "b"], "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
