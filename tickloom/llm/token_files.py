@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -38,14 +39,15 @@ from tickloom.llm.common import is_plain, shared_dir, short_batches, table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 16_000_000
-CACHE_PIECES = 400_000
+#: Words, or pieces of words, of a generation. A worker remembers two of each; what both have met stays.
+CACHED = 350_000
 MAGIC = b"TLOOM\x00\x00\x01"
 
 MANIFEST = "part int, seq int, path string, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint"
 
-#: The tokenizer's splitting pattern for lower-case characters that is_plain() admits.
-_PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: The tokenizer's splitting pattern, and the same for lower-case words of characters that is_plain() admits.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -151,42 +153,63 @@ class Shard:
         return [self.ids[self.offsets[r] : self.offsets[r + 1]] for r in range(first, first + count)]
 
 
+class Memory(dict):
+    """What was met, in two generations: what is asked for again moves into the present one."""
+
+    def __init__(self, learn):
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > CACHED:
+            self.older = dict(self)
+            self.clear()
+        if (out := self.older.get(key)) is None:
+            out = self.learn(key)
+        self[key] = out
+        return out
+
+
 class Encoder:
-    """Ids as the tokenizers library gives them; pieces met before come from memory."""
+    """Ids as the tokenizers library gives them; words and pieces met before come from memory.
+
+    Where the tokenizer splits at white space in any case, a text's ids are those of its
+    words one after another, and a word's those of its pieces.
+    """
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
-        splits = [p.get("pattern", {}).get("Regex") for p in pre.get("pretokenizers", []) if p["type"] == "Split"]
-        self.by_piece = splits == [PIECES]
+        self.by_word = [p.get("pattern", {}).get("Regex") for p in pre.get("pretokenizers", []) if p["type"] == "Split"] == [PIECES]
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special) or r"(?!)")
         size = max(self.library.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1)
         self.width = 2 if size <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
-        self.cache: dict[str, bytes] = {}
+        self.pieces = Memory(self._whole)
+        self.words = Memory(self._word)
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+    def _whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.pieces[word]
+        return b"".join(map(self.pieces.__getitem__, _PLAIN_PIECES.findall(word)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split: list[list[str] | None] = []
+        out = []
         for t in texts:
             t = t or ""
-            plain = self.by_piece and is_plain(t) and not ("<" in t and self.special.search(t))
-            split.append(_PLAIN_PIECES.findall(t.lower()) if plain else None)
-        wanted = set().union(*(s for s in split if s))
-        if len(self.cache) + len(wanted) > CACHE_PIECES:
-            self.cache.clear()
-        new = [p for p in wanted if p not in self.cache]
-        for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.cache[p] = self._bytes(e.ids)
-        whole = iter(self.library.encode_batch([t for t, s in zip(texts, split) if s is None], add_special_tokens=False))
-        ids = self.cache.__getitem__
-        raw = (b"".join(map(ids, s)) if s is not None else self._bytes(next(whole).ids) for s in split)
-        return [np.frombuffer(r + self.end, dtype=f"<u{self.width}") for r in raw]
+            if self.by_word and is_plain(t) and not ("<" in t and self.special.search(t)):
+                raw = b"".join(map(self.words.__getitem__, t.lower().split()))
+            else:
+                raw = self._whole(t)
+            out.append(np.frombuffer(raw + self.end, dtype=f"<u{self.width}"))
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
