@@ -136,7 +136,7 @@ def backtest_stops(spark, d):
 
 @query()
 def backtest_limits(spark, d):
-    """Limit orders with trailing stops and time windows; a literal loop in the tests is its oracle."""
+    """Limit orders with trailing stops and time windows; the tests hold the machine against hand-worked bars."""
     s = signals(spark, d).withColumns({"order_price": F.col("close") * F.when(F.col("signal") > 0, 0.95).otherwise(1.05), "order_quantity": F.lit(1.0), "trailing_stop": F.lit(0.4), "time_window": F.lit(6), "entry_fill": F.lit("open")})
     return rounded(pb.run_machine(s))
 
@@ -210,7 +210,7 @@ def portfolio_machine(spark, d):
 
 @query()
 def portfolio_drift(spark, d):
-    """Two scenarios with products that keep what they hold on some dates; a literal loop in the tests is its oracle."""
+    """Two scenarios with products that keep what they hold on some dates; the tests check its books."""
     w = weighted(spark, d).withColumn("scenario", F.explode(F.array(F.lit(1), F.lit(2))))
     return rounded(pf.run_portfolio(w.withColumn("weight", F.when(F.dayofmonth("date") % (F.col("scenario") + 1) == 0, F.col("weight")))), 4)
 
