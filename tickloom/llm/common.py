@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may be long, so batches are kept short: a batch
 #: of this many texts is what one Python worker holds at a time.
@@ -49,6 +50,14 @@ def checkpointed(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those of least hash of ``key``. Only hashes are sorted; rows are filtered by the last one."""
+    name = free_name(df, "hash")
+    hashed = df.withColumn(name, F.xxhash64(key))
+    last = hashed.select(name).orderBy(name).limit(rows).agg(F.max(name)).first()[0]
+    return hashed.where(F.col(name) <= F.lit(last)).drop(name).limit(rows)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many leading underscores as it takes to be new in ``df``."""
     taken = {c.lower() for c in df.columns}

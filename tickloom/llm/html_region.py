@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickloom.llm.common import short_batches, table
+from tickloom.llm.common import hashed_sample, short_batches, table
 
 LABELLED_PAGES = 400
 
@@ -137,8 +137,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def learned_weights(pages: DataFrame, html_col: str = "html", max_pages: int = LABELLED_PAGES) -> dict[str, float]:
     marked = pages.select(F.col(html_col).alias("h")).where(F.col("h").rlike(r"(?i)<(article|main)\b"))
-    sample = marked.withColumn("k", F.xxhash64("h")).orderBy("k", "h").limit(max_pages)
-    return learn([r["h"] for r in sample.select("h").collect()])
+    return learn(sorted(r["h"] for r in hashed_sample(marked, F.col("h"), max_pages).collect()))
 
 
 def extractor(weights: dict[str, float]):
