@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import checkpointed, table
+from tickloom.llm.common import checkpointed, hashed_sample, table
 
 K, EVERY = 5, 50
 TREES, DEPTH, LEAST_LEAF = 6, 7, 16
@@ -140,10 +140,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
-    some = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()]
+    some = [v for _, v in sorted((r["id"], r["v"]) for r in hashed_sample(rows, F.col("id"), sample).collect())]
     lengths = [len(v) for v in some]
     dims = max(set(lengths), key=lengths.count) if some else 0
     x = _unit(np.array([v for v in some if len(v) == dims]).reshape(-1, max(dims, 1)))
+    x = x[np.random.default_rng(5).permutation(len(x))]
     forest = Forest(x)
     probes = calibrated(forest, x, k, recall=recall)
     held = spark.sparkContext.broadcast(forest)
