@@ -65,6 +65,19 @@ def test_encoder_matches_library(library, monkeypatch):
         assert [x[:-1].tolist() for x in e.encode(TEXTS)] == [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_every_code_point_below_256(library):
+    """\\x1c to \\x1f are white space to Python alone."""
+    path = P.path("word_bpe_49k.json")
+    e, t, b = token_files.Encoder(path, None), token_fsm.Transducer(path), bpe.Bpe(P.path(bpe.VOCABULARY), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    for c in map(chr, range(256)):
+        for text in (c, f"ab{c}cd", f"a{c}{c}'s", f"1{c}é!", f"中 x{c}y", f"don't{c}stop " * 5):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert e.encode([text])[0].tolist() == want, text
+            assert [t.count(text, chunk=k) for k in (1, 2, 7, token_fsm.CHUNK)] == [len(want)] * 4, text
+            assert np.frombuffer(b.encode([text])[0], "<u4").tolist() == enc.encode_ordinary(text), text
+
+
 def test_perfect_hash():
     keys = np.array(rnd.sample(range(-(10**12), 10**12), 5000))
     h = token_files.PerfectHash.build(keys)

@@ -67,4 +67,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def is_plain(text: str) -> bool:
-    return text.isascii() and "\x1f" not in text or _PLAIN.fullmatch(text) is not None
+    """Python takes \\x1c to \\x1f for white space and the libraries do not, so a text with one of them is not plain."""
+    if text.isascii():
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return _PLAIN.fullmatch(text) is not None

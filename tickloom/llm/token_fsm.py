@@ -308,7 +308,7 @@ class Transducer:
     # Chunks: (head, None, None) without white space, else (head, count, state); head is read from the state before.
 
     def chunk_map(self, text: str, read) -> tuple:
-        space = re.search(r"\s", text)
+        space = next((m for m in re.finditer(r"\s", text) if self.kind(m[0])[0] == "S"), None)
         if not space:
             return text, None, None
         state, count = read(text[space.end() :])
