@@ -52,6 +52,17 @@ def test_join_matches_brute_force(spark):
     assert got == sorted(brute(rows), key=str)
 
 
+def test_join_at_80(spark):
+    """Pairs of 80 to 85 %, of sizes on both sides of a band's end and within one."""
+    rows = []
+    for size in (62, 126, 254, 100, 200):
+        for group in range(6):
+            longer = [f"b{size}x{group}x{k}" for k in range(size + 3 + 24 * size // 100)]
+            rows += [(len(rows), " ".join(longer)), (len(rows) + 1, " ".join(longer[: size + 3]))]
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect())
+    assert got == sorted(brute(rows, 80)) and len({component for *_, component in got}) == len(rows) // 2
+
+
 def test_empty_join(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(df).count() == 0
@@ -73,6 +84,14 @@ def test_bands_meet():
             assert any(apart >= ngram_join.most_apart(n, m) for _, apart in shared), (n, m)
 
 
+@pytest.mark.parametrize("percent", [30, 80])
+def test_bands_meet_at_other_similarities(percent):
+    for n in range(1, 400):
+        for m in range(-(-percent * n // 100), n + 1):
+            shared = set(ngram_join.bands(n, percent)) & set(ngram_join.bands(m, percent))
+            assert any(apart >= ngram_join.most_apart(n, m, percent) for _, apart in shared), (n, m)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 3)]
     df = spark.createDataFrame(links, "a long, b long")

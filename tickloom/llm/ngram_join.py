@@ -2,7 +2,7 @@
 
 A parity sketch XORs a mark of each shingle into one of P parts. Two sets' sketches differ
 in at most as many parts as the sets' symmetric difference has members, and a similarity of
-``PERCENT`` bounds that difference by D for sets of given sizes. So with P = D + 1 + spare
+``percent`` bounds that difference by D for sets of given sizes. So with P = D + 1 + spare
 parts, similar sets agree in 1 + spare parts at least, and must share one of the D + 1 parts
 that are rarest for each. Sets meet within bands of size, where D is a constant; a set near a
 band's upper end also visits the band below as a guest. Candidates that share such a part are
@@ -90,12 +90,10 @@ def most_apart(a: int, b: int, percent: int = PERCENT) -> int:
 
 def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """(band, D) of a set of n members: sizes from 2^band to below twice that, and D for its largest pair."""
-    home = n.bit_length() - 1
-    out = []
-    for band in (home, home - 1)[: 1 + (home > 0)]:
-        largest = (2 << band) - 1
-        if band == home or 100 * largest >= percent * n:
-            out.append((band, most_apart(largest, largest * 100 // percent, percent)))
+    band, out = n.bit_length() - 1, []
+    while band >= 0 and 100 * (largest := (2 << band) - 1) >= percent * n:
+        out.append((band, most_apart(largest, largest * 100 // percent, percent)))
+        band -= 1
     return out
 
 
@@ -130,7 +128,7 @@ def _members(text_col: str):
     return measure(F.col(text_col))
 
 
-def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[pa.RecordBatch]:
+def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool, percent: int) -> Iterator[pa.RecordBatch]:
     sent: set[int] = set()
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -142,7 +140,7 @@ def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[pa.Re
                     continue
                 if len(sent) < SENT_NODES:
                     sent.add(node)
-                for band, apart in bands(len(s)):
+                for band, apart in bands(len(s), percent):
                     k, spare = part_keys(s, band, apart, fine)
                     keys.append(k)
                     nodes.append(np.full(len(k), node))
@@ -150,12 +148,12 @@ def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, tags)], ["key", "node", "tag"])
 
 
-def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False) -> DataFrame:
+def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False, percent: int = PERCENT) -> DataFrame:
     """(key, node, pop) of the parts over which classes must meet; keys that one class alone has are gone.
 
     ``pop`` is large for classes whose parts many others have: the middle of a group of copies.
     """
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(lambda batches: _send_parts(batches, fine), "key bigint, node bigint, tag int")
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(lambda batches: _send_parts(batches, fine, percent), "key bigint, node bigint, tag int")
     counted = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").dropDuplicates(["key", "node", "tag"])
     mine = Window.partitionBy("node", F.shiftright("tag", 24))
     spare = F.col("tag").bitwiseAND((1 << 24) - 1)
@@ -210,7 +208,7 @@ class NearDuplicates:
         self.members = checkpointed(spark, measured, "members")
         some = self.members.where("n > 0").groupBy("node")
         self.classes = checkpointed(spark, some.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-        self.parts = checkpointed(spark, rare_parts(self.docs), "parts")
+        self.parts = checkpointed(spark, rare_parts(self.docs, percent=percent), "parts")
 
     def pruned(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and short sketches allow them to be similar."""
@@ -258,7 +256,7 @@ class NearDuplicates:
         first = self.stars(self.parts)
         links = self.verified(first)
         left = self.open(self.parts, links).select("node").distinct()
-        parts = checkpointed(self.spark, rare_parts(self.texts(left), fine=True), "fine")
+        parts = checkpointed(self.spark, rare_parts(self.texts(left), fine=True, percent=self.percent), "fine")
         second = self.stars(parts).join(first, ["a", "b"], "left_anti")
         links = checkpointed(self.spark, links.union(self.verified(second)), "links")
         open_ = self.open(parts, links).drop("pop")
