@@ -15,6 +15,10 @@ from tickloom.llm import bpe, decontam, ngram_join, secrets, toxicity
 from tickloom.llm.common import checkpointed, free_name, table
 
 
+#: Near copies share this percentage of their shingles of so many words; op6_ngram_join has values of its own.
+COPY_WORDS, COPY_PERCENT = 5, 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     terms, weights = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Only ids are dropped by the join: those that are not the least of their component.
     """
-    found = ngram_join.near_duplicates(docs)
+    found = ngram_join.near_duplicates(docs, words=COPY_WORDS, percent=COPY_PERCENT)
     keep = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tickloom.llm import ann_forest, ngram_join
 from tickloom.llm.components import components
 
@@ -63,6 +64,18 @@ def test_join_at_80(spark):
     assert got == sorted(brute(rows, 80)) and len({component for *_, component in got}) == len(rows) // 2
 
 
+def test_pipeline_stage_takes_five_words_and_80(spark):
+    """A long tail, isolated replacements, and texts just too far apart, against brute force."""
+    base = [[f"b{g}x{k}" for k in range(1000)] for g in range(4)]
+    spread = [{k * 1000 // n + 20: f"o{k}" for k in range(n)} for n in (21, 23)]
+    texts = [*base, base[0] + [f"t{k}" for k in range(220)], [spread[0].get(k, w) for k, w in enumerate(base[1])]]
+    texts += [base[2] + [f"t{k}" for k in range(260)], [spread[1].get(k, w) for k, w in enumerate(base[3])], ["a", "b", "c", "d"], ["A", "b", "c", "d"]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} for t in ([w.lower() for w in t] for t in texts)]
+    kept = [i for i, s in enumerate(sets) if not any(10 * len(s & t) >= 8 * len(s | t) for t in sets[:i])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == kept == [0, 1, 2, 3, 6, 7, 8]
+
+
 def test_empty_join(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(df).count() == 0

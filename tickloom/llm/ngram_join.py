@@ -117,24 +117,24 @@ def part_keys(s: np.ndarray, band: int, apart: int, fine: bool = False) -> tuple
     return used.view(np.int64), len(used) - apart - 1
 
 
-def _members(text_col: str):
+def _members(text_col: str, words: int):
     @pandas_udf("n int, node bigint, sketch array<bigint>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for texts in batches:
-                sets = [shingles(t) for t in texts]
+                sets = [shingles(t, words) for t in texts]
                 yield pd.DataFrame({"n": [len(s) for s in sets], "node": [node_of(s) for s in sets], "sketch": [bit_sketch(s) for s in sets]})
 
     return measure(F.col(text_col))
 
 
-def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool, percent: int) -> Iterator[pa.RecordBatch]:
+def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     sent: set[int] = set()
     with np.errstate(over="ignore"):
         for batch in batches:
             keys, nodes, tags = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for text in batch.column(0).to_pylist():
-                s = shingles(text)
+                s = shingles(text, words)
                 node = node_of(s)
                 if not len(s) or node in sent:
                     continue
@@ -148,12 +148,12 @@ def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool, percent: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, tags)], ["key", "node", "tag"])
 
 
-def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False, percent: int = PERCENT) -> DataFrame:
+def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, node, pop) of the parts over which classes must meet; keys that one class alone has are gone.
 
     ``pop`` is large for classes whose parts many others have: the middle of a group of copies.
     """
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(lambda batches: _send_parts(batches, fine, percent), "key bigint, node bigint, tag int")
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(lambda batches: _send_parts(batches, fine, words, percent), "key bigint, node bigint, tag int")
     counted = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").dropDuplicates(["key", "node", "tag"])
     mine = Window.partitionBy("node", F.shiftright("tag", 24))
     spare = F.col("tag").bitwiseAND((1 << 24) - 1)
@@ -167,12 +167,12 @@ def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False, perc
     )
 
 
-def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_bytes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
             nodes, sets = [], []
             for node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingles(text)
+                s = shingles(text, words)
                 if node_of(s) == node:
                     nodes.append(node)
                     sets.append(s.tobytes())
@@ -199,16 +199,16 @@ def _apart(a: Column, b: Column) -> Column:
 class NearDuplicates:
     """The join over one table: ``members`` has every document, ``links`` similar classes."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT):
         spark = docs.sparkSession
         short_batches(spark)
-        self.spark, self.percent = spark, percent
+        self.spark, self.words, self.percent = spark, words, percent
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        measured = self.docs.select("id", _members("text").alias("m")).select("id", "m.*")
+        measured = self.docs.select("id", _members("text", words).alias("m")).select("id", "m.*")
         self.members = checkpointed(spark, measured, "members")
         some = self.members.where("n > 0").groupBy("node")
         self.classes = checkpointed(spark, some.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-        self.parts = checkpointed(spark, rare_parts(self.docs, percent=percent), "parts")
+        self.parts = checkpointed(spark, rare_parts(self.docs, words=words, percent=percent), "parts")
 
     def pruned(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and short sketches allow them to be similar."""
@@ -223,7 +223,8 @@ class NearDuplicates:
         """Pairs that are similar. Only the texts of classes in question are read on."""
         pairs = checkpointed(self.spark, self.pruned(pairs), "candidates")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = checkpointed(self.spark, self.texts(asked).mapInArrow(_set_bytes, "node bigint, members binary").dropDuplicates(["node"]), "sets")
+        words = self.words
+        sets = checkpointed(self.spark, self.texts(asked).mapInArrow(lambda batches: _set_bytes(batches, words), "node bigint, members binary").dropDuplicates(["node"]), "sets")
         for side in "ba":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}")), side)
         return checkpointed(self.spark, pairs.where(_similar(self.percent)("ma", "mb")).select("a", "b"), "verified")
@@ -256,7 +257,7 @@ class NearDuplicates:
         first = self.stars(self.parts)
         links = self.verified(first)
         left = self.open(self.parts, links).select("node").distinct()
-        parts = checkpointed(self.spark, rare_parts(self.texts(left), fine=True, percent=self.percent), "fine")
+        parts = checkpointed(self.spark, rare_parts(self.texts(left), fine=True, words=self.words, percent=self.percent), "fine")
         second = self.stars(parts).join(first, ["a", "b"], "left_anti")
         links = checkpointed(self.spark, links.union(self.verified(second)), "links")
         open_ = self.open(parts, links).drop("pop")
@@ -266,14 +267,16 @@ class NearDuplicates:
         return links.union(self.verified(crossing.join(tried, ["a", "b"], "left_anti")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: its id, ``n_shingles`` and ``component_id``, the least id reachable over links.
 
+    Texts link whose sets of shingles of ``words`` words are similar to ``percent`` or more.
+
     Documents with equal sets link; null and empty texts link with nothing and are their own
     component, as are documents of no link. A null id belongs to its texts' component but is
     never its least id. Repeated rows stay. Other columns are not read.
     """
-    joined = NearDuplicates(docs, id_col, text_col, percent)
+    joined = NearDuplicates(docs, id_col, text_col, words, percent)
     found = components(joined.links())
     least = joined.classes.join(found, "node").groupBy("component").agg(F.min("id").alias("least"))
     of_node = joined.classes.select("node", "id").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("least", "id").alias("least"))
