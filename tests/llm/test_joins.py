@@ -76,6 +76,17 @@ def test_pipeline_stage_takes_five_words_and_80(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == kept == [0, 1, 2, 3, 6, 7, 8]
 
 
+def test_null_id_bridges_and_one_id_of_many_texts(spark):
+    words = [f"w{k}" for k in range(260)]
+    rows = [(1, " ".join(words[:200])), (None, " ".join(words[:230])), (2, " ".join(words[:260]))]
+    rows += [(7, " ".join([f"x{g}y{k}" for k in range(30)] + ["z"] * (g % 2 + j))) for g in range(20) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.near_duplicates(df).collect()), key=str)
+    assert got == sorted(brute(rows), key=str) and (2, 257, 1) in got
+    joined = ngram_join.NearDuplicates(df, "doc_id", "text")
+    assert joined.texts(joined.classes.select("node")).count() == joined.classes.count() == len({t for _, t in rows})
+
+
 def test_empty_join(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(df).count() == 0

@@ -168,12 +168,17 @@ def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False, word
 
 
 def _set_bytes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    sent: set[int] = set()
     with np.errstate(over="ignore"):
         for batch in batches:
             nodes, sets = [], []
             for node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if node in sent:
+                    continue
                 s = shingles(text, words)
                 if node_of(s) == node:
+                    if len(sent) < SENT_NODES:
+                        sent.add(node)
                     nodes.append(node)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
@@ -203,11 +208,12 @@ class NearDuplicates:
         spark = docs.sparkSession
         short_batches(spark)
         self.spark, self.words, self.percent = spark, words, percent
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        measured = self.docs.select("id", _members("text", words).alias("m")).select("id", "m.*")
+        #: ``at`` finds a class's text again; ids may be null or repeated over many texts.
+        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("at", F.xxhash64("id", "text"))
+        measured = self.docs.select("id", "at", _members("text", words).alias("m")).select("id", "at", "m.*")
         self.members = checkpointed(spark, measured, "members")
         some = self.members.where("n > 0").groupBy("node")
-        self.classes = checkpointed(spark, some.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+        self.classes = checkpointed(spark, some.agg(F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
         self.parts = checkpointed(spark, rare_parts(self.docs, words=words, percent=percent), "parts")
 
     def pruned(self, pairs: DataFrame) -> DataFrame:
@@ -230,8 +236,8 @@ class NearDuplicates:
         return checkpointed(self.spark, pairs.where(_similar(self.percent)("ma", "mb")).select("a", "b"), "verified")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of classes."""
-        return self.docs.join(nodes.join(self.classes.select("node", "id"), "node"), "id").select("node", "text")
+        """(node, text) of classes, one text each but for repeated rows; where two texts have one hash, also the other's."""
+        return self.docs.join(nodes.join(self.classes.select("node", "at"), "node"), "at").select("node", "text")
 
     def stars(self, parts: DataFrame) -> DataFrame:
         """Each class with the middle one of all that it shares a part with, as pairs a < b."""
