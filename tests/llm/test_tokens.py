@@ -37,6 +37,16 @@ def test_small_caches_change_nothing(monkeypatch):
     test_bpe_matches_tiktoken()
 
 
+def test_many_long_pieces_in_one_batch():
+    """The queries have 400 MB and nowhere to spill."""
+    own = random.Random(11)
+    b = bpe.Bpe(P.path(bpe.VOCABULARY), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    texts = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(own.randint(100, 512))) for _ in range(700)]
+    texts += ["，".join("".join(chr(own.randrange(0x4E00, 0x9000)) for _ in range(15)) for _ in range(40)) for _ in range(64)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_transducer_matches_library(library, monkeypatch):
     t = token_fsm.Transducer(P.path(token_fsm.TOKENIZER))
     want = [len(library.encode(x or "", add_special_tokens=False).ids) for x in TEXTS]
