@@ -53,6 +53,27 @@ def test_join_matches_brute_force(spark):
     assert got == sorted(brute(rows), key=str)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_group_without_its_centre(spark, percent):
+    """Near copies of absent texts: replaced and dropped words, cut ends, copies of copies, and a shared passage."""
+    rows = []
+    for size in (12, 30, 60):
+        base = [f"m{size}x{k}" for k in range(size)]
+        for _ in range(70):
+            words = edited(base, rnd.randrange(1, 2 + size // 8))
+            for _ in range(rnd.choice((0, 0, 1, 2))):
+                del words[rnd.randrange(len(words))]
+            words = words[: rnd.choice((size, size, size * 9 // 10, size * 8 // 10))]
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(rnd.choice((0, 0, 0, 3))):
+                rows.append((len(rows), " ".join(edited(words, rnd.choice((1, 2))))))
+    for _ in range(40):
+        rows.append((len(rows), " ".join([f"o{rnd.randrange(10**6)}" for _ in range(8)] + [f"p{k}" for k in range(rnd.choice((8, 40)))])))
+    rnd.shuffle(rows)
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect())
+    assert got == sorted(brute(rows, percent))
+
+
 def test_join_at_80(spark):
     """Pairs of 80 to 85 %, of sizes on both sides of a band's end and within one."""
     rows = []

@@ -50,6 +50,14 @@ def checkpointed(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *written: DataFrame) -> None:
+    """Deletes folders that ``checkpointed`` wrote, once all that was made from them is written too."""
+    for df in written:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows, those of least hash of ``key``. Only hashes are sorted; rows are filtered by the last one."""
     name = free_name(df, "hash")

@@ -5,20 +5,24 @@ in at most as many parts as the sets' symmetric difference has members, and a si
 ``percent`` bounds that difference by D for sets of given sizes. So with P = D + 1 + spare
 parts, similar sets agree in 1 + spare parts at least, and must share one of the D + 1 parts
 that are rarest for each. Sets meet within bands of size, where D is a constant; a set near a
-band's upper end also visits the band below as a guest. Candidates that share such a part are
-pruned by size and by the Hamming distance of a second, short bit sketch, and verified on
-the sets.
-
-Copies cannot blow this up. Documents with equal sets are one class. Classes that share a part
-are compared with the one among them that shares most with all, the middle of a group of
-copies; after components are formed, comparisons go on just between classes of different
-components.
-
-Nodes are 64-bit digests of whole sets; sets are compared as 64-bit hashes of shingles.
+band's lower end also visits the bands below as a guest.
+
+Sets that share a part do not all meet one another. Each is compared with the part's hub, the
+set among them that shares most with all: the middle of a group of copies. XORing a set with
+its hub cancels what the whole group shares and leaves a small difference. Let A and B have
+differences of a and b members from one hub. If a + b is at most the D of the two, both link
+with the hub; else A and B are similar only if (a + b - D) / 2 members or more are in both
+differences, so they must share one of the few rarest members of each. Only pairs that do, and
+are not in one component yet, are pruned by size and by the Hamming distance of a short bit
+sketch, and verified on the sets.
+
+Documents with equal sets are one class. Nodes are 64-bit digests of whole sets; sets are
+compared as 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +33,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickloom.llm.common import checkpointed, short_batches, table
+from tickloom.llm.common import checkpointed, removed, short_batches, table
 from tickloom.llm.components import components
 
 WORDS, PERCENT = 4, 85
 CACHE_WORDS = 200_000
 #: Nodes whose parts a task remembers having sent, so that copies within it send nothing.
 SENT_NODES = 500_000
+#: Sides of so many rows of two numbers are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+#: First sizes of the bands. Narrow bands have a tight D, but more sets are guests in them.
+BAND_STARTS = sorted({int(1.4**i) for i in range(80)})
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -89,21 +97,20 @@ def most_apart(a: int, b: int, percent: int = PERCENT) -> int:
 
 
 def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(band, D) of a set of n members: sizes from 2^band to below twice that, and D for its largest pair."""
-    band, out = n.bit_length() - 1, []
-    while band >= 0 and 100 * (largest := (2 << band) - 1) >= percent * n:
+    """(band, D) of a set of n members: its own band and those below that have similar sets, and D for the largest pair."""
+    band, out = bisect_right(BAND_STARTS, n) - 1, []
+    while band >= 0 and 100 * (largest := BAND_STARTS[band + 1] - 1) >= percent * n:
         out.append((band, most_apart(largest, largest * 100 // percent, percent)))
         band -= 1
     return out
 
 
-def part_keys(s: np.ndarray, band: int, apart: int, fine: bool = False) -> tuple[np.ndarray, int]:
+def part_keys(s: np.ndarray, band: int, apart: int) -> tuple[np.ndarray, int]:
     """Keys of a set's parts in a band, and how many of them are beyond the D + 1 that must be looked at.
 
     Parts without shingles come last in the order of rarity, so they are sent only if needed.
-    ``fine`` parts hold one shingle at most as a rule, so that each edit costs a part.
     """
-    spare = 15 * apart if fine else max(apart // 5, min(apart, 8)) + 1
+    spare = max(apart // 5, min(apart, 8)) + 1
     parts = apart + 1 + (spare if apart else 0)
     at = (_mix(s, 80) % np.uint64(parts)).astype(np.int64)
     xor = np.zeros(parts, dtype=np.uint64)
@@ -128,7 +135,7 @@ def _members(text_col: str, words: int):
     return measure(F.col(text_col))
 
 
-def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool, words: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _send_parts(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     sent: set[int] = set()
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -141,24 +148,26 @@ def _send_parts(batches: Iterator[pa.RecordBatch], fine: bool, words: int, perce
                 if len(sent) < SENT_NODES:
                     sent.add(node)
                 for band, apart in bands(len(s), percent):
-                    k, spare = part_keys(s, band, apart, fine)
+                    k, spare = part_keys(s, band, apart)
                     keys.append(k)
                     nodes.append(np.full(len(k), node))
                     tags.append(np.full(len(k), band << 24 | spare, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, tags)], ["key", "node", "tag"])
 
 
-def rare_parts(docs: DataFrame, text_col: str = "text", fine: bool = False, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def rare_parts(docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, node, pop) of the parts over which classes must meet; keys that one class alone has are gone.
 
     ``pop`` is large for classes whose parts many others have: the middle of a group of copies.
     """
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(lambda batches: _send_parts(batches, fine, words, percent), "key bigint, node bigint, tag int")
-    counted = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").dropDuplicates(["key", "node", "tag"])
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(lambda batches: _send_parts(batches, words, percent), "key bigint, node bigint, tag int")
+    same = Window.partitionBy("key")
+    counted = rows.select("*", F.count(F.lit(1)).over(same).alias("c"), F.min("node").over(same).alias("lo"), F.max("node").over(same).alias("hi"))
+    shared = counted.where("lo < hi").select("key", "node", "tag", "c").dropDuplicates(["key", "node", "tag"])
     mine = Window.partitionBy("node", F.shiftright("tag", 24))
     spare = F.col("tag").bitwiseAND((1 << 24) - 1)
     return (
-        counted.withColumn("place", F.row_number().over(mine.orderBy("c", "key")))
+        shared.withColumn("place", F.row_number().over(mine.orderBy("c", "key")))
         .withColumn("all", F.count(F.lit(1)).over(mine))
         .withColumn("pop", F.sum("c").over(mine))
         .where(F.col("place") <= F.col("all") - spare)
@@ -184,17 +193,15 @@ def _set_bytes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
 
 
-def _similar(percent: int):
-    @pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+def _difference(a: str, b: str) -> Column:
+    """The members that just one of two sets has."""
 
-    return similar
+    @pandas_udf("apart int, members array<bigint>")
+    def difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in zip(a, b)]
+        return pd.DataFrame({"apart": [len(x) for x in out], "members": out})
+
+    return difference(a, b)
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -216,61 +223,90 @@ class NearDuplicates:
         self.classes = checkpointed(spark, some.agg(F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
         self.parts = checkpointed(spark, rare_parts(self.docs, words=words, percent=percent), "parts")
 
+    def similar(self, apart: Column, a: str, b: str) -> Column:
+        """Whether sets of ``a`` and ``b`` members that are so far apart are similar."""
+        return apart * (100 + self.percent) <= (100 - self.percent) * (F.col(a) + F.col(b))
+
     def pruned(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and short sketches allow them to be similar."""
         for side in "ab":
             pairs = pairs.join(self.classes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
-        p = self.percent
-        size = 100 * F.least("na", "nb") >= p * F.greatest("na", "nb")
-        near = _apart(F.col("sa"), F.col("sb")) * (100 + p) <= (100 - p) * (F.col("na") + F.col("nb"))
-        return pairs.where(size & near).select("a", "b")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that are similar. Only the texts of classes in question are read on."""
-        pairs = checkpointed(self.spark, self.pruned(pairs), "candidates")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        words = self.words
-        sets = checkpointed(self.spark, self.texts(asked).mapInArrow(lambda batches: _set_bytes(batches, words), "node bigint, members binary").dropDuplicates(["node"]), "sets")
-        for side in "ba":
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}")), side)
-        return checkpointed(self.spark, pairs.where(_similar(self.percent)("ma", "mb")).select("a", "b"), "verified")
+        size = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        return pairs.where(size & self.similar(_apart(F.col("sa"), F.col("sb")), "na", "nb")).select("a", "b")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of classes, one text each but for repeated rows; where two texts have one hash, also the other's."""
-        return self.docs.join(nodes.join(self.classes.select("node", "at"), "node"), "at").select("node", "text")
-
-    def stars(self, parts: DataFrame) -> DataFrame:
-        """Each class with the middle one of all that it shares a part with, as pairs a < b."""
-        hub = F.max(F.struct("pop", "node")).over(Window.partitionBy("key"))
-        found = parts.withColumn("hub", hub).where(F.col("hub.node") != F.col("node")).groupBy("node").agg(F.max("hub").alias("hub"))
-        pairs = found.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        return checkpointed(self.spark, pairs, "stars")
-
-    def open(self, parts: DataFrame, links: DataFrame) -> DataFrame:
-        """(key, node, component, pop) where classes of several components share a part."""
-        known = parts.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = Window.partitionBy("key")
-        ends = known.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
-        return checkpointed(self.spark, ends.where("lo < hi").select("key", "node", "component", "pop"), "open")
-
-    def links(self) -> DataFrame:
-        """Links that join all similar classes into one component each.
-
-        Copies that lie just too far from the middle of their group share coarse parts with all
-        of it. Those classes, and only those, are taken through fine parts, where what they
-        share with one another must be rarer than what the group shares.
+        asked = checkpointed(self.spark, nodes.join(self.classes.select("node", "at"), "node"), "asked")
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+        return self.docs.join(asked, "at").select("node", "text")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes with their sizes na and nb, the members of their difference, and whether they are linked.
+
+        Only the texts of classes in question are read on.
         """
-        first = self.stars(self.parts)
-        links = self.verified(first)
-        left = self.open(self.parts, links).select("node").distinct()
-        parts = checkpointed(self.spark, rare_parts(self.texts(left), fine=True, words=self.words, percent=self.percent), "fine")
-        second = self.stars(parts).join(first, ["a", "b"], "left_anti")
-        links = checkpointed(self.spark, links.union(self.verified(second)), "links")
-        open_ = self.open(parts, links).drop("pop")
-        other = open_.toDF("key", "b", "of_b")
-        crossing = open_.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("of_b"))).select("a", "b").distinct()
-        tried = first.union(second)
-        return links.union(self.verified(crossing.join(tried, ["a", "b"], "left_anti")))
+        words, asked = self.words, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = self.texts(asked).mapInArrow(lambda batches: _set_bytes(batches, words), "node bigint, members binary")
+        sets = checkpointed(self.spark, sets.dropDuplicates(["node"]), "sets")
+        for side in "ba":
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}"), F.expr("octet_length(members) div 8").alias(f"n{side}")), side)
+        found = pairs.select("a", "b", "na", "nb", _difference("ma", "mb").alias("d")).select("a", "b", "na", "nb", "d.*")
+        out = checkpointed(self.spark, found.withColumn("linked", self.similar(F.col("apart"), "na", "nb")), "compared")
+        removed(self.spark, sets)
+        return out
+
+    def unresolved(self, parts: DataFrame, labels: DataFrame) -> DataFrame:
+        """(a, b) of classes and hubs that share a part with classes of other components."""
+        known = parts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # A part of two classes has no pair but that of a class and its hub.
+        spread = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("classes"))
+        return known.join(spread.where("lo < hi AND classes > 2").select("key"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+    def meetings(self, spokes: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share one of the rarest members of their differences from one hub.
+
+        Of a pair, x is the one farther from the hub. With d and e members in the differences of
+        x and y, and at most D between x and y, t = (d + e - D) / 2 must be in both, so one is among
+        the first d - t + 1 of x and the first e - t + 1 of y. ``outer`` and ``inner`` bound these
+        over all partners that a class may have as x and as y; not both of a pair are linked with the hub.
+        """
+        p = self.percent
+        r = (100 - p) / (100 + p)
+        every = spokes.select(F.col("b").alias("hub"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("h"), "apart", "linked", F.explode("members").alias("member"))
+        shared = every.groupBy("hub", "member").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        mine = Window.partitionBy("hub", "node")
+        first = F.col("apart") - F.count(F.lit(1)).over(mine)  # members that no other difference has come first
+        rows = every.join(shared, ["hub", "member"]).withColumn("place", first + F.row_number().over(mine.orderBy("c", "member")))
+        most = F.lit(r) * (F.col("n") + F.floor(F.col("n") * 100 / p))
+        near = (F.col("apart") + r * (F.col("n") - F.col("h"))) / 2
+        rows = checkpointed(self.spark, rows.select("hub", "member", "node", "n", "apart", "linked", "place", F.when(F.col("linked"), near).otherwise(most).alias("outer"), F.when(F.col("linked"), F.least(near, most / 2)).otherwise(most / 2).alias("inner")).where("place <= outer + 1"), "differences")
+        x = rows.select("hub", "member", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "apart", "linked", "place")))
+        y = rows.where("place <= inner + 1").select("hub", "member", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "apart", "linked", "place")))
+        farther = F.struct("apart_x", "node_x") > F.struct("apart_y", "node_y")
+        size = 100 * F.least("n_x", "n_y") >= p * F.greatest("n_x", "n_y")
+        both = F.greatest(F.lit(1), F.ceil((F.col("apart_x") + F.col("apart_y") - F.floor((100 - p) * (F.col("n_x") + F.col("n_y")) / (100 + p))) / 2))
+        reach = (F.col("place_x") <= F.col("apart_x") - both + 1) & (F.col("place_y") <= F.col("apart_y") - both + 1)
+        found = x.join(y, ["hub", "member"]).where(farther & size & reach & ~(F.col("linked_x") & F.col("linked_y")))
+        return found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+    def components(self) -> DataFrame:
+        """(node, component) of all classes that are linked with others."""
+        spark = self.spark
+        hubs = self.parts.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        parts = checkpointed(spark, self.parts.join(hubs.select("key", F.col("hub.node").alias("hub")), "key").select("key", "node", "hub"), "hubs")
+        removed(spark, self.parts)
+        spokes = self.compared(checkpointed(spark, parts.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "spokes"))
+        labels = components(spokes.where("linked").select("a", "b"))
+        left = checkpointed(spark, self.unresolved(parts, labels), "left")
+        removed(spark, parts)
+        pairs = self.meetings(spokes.join(left, ["a", "b"]))
+        for side in "ab":
+            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
+        pairs = checkpointed(spark, self.pruned(pairs.where("a_in <> b_in").select("a", "b")), "candidates")
+        late = self.compared(pairs).where("linked").select("a", "b")
+        removed(spark, spokes)
+        # Earlier components count as links of their members, so few rounds are left.
+        return components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -283,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never its least id. Repeated rows stay. Other columns are not read.
     """
     joined = NearDuplicates(docs, id_col, text_col, words, percent)
-    found = components(joined.links())
+    found = joined.components()
     least = joined.classes.join(found, "node").groupBy("component").agg(F.min("id").alias("least"))
     of_node = joined.classes.select("node", "id").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("least", "id").alias("least"))
     return joined.members.join(of_node, "node", "left").select(
