@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,8 @@ from tickloom.llm.common import hashed_sample, short_batches, table
 LABELLED_PAGES = 400
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -49,90 +50,114 @@ BOILERPLATE = frozenset(
 REPLACED = frozenset("script style noscript template svg iframe textarea title".split())
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
-    """(kind, value, context, excluded): ``open``, ``close`` or ``words``; context is the open elements, innermost last.
+class Place(NamedTuple):
+    """Where a token stands: what its innermost open element has or inherits."""
 
-    Raw elements, comments and declarations give nothing. ``excluded`` tells that an open
-    element is never part of an article, by its name or by what its attributes call it.
+    name: str = ""
+    block: str = ""  # the innermost element that is not inline
+    link: bool = False
+    article: bool = False
+    excluded: bool = False  # never part of an article, by an element's name or by what its attributes call it
+
+    @property
+    def feature(self) -> str:
+        return f"{self.block}{'+a' if self.link else ''}{'-' if self.excluded else ''}"
+
+
+_TOP = Place()
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, Place]]:
+    """(kind, value, place): ``open``, ``close`` or ``words``.
+
+    Raw elements, comments and declarations give nothing. A tag that does not end, or has ``<``
+    outside quotes, is text. An element costs one small record however deep it stands.
     """
-    stack: list[tuple[str, bool]] = []
+    stack: list[Place] = []
+    open_: Counter[str] = Counter()
+
+    def leave() -> str:
+        name = stack.pop().name
+        open_[name] -= 1
+        return name
+
     for m in _TOKEN.finditer(page):
         raw, slash, name, attributes, words = m.groups()
-        out = stack[-1][1] if stack else False
+        at = stack[-1] if stack else _TOP
         if words is not None:
-            yield "words", words, tuple(n for n, _ in stack), out
+            yield "words", words, at
         elif name is not None:
             name = name.lower()
             if slash:
                 if name in VOID:
-                    yield "open", name, tuple(n for n, _ in stack), out
+                    yield "open", name, at
                     continue
-                if any(n == name for n, _ in stack):
-                    while stack.pop()[0] != name:
+                if open_[name]:
+                    while leave() != name:
                         pass
-                yield "close", name, tuple(n for n, _ in stack), out
+                yield "close", name, stack[-1] if stack else _TOP
                 continue
             if name not in INLINE and name not in VOID:
-                while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p"):
-                    stack.pop()
-                out = stack[-1][1] if stack else False
+                while stack and (stack[-1].name in INLINE or stack[-1].name == "p"):
+                    leave()
+                at = stack[-1] if stack else _TOP
             if name not in VOID:
                 marks = {w for found in _MARKS.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower())}
-                inside = any(n in ("article", "main") for n, _ in stack)
-                never = name in NEVER or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and bool(marks & BOILERPLATE))
-                stack.append((name, out or never))
-            yield "open", name, tuple(n for n, _ in stack), out
+                never = name in NEVER or (name == "header" and not at.article) or (name not in ("html", "body", "article", "main") and bool(marks & BOILERPLATE))
+                inner = Place(name, at.block if name in INLINE else name, at.link or name == "a", at.article or name in ("article", "main"), at.excluded or never)
+                stack.append(inner)
+                open_[name] += 1
+                yield "open", name, inner._replace(excluded=at.excluded)
+            else:
+                yield "open", name, at
         elif raw is not None:
-            yield "open", raw.lower(), tuple(n for n, _ in stack), True
-
-
-def place(context: tuple[str, ...], excluded: bool) -> str:
-    """Feature of words: the innermost element that is not inline, and whether a link or an excluded part holds them."""
-    block = next((n for n in reversed(context) if n not in INLINE), "")
-    return f"{block}{'+a' if 'a' in context else ''}{'-' if excluded else ''}"
-
+            yield "open", raw.lower(), at._replace(excluded=True)
 
 def learn(pages: list[str]) -> dict[str, float]:
     """Log-odds of standing inside a marked article, by feature, between -4 and 4."""
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page in pages:
-        for kind, value, context, excluded in tokens(page):
+        for kind, value, at in tokens(page):
             n = len(value.split()) if kind == "words" else 1
-            key = f"words {place(context, excluded)}" if kind == "words" else f"{kind} {value}"
-            within = not excluded and any(c in ("article", "main") for c in context)
-            (inside if within else outside)[key] += n
+            key = f"words {at.feature}" if kind == "words" else f"{kind} {value}"
+            (inside if at.article and not at.excluded else outside)[key] += n
     return {k: max(-4.0, min(4.0, math.log((inside[k] + 0.5) / (outside[k] + 0.5)))) for k in inside.keys() | outside.keys()}
 
 
-def score(kind: str, value: str, context: tuple[str, ...], excluded: bool, weights: dict[str, float]) -> float:
+def score(kind: str, value: str, at: Place, weights: dict[str, float]) -> float:
     """Words: their number times a weight that is positive outside excluded parts unless learned otherwise; tags: between -1 and -0.01."""
     if kind == "words":
-        w = weights.get(f"words {place(context, excluded)}", -1.0 if excluded or "a" in context else 0.5)
-        return len(value.split()) * (min(w, -0.5) if excluded else w)
+        w = weights.get(f"words {at.feature}", -1.0 if at.excluded or at.link else 0.5)
+        return len(value.split()) * (min(w, -0.5) if at.excluded else w)
     unknown = 0.45 if value in INLINE and value != "a" else 0.0
     return max(-1.0, min(-0.01, weights.get(f"{kind} {value}", unknown) - 0.5))
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The scan keeps the words of the run at hand and, where that has been best so far, how many of them count."""
     if not page:
         return ""
-    found = list(tokens(page))
-    best, best_run, total, start = 0.0, (0, 0), 0.0, 0
-    for i, token in enumerate(found):
+    best, total = 0.0, 0.0
+    run: list[str] = []
+    text = ""
+    counted = 0  # pieces of ``run`` up to the best end, 0 if the best run is an earlier one
+    for kind, value, at in tokens(page):
         if total <= 0:
-            total, start = 0.0, i
-        total += score(*token, weights)
-        if total > best:
-            best, best_run = total, (start, i + 1)
-    parts: list[str] = []
-    for kind, value, context, excluded in found[best_run[0] : best_run[1]]:
+            if counted:
+                text, counted = "".join(run[:counted]), 0
+            total, run = 0.0, []
+        total += score(kind, value, at, weights)
         if kind == "words":
-            if not excluded:
-                parts.append(html_lib.unescape(value))
+            if not at.excluded:
+                run.append(html_lib.unescape(value))
         elif value not in INLINE:
-            parts.append("\n")
-    return " ".join("".join(parts).split())
+            run.append("\n")
+        if total > best:
+            best, counted = total, len(run)
+    if counted:
+        text = "".join(run[:counted])
+    return " ".join(text.split())
 
 
 def learned_weights(pages: DataFrame, html_col: str = "html", max_pages: int = LABELLED_PAGES) -> dict[str, float]:
