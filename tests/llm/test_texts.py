@@ -1,6 +1,8 @@
 import hashlib
 import html
+import random
 import re
+import time
 
 import corpus_pipeline
 from tickloom.llm import bpe, decontam, html_region, ngram_join, secrets, toxicity
@@ -61,6 +63,45 @@ def test_odd_pages(spark):
     assert html_region.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_seconds():
+    w = html_region.learn([])
+    began = time.time()
+    for page in ("<a " * 300_000, "<div>x " * 150_000, "<li>x " * 150_000, "<!" * 500_000, "<i>x " * 200_000 + "</b>" * 200_000, "<a '" * 250_000, "<script" * 150_000, "<p>a</div>" * 100_000):
+        html_region.main_text(page, w)
+    assert time.time() - began < 60
+    assert html_region.main_text("<div>" * 200_000 + "a b", w) == "a b"
+
+
+def linked_spans(t, scope=secrets.SCOPE):
+    """Spans by comparing all pairs."""
+    java = {"secret": re.sub(r"\*\+", "*", secrets.SECRET), "identifier": secrets.IDENTIFIER, "endpoint": secrets.ENDPOINT}
+    base = [(s, e, k) for s, _, k, e in base_spans(t)]
+    apart = lambda a, b: max(a[0], b[0]) - min(a[1], b[1])
+    weak = [(m.start(), m.end(), k) for k, p in java.items() for m in re.finditer(p, t, re.A)]
+    weak = [x for x in weak if not any(apart(x, b) < 0 for b in base)]
+    near = lambda x, kinds: any(y[2] in kinds and y is not x and apart(x, y) <= scope for y in [*base, *weak])
+    ids, keys = ("access", "identifier"), ("assign", "hex", "secret")
+    kept = [x for x in weak if {"secret": near(x, ids), "identifier": near(x, keys), "endpoint": near(x, ids) and near(x, keys)}[x[2]]]
+    order = list(secrets.PATTERNS).index
+    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted([*base, *kept], key=lambda x: (x[0], order(x[2]))))
+
+
+def test_links_match_brute_force(spark):
+    rnd = random.Random(3)
+    parts = ["AKIA" + "B" * 16, KEY, "client_id: abcd-12", "https://host.example/x?y", "s3.eu.amazonaws.com", "password = abcdefghijklmno", "0123456789abcdef" * 2, "user_key=zz", "\U0001f600 é"]
+    texts = [(" " * rnd.choice((1, 3, 60, 199, 200, 201))).join(rnd.choice(parts) for _ in range(rnd.randrange(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.find_secrets(df, ["doc_id"]).select("doc_id", secrets.listed(secrets.F.col("spans")).alias("s")).collect()}
+    assert got == {i: linked_spans(t) for i, t in enumerate(texts)}
+
+
+def test_many_spans_and_long_runs_take_seconds(spark):
+    texts = ["0123456789abcdef " * 200_000, "a-" * 500_000, "a." * 500_000, "A1a" * 300_000, "password " * 100_000]
+    began = time.time()
+    got = {r.doc_id: r.n for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).selectExpr("doc_id", "size(spans) AS n").collect()}
+    assert got == {0: 200_000, 1: 0, 2: 0, 3: 0, 4: 0} and time.time() - began < 90
+
+
 def test_pipeline_stages_match_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")

@@ -4,8 +4,9 @@ Base spans are strong by themselves: assignments to password-like names, access
 long hexadecimal runs. Weak candidates are long mixed runs, client identifiers and endpoint
 addresses; alone they mean nothing. They are reported only if their complements stand within
 ``SCOPE`` code points: an identifier for a secret, a secret for an identifier, both for an
-endpoint. That interval join is a pair of running maxima and minima over a document's spans
-in order of position, so it is linear in their number.
+endpoint. That interval join is a running maximum over a document's spans in order of position
+and a running minimum in the opposite order; each row adds itself to the one before, so the work
+is a few sorts of the spans.
 
 Everything is DataFrame functions. Texts are read once; what is shuffled is one row for a
 document and one for each span, by a row number, so no document, however its id repeats,
@@ -32,7 +33,8 @@ HEX = r"[0-9a-f]{16,}"
 # Weak candidates: (kind, pattern).
 SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}={0,2}"
 IDENTIFIER = r"""(?i)\b(?:client|account|access|user)[_-]?(?:id|key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
-ENDPOINT = r"""(?i)\bhttps?://[^\s"'<>]{4,}|\b[a-z0-9-]+\.[a-z0-9.-]*amazonaws\.com\b"""
+#: Host names begin where their characters begin, so a run of them is looked at once.
+ENDPOINT = r"""(?i)\bhttps?://[^\s"'<>]{4,}|(?<![a-z0-9.-])[a-z0-9-][a-z0-9.-]*\.amazonaws\.com\b"""
 
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "secret": SECRET, "identifier": IDENTIFIER, "endpoint": ENDPOINT}
 BASE = ("assign", "access", "hex")
@@ -79,8 +81,9 @@ def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", scope
         .withColumn("start", F.col("stop") - F.col("size"))
         .withColumn("holds", F.coalesce("holds", F.lit(False)))
     )
-    by_place = Window.partitionBy("row").orderBy("start", "kind")
-    before, after = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(1, Window.unboundedFollowing)
+    by_row, others = Window.partitionBy("row"), (Window.unboundedPreceding, -1)
+    before = by_row.orderBy("start", "kind").rowsBetween(*others)
+    after = by_row.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(*others)
 
     def of(*kinds: str) -> Column:
         numbers = [list(PATTERNS).index(k) for k in kinds]
