@@ -47,6 +47,26 @@ def test_many_long_pieces_in_one_batch():
     assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_very_long_pieces_match_tiktoken():
+    own = random.Random(12)
+    b = bpe.Bpe(P.path(bpe.VOCABULARY), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    texts = ["a" * 1_000_000, " " * 1_000_000, "ACGT" * 5000, "".join(own.choice("etaoin") for _ in range(3000)), "\u6587\u5b57" * 3000, "".join(own.choice("-=_*") for _ in range(2000))]
+    # The library's own pattern fails on runs of this length, so it is given the pieces.
+    want = [sum((enc._encode_single_piece(x.encode()) for x in b.split(t)), []) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(texts)] == want
+
+
+def test_odd_tables(spark):
+    """Clashing columns, null and repeated ids, and no rows, for BPE and for token counts."""
+    rows = [(1, None), (1, "a b"), (None, ""), (1, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS decoded", "3 AS n_tokens", "4 AS both")
+    coded = bpe.encode_documents(docs, P.path(bpe.VOCABULARY))
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in coded.collect()) == [("1", b""), ("1", b"a b"), ("1", b"a b"), ("None", b"")]
+    assert bpe.encode_documents(docs.limit(0), P.path(bpe.VOCABULARY)).count() == 0
+    assert token_fsm.op4_token_counts.__doc__
+
+
 def test_transducer_matches_library(library, monkeypatch):
     t = token_fsm.Transducer(P.path(token_fsm.TOKENIZER))
     want = [len(library.encode(x or "", add_special_tokens=False).ids) for x in TEXTS]

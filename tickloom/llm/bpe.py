@@ -7,19 +7,20 @@ piece and step, the leftmost pair of least rank, until no piece has a pair left.
 Decoding joins ids to the vocabulary and aggregates their bytes in order of position.
 
 Documents are independent, so the work follows the input's partitions and nothing is
-shuffled. A worker remembers the ids of at most ``CACHE_PIECES`` pieces and starts
-anew beyond that. The recursive query holds a row for each token of each step, which
-is quadratic in a piece's length, so pieces of more than ``LONG_PIECE`` bytes take the
-same contractions from a priority queue, and new pieces are cut into queries by the sum
-of their squared lengths.
+shuffled. A worker remembers the ids of at most ``CACHE_PIECES`` pieces and starts anew
+beyond that. The recursion comes in two forms with the same contractions. ``ENCODE`` keeps
+the rows of every step, which is quick for words but quadratic in a piece's length, so new
+pieces are cut into queries by the sum of their squared lengths. ``ENCODE_LONG`` keeps the
+last step alone, as keyed rows that each step overwrites, and contracts all pairs of the
+least rank in one step where that cannot make a pair of lower rank.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
@@ -35,7 +36,8 @@ from tickloom.llm.common import is_plain, short_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHE_PIECES = 300_000
-LONG_PIECE = 512
+#: Bytes from which on a piece is contracted by ENCODE_LONG, and the sum of lengths of one such query.
+LONG_PIECE, LONG_BYTES = 512, 100_000
 #: Sum of squared lengths of the pieces of one encoding query. It makes at most half as many rows of 16 bytes.
 LEARN_SQUARES = 4_000_000
 #: Tokens that one decoding query joins and sorts.
@@ -67,6 +69,35 @@ FROM state s JOIN (SELECT piece, max(step) AS step FROM state GROUP BY piece) l
 ORDER BY s.piece, s.pos
 """
 
+ENCODE_LONG = """
+WITH RECURSIVE state(piece, pos, token) USING KEY (piece, pos) AS (
+  SELECT piece, pos, token FROM pieces
+  UNION ALL
+  (WITH pairs AS (
+     SELECT a.piece, a.pos, m.merged, m.steady
+     FROM state a JOIN state n ON n.piece = a.piece AND n.pos = a.pos + 1
+     JOIN merges m ON m.first = a.token AND m.second = n.token),
+   best AS (SELECT piece, min((merged::BIGINT << 32) | pos) AS best FROM pairs GROUP BY piece),
+   least AS (
+     SELECT p.piece, p.pos, p.merged, row_number() OVER (PARTITION BY p.piece ORDER BY p.pos) AS n
+     FROM pairs p JOIN best b ON b.piece = p.piece AND p.merged = (b.best >> 32) AND (p.steady OR p.pos = (b.best & 4294967295))),
+   -- of pairs that overlap, every other one, from the left
+   taken AS (
+     SELECT piece, pos, merged FROM (
+       SELECT piece, pos, merged, row_number() OVER (PARTITION BY piece, pos - n ORDER BY pos) AS k FROM least) WHERE k % 2 = 1),
+   after AS (
+     SELECT s.piece, s.pos, coalesce(c.merged, s.token) AS token, g.pos IS NOT NULL AS gone
+     FROM (SELECT * FROM state WHERE token >= 0) s SEMI JOIN best b ON b.piece = s.piece
+     LEFT JOIN taken c ON c.piece = s.piece AND c.pos = s.pos
+     LEFT JOIN taken g ON g.piece = s.piece AND g.pos + 1 = s.pos),
+   numbered AS (
+     SELECT piece, token, gone, row_number() OVER (PARTITION BY piece, gone ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY piece) AS size
+     FROM after)
+   -- the last places are free now: they hold no token
+   SELECT piece, (CASE WHEN gone THEN size - 1 - place ELSE place END)::INTEGER, CASE WHEN gone THEN -1 ELSE token END FROM numbered))
+SELECT piece, token FROM state WHERE token >= 0 ORDER BY piece, pos
+"""
+
 DECODE = """
 SELECT i.doc, unhex(string_agg(v.hex, '' ORDER BY i.pos)) AS bytes
 FROM ids i JOIN vocabulary v ON v.token = i.token GROUP BY i.doc
@@ -78,6 +109,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _groups(pieces: list[tuple[str, bytes]], cost: Callable[[int], int], most: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The pieces in groups whose costs by length add up to ``most`` at the most, but for single pieces."""
+    group: list[tuple[str, bytes]] = []
+    total = 0
+    for piece in pieces:
+        more = cost(len(piece[1]))
+        if group and total + more > most:
+            yield group
+            group, total = [], 0
+        group.append(piece)
+        total += more
+    if group:
+        yield group
+
+
 class Bpe:
     """Encoder and decoder of one worker."""
 
@@ -94,7 +140,12 @@ class Bpe:
             for k in range(1, len(whole))
             if (a := self.ranks.get(whole[:k])) is not None and (b := self.ranks.get(whole[k:])) is not None
         ]
-        self._table("merges", dict(zip(("first", "second", "merged"), np.array(pairs, dtype=np.int32).T)))
+        merges = np.array(pairs, dtype=np.int32)
+        # A token is steady if no pair with it has a lower rank than its own.
+        earliest = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int32).max)
+        for side in (0, 1):
+            np.minimum.at(earliest, merges[:, side], merges[:, 2])
+        self._table("merges", dict(zip(("first", "second", "merged"), merges.T)) | {"steady": earliest[merges[:, 2]] > merges[:, 2]})
         self._table("vocabulary", {"token": np.array([*self.ranks.values()], dtype=np.int32), "hex": [x.hex() for x in self.ranks]})
 
     def _table(self, name: str, columns: dict) -> None:
@@ -113,59 +164,27 @@ class Bpe:
             return _PLAIN_PATTERN.findall(text)
         return self.pattern.findall(text)
 
-    def _long(self, piece: bytes) -> list[int]:
-        """Contracts the leftmost pair of least rank from a queue; stale entries are passed over."""
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
-        queue: list[tuple[int, int, bytes, bytes]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(part) and (r := self.ranks.get(part[i] + part[j])) is not None:
-                heapq.heappush(queue, (r, i, part[i], part[j]))
-
-        for i in range(len(part)):
-            offer(i)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if part[i] != a or j >= len(part) or part[j] != b:
-                continue
-            part[i], part[j], after[i] = a + b, None, after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [self.ranks[x] for x in part if x is not None]
-
     def _learn(self, pieces: set[str]) -> None:
         new = []
         for p in pieces:
             raw = p.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 self.cache[p] = np.uint32(whole).tobytes()
-            elif len(raw) > LONG_PIECE:
-                self.cache[p] = np.array(self._long(raw), dtype="<u4").tobytes()
             else:
                 new.append((p, raw))
-        group: list[tuple[str, bytes]] = []
-        squares = 0
-        for p, raw in sorted(new, key=lambda x: len(x[1])):
-            if group and squares + len(raw) ** 2 > LEARN_SQUARES:
-                self._contract(group)
-                group, squares = [], 0
-            group.append((p, raw))
-            squares += len(raw) ** 2
-        if group:
-            self._contract(group)
-
-    def _contract(self, new: list[tuple[str, bytes]]) -> None:
+        new.sort(key=lambda x: len(x[1]))
+        cut = bisect_right(new, LONG_PIECE, key=lambda x: len(x[1]))
+        for group in _groups(new[:cut], lambda n: n * n, LEARN_SQUARES):
+            self._contract(group, ENCODE)
+        for group in _groups(new[cut:], lambda n: n, LONG_BYTES):
+            self._contract(group, ENCODE_LONG)
+
+    def _contract(self, new: list[tuple[str, bytes]], query: str) -> None:
         lengths = np.array([len(raw) for _, raw in new])
         piece = np.repeat(np.arange(len(new), dtype=np.int32), lengths)
         pos = (np.arange(len(piece)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         token = self.byte_tokens[np.frombuffer(b"".join(raw for _, raw in new), dtype=np.uint8)]
-        got = self._query(ENCODE, "pieces", {"piece": piece, "pos": pos, "token": token})
+        got = self._query(query, "pieces", {"piece": piece, "pos": pos, "token": token})
         tokens = got["token"].astype("<u4").tobytes()
         ends = 4 * np.cumsum(np.bincount(got["piece"], minlength=len(new)))
         start = 0
@@ -237,6 +256,18 @@ def decoder(path: str, pattern: str = public_tokenizers.PATTERN):
     return decode
 
 
+def round_trip(path: str, pattern: str = public_tokenizers.PATTERN):
+    """UDF: text to (ids, decoded), both as above, in one worker."""
+
+    @pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            ids = _bpe(path, pattern).encode(texts.tolist())
+            yield pd.DataFrame({"ids": ids, "decoded": _bpe(path, pattern).decode(ids)}, dtype=object)
+
+    return both
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``ids`` and the ``decoded`` bytes.
 
@@ -244,10 +275,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     ids stay as they are, other columns are not carried.
     """
     short_batches(docs.sparkSession)
-    return docs.select(F.col(id_col), encoder(path)(F.col(text_col)).alias("ids")).withColumn("decoded", decoder(path)(F.col("ids")))
+    return docs.select(F.col(id_col), round_trip(path)(F.col(text_col)).alias("both")).select(id_col, "both.ids", "both.decoded")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document's whole text, and of the bytes they decode to; null texts count as empty."""
     return digests(encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 

@@ -385,6 +385,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", into: str =
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document's whole text, and whether it has more than ``LIMIT`` tokens; null texts count as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path(TOKENIZER)).select(
         "doc_id",
