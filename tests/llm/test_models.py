@@ -49,9 +49,40 @@ def test_label_model_sees_correlated_voters_once():
     strong = (rnd.random((2000, 3)) < np.where(y, 0.7, 0.02)[:, None]).astype(float)
     copies = np.repeat((rnd.random((2000, 1)) < np.where(y, 0.4, 0.2)[:, None]).astype(float), 6, axis=1)
     v = np.hstack([strong, copies])
-    assert len(set(toxicity.clusters_of(v, y)[3:])) == 1
-    p = toxicity.label_model(v, (y ^ (rnd.random(2000) < 0.05)).astype(float))
-    assert ((p > 0.5) == y).mean() > 0.95
+    assert len(set(toxicity.clusters_of(toxicity.correlations_of(v, y.astype(float)))[3:])) == 1
+    marked = (y ^ (rnd.random(2000) < 0.05)).astype(float)
+    model = toxicity.posterior_of(marked, v, marked)
+    assert ((model.posterior > 0.5) == y).mean() > 0.95
+
+
+def test_label_model_estimates_accuracies_and_corrects_labels():
+    """Independent voters of known rates, two that copy one another, and labels of which a tenth is wrong."""
+    rnd = np.random.default_rng(1)
+    y = rnd.random(6000) < 0.3
+    bad, good = np.array([0.8, 0.6, 0.5, 0.7, 0.6]), np.array([0.02, 0.05, 0.02, 0.01, 0.03])
+    v = (rnd.random((6000, 5)) < np.where(y[:, None], bad, good)).astype(float)
+    v = np.hstack([v, v[:, :1]])
+    marked = (y ^ (rnd.random(6000) < 0.1)).astype(float)
+    model = toxicity.posterior_of(marked[:3000], v[3000:], marked[3000:])
+    assert np.abs(model.toxic_rates[:5] - bad).max() < 0.06 and np.abs(model.clean_rates[:5] - good).max() < 0.04
+    assert model.correlations[0, 5] > 0.9 and model.clusters[0] == model.clusters[5] and max(np.abs(np.array(model.noise) - 0.1)) < 0.04
+    assert ((model.posterior > 0.5) == y[3000:]).mean() > (marked[3000:] == y[3000:]).mean() + 0.05
+
+
+def test_posteriors_are_not_the_labels(spark):
+    """Without the label model, the classifier would learn the labels as they are."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    fitted, toxicity.fit_linear = toxicity.fit_linear, lambda x, p: seen.append((x, p)) or np.zeros(x.shape[1] + 1)
+    try:
+        toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
+    finally:
+        toxicity.fit_linear = fitted
+    p = seen[0][1]
+    given = {r.doc_id: r.y for r in toxicity.labelled_sample(docs, labels, "toxic").select("doc_id", "y").collect()}
+    y = np.array([given[i] for i in sorted(given)])
+    assert 0 < ((p > 0.5) != y).sum() < 0.02 * len(y)
 
 
 def test_additive_model_learns_an_interaction():

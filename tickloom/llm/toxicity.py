@@ -1,15 +1,18 @@
 """Toxicity scores by weak supervision.
 
-Many voters look at a text: one for each mined word or word beginning, which votes "toxic" if
-the text has it often enough, for its length or at all. The voters are noisy and overlap. A generative
-label model estimates how they vote in toxic and clean texts: voters that agree more than
-their classes explain are put into one cluster, and a cluster's number of votes has a
-distribution of its own in each class, so that correlated voters are not counted twice. The
-labels given are one more noisy voter. Expectation maximisation gives each text the
-probability of being toxic, and a linear classifier is trained on those probabilities.
-
-Mining counts terms in Spark, summed before the shuffle; the sample of labelled texts is
-bounded by ``max_rows``, and only its counts of a few dozen voters reach the driver.
+Many voters look at a text. Lexicon voters are mined words and word beginnings, which vote
+"toxic" if the text has them often enough, for its length or at all; pattern voters look at
+shouting, masked words and the like. The voters are noisy and overlap. Words that are mined on
+one fold of the labelled texts vote on the other fold. There a generative label model
+estimates how each voter votes in toxic and clean texts: voters that agree more than the
+classes explain are put into one cluster, and a cluster's number of votes has a distribution of
+its own in each class, so that correlated voters are not counted twice. Expectation
+maximisation begins half with votes and half with labels and gives each text the probability of being
+toxic; the text's label is one more voter, whose error rates are estimated too. A linear
+classifier is trained on those probabilities.
+
+Mining counts terms in Spark, summed before the shuffle; the sample is bounded by
+``max_rows``, and only its votes of a few dozen voters reach the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,10 +38,20 @@ BEGINNINGS = (4, 5, 6)
 #: Times per text, and times in a hundred words, that make a voter vote.
 TIMES, RATES = (1, 2), (1.0, 3.0)
 LEAST_TOXIC = 6
-CORRELATED = 0.25
+CORRELATED = 0.5
+#: Labels are taken to be wrong in this share of either class at least.
+LEAST_NOISE = 0.01
 CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Pattern voters: each votes if it matches at least so often.
+PATTERN_VOTERS = [
+    (re.compile(r"[!?]{2,}"), 1),
+    (re.compile(r"!"), 3),
+    (re.compile(r"\b[A-Z]{3,}\b"), 2),
+    (re.compile(r"(?<![A-Za-z])[A-Za-z]++[*@#$]++[A-Za-z]"), 1),
+    (re.compile(r"([A-Za-z])\1{3,}"), 1),
+]
 
 
 def words_of(text: str | None) -> Counter[str]:
@@ -85,7 +100,7 @@ def mine_terms(sample: DataFrame, max_voters: int = VOTERS) -> list[tuple[str, i
     for k in range(LEVELS):
         bad, good = F.col(f"n{2 * k + 1}"), F.col(f"n{2 * k}")
         odds = F.log(((bad + 0.5) / (toxic + 1)) / ((good + 0.5) / (clean + 1)))
-        ratings.append(F.struct(F.when((bad >= LEAST_TOXIC) & (odds >= 1.5), bad * (odds - 1)).otherwise(0.0).alias("worth"), F.lit(k).alias("level")))
+        ratings.append(F.struct(F.when((bad >= LEAST_TOXIC) & (odds >= 2), bad * (odds - 1)).otherwise(0.0).alias("worth"), F.lit(k).alias("level")))
     best = sums.select("term", F.array_max(F.array(*ratings)).alias("best")).where(F.col("best.worth") > 0)
     rows = best.orderBy(F.desc("best.worth"), "term").limit(max_voters).collect()
     return sorted((r["term"], r["best"]["level"]) for r in rows)
@@ -110,7 +125,7 @@ class Counters:
         return found
 
     def row(self, text: str | None) -> list[float]:
-        """A vote for each voter; then features of all hits together: words hit, their number and their share."""
+        """A vote for each voter, patterns last; then features of all hits together: words hit, their number and their share."""
         words = words_of(text)
         counts, hit, kinds = [0] * len(self.numbers), 0, 0
         for w, n in words.items():
@@ -121,41 +136,71 @@ class Counters:
                     counts[t] += n
         total = sum(words.values())
         cast = [float(votes(counts[self.numbers[term]], total)[level]) for term, level in self.terms]
+        cast += [float(sum(1 for _ in islice(p.finditer(text or ""), least)) >= least) for p, least in PATTERN_VOTERS]
         return [*cast, np.log1p(hit), np.log1p(kinds), min(1.0, 10 * hit / max(total, 10)), np.log1p(total) / 10]
 
 
-def clusters_of(v: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cluster of each voter: voters are joined if, within a class, their votes correlate."""
-    m = v.shape[1]
-    link = np.zeros((m, m), dtype=bool)
-    for c in (0, 1):
-        part = v[y == c]
-        if len(part) > 2:
-            spread = part.std(axis=0)
-            centred = part - part.mean(axis=0)
-            r = centred.T @ centred / len(part) / np.maximum(np.outer(spread, spread), 1e-9)
-            link |= r > CORRELATED
+def clusters_of(correlations: np.ndarray) -> np.ndarray:
+    """Cluster of each voter: voters whose votes correlate within a class are joined."""
+    m = len(correlations)
+    link = correlations > CORRELATED
     label = np.arange(m)
     while True:
-        after = np.where(link, label[None, :], m).min(axis=1, initial=m)
-        after = np.minimum(label, after)
+        after = np.minimum(label, np.where(link, label[None, :], m).min(axis=1, initial=m))
         if (after == label).all():
             return np.unique(label, return_inverse=True)[1]
         label = after
 
 
-def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 15, most: int = 3) -> np.ndarray:
-    """Probability of toxic for each row of votes, from the clusters' votes and the given labels."""
-    cluster = clusters_of(v, y)
-    values = [np.minimum(v[:, cluster == c].sum(axis=1).astype(int), most) for c in range(cluster.max(initial=-1) + 1)] + [y.astype(int)]
-    p = np.where(y > 0, 0.9, 0.1)
-    for _ in range(rounds):
-        odds = np.full(len(y), np.log((p.sum() + 1) / (len(p) - p.sum() + 1)))
-        for x in values:
-            bad, good = np.bincount(x, p, most + 1) + 0.1, np.bincount(x, 1 - p, most + 1) + 0.1
-            odds += np.log(bad / bad.sum() / (good / good.sum()))[x]
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return p
+def correlations_of(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Larger one of two voters' correlations within toxic and within clean texts, by the probabilities ``p`` of toxic."""
+    out = np.full((v.shape[1], v.shape[1]), -1.0)
+    for weight in (p, 1 - p):
+        if weight.sum() > 2:
+            centred = v - weight @ v / weight.sum()
+            both = (centred * weight[:, None]).T @ centred / weight.sum()
+            spread = np.sqrt(np.diag(both))
+            out = np.maximum(out, both / np.maximum(np.outer(spread, spread), 1e-3))
+    return out
+
+
+@dataclass
+class LabelModel:
+    """What expectation maximisation has found: no label of the rows of votes has been looked at."""
+
+    posterior: np.ndarray  # probability of toxic, by row
+    toxic_rates: np.ndarray  # share of toxic texts in which a voter votes
+    clean_rates: np.ndarray
+    correlations: np.ndarray
+    clusters: np.ndarray
+    noise: tuple[float, float]  # estimated share of toxic texts that are labelled clean, and of clean ones labelled toxic
+
+    @classmethod
+    def fit(cls, v: np.ndarray, marked: np.ndarray, share: float, rounds: int = 30, most: int = 5) -> LabelModel:
+        """From votes, labels as one more voter, and the share of toxic texts that is expected at first.
+
+        The first guess is half by the labels and half by votes, each cluster of voters counted
+        once: that share, of most votes, is toxic. The labels' error rates are estimated as all
+        others, but taken to be ``LEAST_NOISE`` at least.
+        """
+        clusters = clusters_of(correlations_of(v, np.ones(len(v))))
+        total = sum((v[:, clusters == c].any(axis=1).astype(float) for c in range(clusters.max(initial=-1) + 1)), np.zeros(len(v)))
+        bound = max(np.quantile(total, 1 - share), 1.0) if len(v) else 1.0
+        p = (np.where(total > bound, 0.95, np.where(total == bound, 0.5, 0.05)) + np.where(marked > 0, 0.9, 0.1)) / 2
+        for n in range(rounds):
+            if n in (0, rounds // 3):
+                correlations = correlations_of(v, p)
+                clusters = clusters_of(correlations)
+            odds = np.full(len(v), np.log((p.sum() + 1) / (len(p) - p.sum() + 1)))
+            for c in range(clusters.max(initial=-1) + 1):
+                x = np.minimum(v[:, clusters == c].sum(axis=1).astype(int), most)
+                bad, good = np.bincount(x, p, most + 1) + 0.1, np.bincount(x, 1 - p, most + 1) + 0.1
+                odds += np.log(bad / bad.sum() / (good / good.sum()))[x]
+            noise = tuple(float(max(LEAST_NOISE, (w @ wrong + 0.1) / (w.sum() + 0.2))) for w, wrong in ((p, 1 - marked), (1 - p, marked)))
+            odds += np.where(marked > 0, np.log((1 - noise[0]) / noise[1]), np.log(noise[0] / (1 - noise[1])))
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        rates = [(w @ v + 0.1) / (w.sum() + 0.2) for w in (p, 1 - p)]
+        return cls(p, rates[0], rates[1], correlations, clusters, noise)
 
 
 def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -173,19 +218,38 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 2
     return w
 
 
+def posterior_of(mined_y: np.ndarray, votes: np.ndarray, marked: np.ndarray) -> LabelModel:
+    """The label model of the votes and labels of one fold; the fold that the voters were mined on gives the share."""
+    return LabelModel.fit(votes, marked, float(np.clip(mined_y.mean(), 0.005, 0.5)))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_voters: int = VOTERS) -> tuple[list[tuple[str, int]], np.ndarray]:
     """Voters and weights, from ``labels.toxic`` of at most ``max_rows`` labelled texts outside the held-out fold.
 
-    Without labelled rows all scores are 0.5; with clean ones only there are no voters.
+    The sample has two folds. Words mined on one of them vote on the other, so no text's own
+    label has chosen its voters; the classifier has the voters of both. Without labelled rows
+    all scores are 0.5; with clean ones only, only patterns vote.
     """
-    sample = labelled_sample(docs, labels, "toxic", max_rows)
-    terms = mine_terms(sample, max_voters)
-    row_of = _row_udf(terms)
-    rows = sorted(tuple(r) for r in sample.select("doc_id", "y", row_of("text").alias("x")).collect())
+    sample = labelled_sample(docs, labels, "toxic", max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int"))
+    by_fold = [mine_terms(sample.where(F.col("fold") == k), max_voters) for k in (0, 1)]
+    terms = sorted(set(by_fold[0]) | set(by_fold[1]))
+    rows = sorted(tuple(r) for r in sample.select("doc_id", "y", "fold", _row_udf(terms)("text").alias("x")).limit(2 * max_rows).collect())
+    width = len(Counters(terms).row(""))
     if not rows:
-        return terms, np.zeros(len(Counters(terms).row("")) + 1)
-    x, y = np.array([r[2] for r in rows], dtype=float), np.array([r[1] for r in rows], dtype=float)
-    return terms, fit_linear(x, label_model(x[:, : len(terms)], y))
+        return terms, np.zeros(width + 1)
+    x, y, fold = np.array([r[3] for r in rows], dtype=float), np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows])
+    return terms, fit_linear(x, cross_fitted(x, y, fold, terms, by_fold))
+
+
+def cross_fitted(x: np.ndarray, y: np.ndarray, fold: np.ndarray, terms: list[tuple[str, int]], by_fold: list[list[tuple[str, int]]]) -> np.ndarray:
+    """Probability of toxic of each text by the voters that the other fold has chosen."""
+    p = y.copy()
+    patterns = range(len(terms), len(terms) + len(PATTERN_VOTERS))
+    for k in (0, 1):
+        mine = [terms.index(t) for t in by_fold[k]] + [*patterns]
+        if (fold == k).any() and (fold != k).any():
+            p[fold != k] = posterior_of(y[fold == k], x[fold != k][:, mine], y[fold != k]).posterior
+    return p
 
 
 def _row_udf(terms: list[tuple[str, int]]):
@@ -218,6 +282,7 @@ def score_toxicity(docs: DataFrame, terms: list[tuple[str, int]], weights: np.nd
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document's whole text, whether it is held out, and the prediction; null and empty texts have no words."""
     short_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     terms, weights = fit_toxicity(docs, table(spark, sf_dir, "labels"))
