@@ -144,8 +144,8 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)}
 
 
-def test_recall_and_scores(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_and_scores(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -173,6 +173,16 @@ def test_ties_and_useless_vectors(spark):
     assert ann_forest.nearest(df.limit(0)).count() == 0
 
 
+def test_many_ties_and_an_id_of_two_vectors(spark):
+    """More vectors of one direction than are asked for, in an order that is not that of their ids; and the nearer one of two."""
+    rows = [(50, [1.0, 0.0])] + [(k, [float(2 ** (k * 7 % 31)), 0.0]) for k in range(1, 31)]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(k, 1.0) for k in range(1, 6)]
+    rows = [(50, [1.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 0.1]), (8, [1.0, 0.5])]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).collect()
+    assert [(r.vec_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r["rank"])] == [(7, round(1 / 1.01**0.5, 6)), (8, round(1 / 1.25**0.5, 6))]
+
+
 @pytest.mark.parametrize("n", [1, 2])
 def test_few_candidates(spark, n):
     df = spark.createDataFrame([(50 * k, [1.0, float(k)]) for k in range(n)], "vec_id long, embedding array<float>")

@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by cosine, with a forest of random-projection trees.
 
 The trees are grown on the driver from a bounded sample: a node's plane separates two random
-vectors of it at the median. They have ``1 << DEPTH`` leaves each at most, so their size does
-not follow the data. Every row is put into its leaf of each tree. A query walks all trees
+vectors of it at the median. Their depth follows the number of rows, about ``LEAF`` of them to
+a leaf, as far as the sample goes: a leaf has ``LEAST_LEAF`` of its vectors at least. Every row is put into its leaf of each tree. A query walks all trees
 through one priority queue, nearest planes first, until it has met ``probes`` leaves. How many
 that takes for the wanted recall is measured on the sample against brute force. What lies in
 the leaves is reranked exactly.
 
 Leaves meet queries in groups of at most about ``BLOCK`` rows on either side: a large leaf is
 cut into blocks, and so are many queries. Vectors that are the same are one candidate with
-its least ids, reduced within each batch before the shuffle.
+its least ids, reduced within each batch before the shuffle. A block gives for each query the
+candidates that can be among the nearest by score and then id, without their vectors.
 """
 
 from __future__ import annotations
@@ -20,21 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import checkpointed, hashed_sample, table
 
 K, EVERY = 5, 50
-TREES, DEPTH, LEAST_LEAF = 6, 7, 16
-SAMPLE, TRIALS, RECALL = 20_000, 200, 0.97
+TREES, LEAF, LEAST_LEAF = 6, 256, 16
+SAMPLE, TRIALS, RECALL = 20_000, 200, 0.95
 BLOCK = 4096
+#: More than a matrix product's scores are off the exact ones.
+ROUNDING = 1e-9
 
 
 class Forest:
     """Planes in one matrix; children are node numbers, or -1 - leaf."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
+    def __init__(self, x: np.ndarray, depth: int, trees: int = TREES, seed: int = 7):
         self.planes: list[np.ndarray] = []
         self.offsets: list[float] = []
         self.children: list[list[int]] = []
@@ -105,11 +108,10 @@ def calibrated(forest: Forest, x: np.ndarray, k: int = K, trials: int = TRIALS,
     near[np.arange(len(q)), np.arange(len(q))] = -np.inf
     truth = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
     leaves, margins = forest.leaves(x), forest.margins(q)
-    order = [forest.probe(m, forest.n_leaves) for m in margins]
-    rank = np.full((len(q), forest.n_leaves), forest.n_leaves)
-    for i, o in enumerate(order):
-        rank[i, o] = np.arange(len(o))
-    needed = np.array([rank[i][leaves[truth[i]]].min(axis=1) for i in range(len(q))]).ravel() + 1
+    needed: list[int] = []
+    for i, m in enumerate(margins):
+        rank = {leaf: n for n, leaf in enumerate(forest.probe(m, forest.n_leaves), 1)}
+        needed += [min(rank[leaf] for leaf in leaves[j]) for j in truth[i]]
     return int(min(forest.n_leaves, np.sort(needed)[min(len(needed) - 1, math.ceil(recall * len(needed)))]))
 
 
@@ -145,9 +147,6 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     dims = max(set(lengths), key=lengths.count) if some else 0
     x = _unit(np.array([v for v in some if len(v) == dims]).reshape(-1, max(dims, 1)))
     x = x[np.random.default_rng(5).permutation(len(x))]
-    forest = Forest(x)
-    probes = calibrated(forest, x, k, recall=recall)
-    held = spark.sparkContext.broadcast(forest)
     rows = rows.where(F.size("v") == dims)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,6 +159,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     reduced = packed.mapInPandas(lambda batches: _classes(batches, k + 1), "raw binary, ids array<bigint>")
     merged = reduced.groupBy("raw").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
 
+    merged = checkpointed(spark, merged, "vectors")
+    forest = Forest(x, depth=max(1, math.ceil(math.log2(max(2, merged.count() / LEAF)))))
+    probes = calibrated(forest, x, k, recall=recall)
+    held = spark.sparkContext.broadcast(forest)
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
@@ -167,52 +171,58 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 yield pd.DataFrame({"leaves": leaves.tolist(), "raw": b["raw"], "ids": b["ids"]})
 
     index = checkpointed(spark, merged.mapInPandas(place, "leaves array<int>, raw binary, ids array<bigint>"), "leaves")
-    sizes = {r["leaf"]: r["n"] for r in index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = {leaf: -(-n // BLOCK) for leaf, n in sizes.items()}
-
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 margins = held.value.margins(_unit(np.frombuffer(b"".join(b["raw"]), np.float64).reshape(len(b), -1)))
                 asked = [held.value.probe(m, probes) for m in margins]
-                yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "leaves": [[leaf for leaf in a if leaf in sizes] for a in asked]})
+                yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "leaves": asked})
 
     queries = packed.where(F.col("id") % every == 0).dropDuplicates(["id", "raw"])
     asked = checkpointed(spark, queries.mapInPandas(ask, "id bigint, raw binary, leaves array<int>"), "queries")
-    by_leaf = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()
-    turns = {r["leaf"]: -(-r["n"] // BLOCK) for r in by_leaf}
+    placed, wanted = (df.withColumn("leaf", F.explode("leaves")).drop("leaves") for df in (index, asked))
 
-    def table_of(d: dict[int, int]):
-        return F.array(*[F.lit(d.get(leaf, 1)) for leaf in range(max(1, forest.n_leaves))])
+    def cuts(df: DataFrame, name: str) -> DataFrame:
+        """The leaves that have more than one block of these rows; nearly all leaves have one."""
+        return df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name)).where(F.col(name) > 1)
 
-    def blocked(df: DataFrame, mine: str, mine_cuts: dict, theirs: str, their_cuts: dict, spread) -> DataFrame:
+    sizes = checkpointed(spark, cuts(placed, "blocks").join(cuts(wanted, "turns"), "leaf", "full"), "cuts")
+
+    def blocked(df: DataFrame, mine: str, mine_cuts: str, theirs: str, their_cuts: str, spread: Column) -> DataFrame:
         """Each row once in its own block of a leaf, and there once for each block of the other side."""
-        own = F.pmod(spread, F.element_at(table_of(mine_cuts), F.col("leaf") + 1)).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.element_at(table_of(their_cuts), F.col("leaf") + 1) - 1))
-        return df.withColumn("leaf", F.explode("leaves")).drop("leaves").withColumn(mine, own).withColumn(theirs, others)
+        cut = df.join(sizes, "leaf", "left").fillna(1, ["blocks", "turns"])
+        own = F.pmod(spread, F.col(mine_cuts)).cast("int")
+        others = F.explode(F.sequence(F.lit(0), (F.col(their_cuts) - 1).cast("int")))
+        return cut.withColumn(mine, own).withColumn(theirs, others).drop("blocks", "turns")
 
-    right = blocked(index, "i", cuts, "q", turns, F.xxhash64("raw"))
-    left = blocked(asked, "q", turns, "i", cuts, F.xxhash64("id"))
+    right = blocked(placed, "i", "blocks", "q", "turns", F.xxhash64("raw"))
+    left = blocked(wanted, "q", "turns", "i", "blocks", F.xxhash64("id")).withColumn("form", F.xxhash64("raw"))
 
     def rerank(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"id": np.empty(0, np.int64), "raw": np.empty(0, object), "ids": np.empty(0, object), "score": np.empty(0)})
+            return pd.DataFrame({"id": np.empty(0, np.int64), "form": np.empty(0, np.int64), "ids": np.empty(0, object), "score": np.empty(0)})
         a, b = (np.frombuffer(b"".join(z["raw"]), np.float64).reshape(len(z), -1) for z in (q, c))
         la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        most = min(2 * k + 2, len(b))
+        least = np.array([ids[0] for ids in c["ids"]])
+        most = min(k + 1, len(b))
         near = (a @ b.T) / np.outer(la, lb)
-        best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-        i, j = np.repeat(np.arange(len(a)), most), best.ravel()
+        bound = np.partition(near, len(b) - most, axis=1)[:, len(b) - most]
+        i, j = np.nonzero(near >= bound[:, None] - ROUNDING)
         exact = (a[i] * b[j]).sum(axis=1) / (la[i] * lb[j])
-        keep = pd.DataFrame({"i": i, "j": j, "score": exact}).sort_values(["i", "score"], ascending=[True, False]).groupby("i").head(k + 1)
-        i, j = keep["i"].to_numpy(), keep["j"].to_numpy()
-        return pd.DataFrame({"id": q["id"].to_numpy()[i], "raw": q["raw"].to_numpy()[i], "ids": c["ids"].to_numpy()[j], "score": keep["score"].to_numpy()})
-
-    found = left.groupBy("leaf", "i", "q").cogroup(right.groupBy("leaf", "i", "q")).applyInPandas(rerank, "id bigint, raw binary, ids array<bigint>, score double")
-    each = found.select("id", "raw", "score", F.explode("ids").alias("other")).where("id <> other").dropDuplicates(["id", "raw", "other"])
-    order = Window.partitionBy("id", "raw").orderBy(F.desc("score"), "other")
+        # A candidate behind k + 1 others, by score and then its least id, has k better ids than any of its own.
+        order = np.lexsort((least[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+        i, j = i[kept], j[kept]
+        return pd.DataFrame({"id": q["id"].to_numpy()[i], "form": q["form"].to_numpy()[i], "ids": c["ids"].to_numpy()[j], "score": exact[kept]})
+
+    found = left.groupBy("leaf", "i", "q").cogroup(right.groupBy("leaf", "i", "q")).applyInPandas(rerank, "id bigint, form bigint, ids array<bigint>, score double")
+    # An id with several vectors counts with the nearest one.
+    each = found.select("id", "form", "score", F.explode("ids").alias("other")).where("id <> other").groupBy("id", "form", "other").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("id", "form").orderBy(F.desc("score"), "other")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", F.col("other").alias(id_col), "score")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each whose vec_id is divisible by 50, by cosine; useless vectors take no part."""
     return nearest(table(spark, sf_dir, "embeddings"))
