@@ -40,6 +40,13 @@ def test_blocks_nulls_and_clashing_names(spark):
     assert empty.where("size(hits.items) > 0").count() == 0
 
 
+def test_very_long_text():
+    tables = d.compile_items([("1", " ".join(f"w{k}" for k in range(12)))])
+    words = ["a"] * 500_000 + [f"w{k}" for k in range(1, 11)] + ["a"] * 500_000
+    spans, found = d.scan(tables, d.words_of(" ".join(words)))
+    assert found == {"1"} and sum(b - a for a, b in spans) == 10
+
+
 def test_query_matches_sql(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -7,25 +7,29 @@ bucket for each final block holds the patterns to compare directly.
 
 The patterns are held by every executor. They come from the benchmark, not from
 the corpus, and the size of the benchmark is checked first: beyond
-``max_block_bytes`` of text it is searched in blocks, one pass over the texts for
-each block, and no block is larger than that bound (unless a single item is).
+``max_block_bytes`` of text it is searched in blocks, in one job over the texts for
+each block, and no block is larger than that bound (unless a single item is). Tables
+take about 130 times a block's text, once in each worker, so that bound is what a
+worker can hold; a job's hits are written before the next job begins.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickloom.llm.common import free_name, short_batches, table
+from tickloom.llm.common import checkpointed, free_name, short_batches, table
 
 WINDOW = 10
-MAX_BLOCK_BYTES = 32 << 20
+MAX_BLOCK_BYTES = 4 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -94,12 +98,23 @@ def scan(tables: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, in
     return [tuple(s) for s in spans], items
 
 
-def _searcher(spark: SparkSession, items: list[tuple[str, str]], window: int):
-    held = spark.sparkContext.broadcast(items)
+#: The tables that this worker has built last, by the name of their search.
+_built: dict[str, list] = {}
+
+
+def _tables(name: str, held: Broadcast, window: int):
+    if name not in _built:
+        _built.clear()
+        _built[name] = compile_items(held.value, window)
+    return _built[name]
+
+
+def _searcher(held: Broadcast, window: int):
+    name = uuid.uuid4().hex
 
     @pandas_udf(FOUND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tables = compile_items(held.value, window)
+        tables = _tables(name, held, window)
         for texts in batches:
             out = []
             for text in texts:
@@ -134,22 +149,28 @@ def find_benchmark(
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).dropna()
     size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     blocks = -(-size // max_block_bytes) or 1
-    passes = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        name = free_name(docs, f"{into}_{k}")
-        docs = docs.withColumn(name, _searcher(spark, [tuple(r) for r in part.collect()], window)(F.col(text_col)))
-        passes.append(name)
     if blocks == 1:
-        return docs.withColumnRenamed(passes[0], into)
-    return docs.withColumn(
-        into,
+        held = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        return docs.withColumn(into, _searcher(held, window)(F.col(text_col)))
+    row, name = free_name(docs, "row"), free_name(docs, "hits")
+    numbered = checkpointed(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits = None
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
+        held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        found = numbered.select(row, _searcher(held, window)(F.col(text_col)).alias(name))
+        # Every text has a row in the first block's result, which brings its number of words.
+        each = checkpointed(spark, found if k == 0 else found.where(F.size(F.col(name)["items"]) > 0), "block")
+        held.destroy()
+        hits = each if hits is None else hits.union(each)
+    merged = hits.groupBy(row).agg(
         F.struct(
-            F.col(passes[0])["n_words"].alias("n_words"),
-            F.flatten(F.array(*[F.col(p)["spans"] for p in passes])).alias("spans"),
-            F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in passes]))).alias("items"),
-        ),
-    ).drop(*passes)
+            F.max(F.col(name)["n_words"]).alias("n_words"),
+            F.flatten(F.collect_list(F.col(name)["spans"])).alias("spans"),
+            F.array_distinct(F.flatten(F.collect_list(F.col(name)["items"]))).alias("items"),
+        ).alias(into)
+    )
+    return numbered.join(merged, row).drop(row)
 
 
 def n_hit(found: Column) -> Column:
@@ -170,6 +191,7 @@ def digest(items: list[str]) -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, words inside benchmark windows, items found and their digest; null texts have no words."""
     found = F.col("found")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = find_benchmark(spark, docs, table(spark, sf_dir, "benchmark")).select(

@@ -188,6 +188,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", into: str = "mai
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length; null and empty pages have an empty text."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select(
         "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars")

@@ -328,4 +328,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document; null and empty texts link with nothing."""
     return near_duplicates(table(spark, sf_dir, "documents"))

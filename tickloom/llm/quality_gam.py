@@ -202,6 +202,7 @@ def score_quality(docs: DataFrame, model: Gam, text_col: str = "text", into: str
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document's whole text, whether it is held out, and the prediction; null texts count as empty."""
     short_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))

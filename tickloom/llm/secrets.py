@@ -133,6 +133,7 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of each document's base spans, and all reported spans; null texts have none."""
     found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return found.select(

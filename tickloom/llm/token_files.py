@@ -309,6 +309,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts, lengths and checksums of all documents' ids, read back from the written shards; null texts count as empty."""
     folder = shared_dir(spark, "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
     return read_token_files(manifest).select(
