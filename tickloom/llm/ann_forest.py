@@ -68,15 +68,18 @@ class Forest:
         return x @ self.matrix.T - self.shift
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each vector in each tree."""
-        side = (self.margins(x) > 0).astype(int)
+        """Leaf of each vector in each tree, found level by level with one plane a vector."""
         children = np.array(self.children).reshape(-1, 2)
         out = np.empty((len(x), len(self.roots)), dtype=np.int32)
-        for t, root in enumerate(self.roots):
-            at = np.full(len(x), root)
-            while (inner := np.flatnonzero(at >= 0)).size:
-                at[inner] = children[at[inner], side[inner, at[inner]]]
-            out[:, t] = -1 - at
+        for start in range(0, len(x), 2048):
+            part = x[start : start + 2048]
+            for t, root in enumerate(self.roots):
+                at = np.full(len(part), root)
+                while (inner := np.flatnonzero(at >= 0)).size:
+                    node = at[inner]
+                    side = np.einsum("ij,ij->i", part[inner], self.matrix[node]) > self.shift[node]
+                    at[inner] = children[node, side.astype(int)]
+                out[start : start + len(part), t] = -1 - at
         return out
 
     def probe(self, margins: np.ndarray, probes: int) -> list[int]:
@@ -107,11 +110,10 @@ def calibrated(forest: Forest, x: np.ndarray, k: int = K, trials: int = TRIALS,
     near = q @ x.T
     near[np.arange(len(q)), np.arange(len(q))] = -np.inf
     truth = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
-    leaves, margins = forest.leaves(x), forest.margins(q)
     needed: list[int] = []
-    for i, m in enumerate(margins):
+    for near_ones, m in zip(truth, forest.margins(q)):
         rank = {leaf: n for n, leaf in enumerate(forest.probe(m, forest.n_leaves), 1)}
-        needed += [min(rank[leaf] for leaf in leaves[j]) for j in truth[i]]
+        needed += [min(rank[leaf] for leaf in leaves) for leaves in forest.leaves(x[near_ones]).tolist()]
     return int(min(forest.n_leaves, np.sort(needed)[min(len(needed) - 1, math.ceil(recall * len(needed)))]))
 
 
@@ -142,10 +144,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
-    some = [v for _, v in sorted((r["id"], r["v"]) for r in hashed_sample(rows, F.col("id"), sample).collect())]
-    lengths = [len(v) for v in some]
+    some = [v for _, v in sorted((r["id"], np.array(r["v"]).tobytes()) for r in hashed_sample(rows, F.col("id"), sample).toLocalIterator())]
+    lengths = [len(v) // 8 for v in some]
     dims = max(set(lengths), key=lengths.count) if some else 0
-    x = _unit(np.array([v for v in some if len(v) == dims]).reshape(-1, max(dims, 1)))
+    x = _unit(np.frombuffer(b"".join(v for v in some if len(v) == 8 * dims)).reshape(-1, max(dims, 1)))
     x = x[np.random.default_rng(5).permutation(len(x))]
     rows = rows.where(F.size("v") == dims)
 
@@ -174,8 +176,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                margins = held.value.margins(_unit(np.frombuffer(b"".join(b["raw"]), np.float64).reshape(len(b), -1)))
-                asked = [held.value.probe(m, probes) for m in margins]
+                v = _unit(np.frombuffer(b"".join(b["raw"]), np.float64).reshape(len(b), -1))
+                asked = [held.value.probe(m, probes) for start in range(0, len(v), 256) for m in held.value.margins(v[start : start + 256])]
                 yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "leaves": asked})
 
     queries = packed.where(F.col("id") % every == 0).dropDuplicates(["id", "raw"])
