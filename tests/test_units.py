@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.resolution import Resolution, supported
-from tickloom.operators import bars, components, keys, reshape, signals, splits
+from tickloom.operators import bars, components, keys, portfolio_backtest, reshape, signals, splits
 from tickloom.session import nan_to_null, shared_path
 from tickloom.sources import artifacts, market
 from tickloom.streaming import streams
@@ -89,3 +89,44 @@ def test_upsert(spark):
     new = spark.createDataFrame([(2, "a", 5.0), (3, "a", 6.0)], "date int, product string, y double")
     got = streams.upsert(new, old, ["date", "product"], max_rows=2)
     assert sorted(tuple(r) for r in got.collect()) == [(2, "a", 2.0, 5.0), (3, "a", None, 6.0)]
+
+
+def test_aliases_and_levels():
+    for text, want in (("2hrs", "2h"), ("5mins", "5m"), ("3secs", "3s"), ("1yr", "1y"), ("2wks", "2w"), ("1mons", "1mo")):
+        assert repr(Resolution(text)) == want
+    q = Resolution("q_L2")
+    assert [repr(x) for x in (q.to_unit(), q.finer(), q.coarser(), q.coarser().coarser(), q.finer().finer())] == ["1q_L2", "1q_L3", "1q_L1", "1t", "1q_L3"]
+    assert repr(Resolution("1y").coarser()) == "1y" and repr(Resolution("1t").finer()) == "1q_L1"
+
+
+def test_instructions_are_checked(spark):
+    df = spark.createDataFrame([(1.0, 5.0)], "signal double, close double")
+    for wrong in ({"long_only": True, "short_only": True}, {"fill_price": "high"}, {"order_quantity": True}):
+        with pytest.raises(ValueError):
+            signals.open_position(df, **wrong)
+    for wrong in ({"take_profit": 0}, {"stop_loss": 1.5}, {"trailing_stop": 1.0}, {"stop_loss": 0.1, "trailing_stop": 0.1}, {"time_window": 0}, {"time_window": True}, {"fill_price": ""}):
+        with pytest.raises(ValueError):
+            signals.close_position(df, **wrong)
+    for f in (signals.open_position, signals.close_position):
+        with pytest.raises(ValueError):
+            f(df.drop("signal"))
+    assert signals.close_position(df, stop_loss=-0.2).first().stop_loss == 0.2
+
+
+def test_panels_are_checked(spark):
+    schema = "scenario int, date int, product string, close double, weight double"
+    full = [(0, t, p, 10.0, 0.5) for t in range(4) for p in "ab"]
+    ends = [r for r in full if r[1:3] not in ((0, "a"), (3, "b"))] + [(0, 3, "b", None, None)]
+    assert portfolio_backtest.run_portfolio(spark.createDataFrame(ends, schema)).count() == len(ends)
+    gap, null = [r for r in full if r[1:3] != (1, "a")], [(*r[:3], None, None) if r[1:3] == (1, "a") else r for r in full]
+    priceless = full[:-1] + [(0, 3, "b", None, 0.5)]
+    for rows in (gap, null, priceless):
+        with pytest.raises(Exception, match="a close is missing|a weight has no close"):
+            portfolio_backtest.run_portfolio(spark.createDataFrame(rows, schema)).collect()
+
+
+def test_upsert_replaces_with_nulls_and_keeps_the_least_keys(spark):
+    old = spark.createDataFrame([(1, "a", 1.0, 7), (1, "b", 2.0, 8), (2, "a", 3.0, 9)], "date int, product string, x double, y int")
+    new = spark.createDataFrame([(1, "a", None), (2, "b", 5.0)], "date int, product string, x double")
+    got = streams.upsert(new, old, ["date", "product"], max_rows=3).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", None, 7), (2, "a", 3.0, 9), (2, "b", 5.0, None)]

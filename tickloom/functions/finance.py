@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Delivery month codes, asset type names, status precedence.
@@ -104,3 +104,25 @@ def venue_symbol(base: Column, quote: Column, kind: Column, expiry: Column) -> C
         .when(kind == "FUTURE", F.concat_ws("-", base, F.upper(F.date_format(expiry, "ddMMMyy"))))
         .otherwise(F.concat(base, quote))
     )
+
+
+def net_price(net: Column, long_price: Column, short_price: Column) -> Column:
+    """Average price of two legs held side by side: that of the leg which outweighs; none if they cancel."""
+    return F.when(net > 0, long_price).when(net < 0, short_price)
+
+
+def trailing_stop_fault(amount: Column, percent: Column, limit_offset: Column) -> Column:
+    """What is wrong with a trailing stop, or null: it has an amount or a percentage, and all that is given is above 0."""
+    return (
+        F.when(amount.isNull() == percent.isNull(), "one of amount and percent")
+        .when(F.coalesce(amount <= 0, F.lit(False)), "amount")
+        .when(F.coalesce(percent <= 0, F.lit(False)), "percent")
+        .when(F.coalesce(limit_offset <= 0, F.lit(False)), "limit_offset")
+    )
+
+
+def filled_state(orders: DataFrame, fills: DataFrame, size: Column) -> DataFrame:
+    """Orders (order_id) with what is filled and remains of ``size``, and whether that is all or a part; orders without fills stay."""
+    done = fills.groupBy("order_id").agg(F.sum("quantity").alias("filled"))
+    out = orders.join(done, "order_id", "left").withColumn("filled", F.coalesce("filled", F.lit(0.0)))
+    return out.withColumns({"remaining": size - F.col("filled"), "is_filled": F.col("filled") >= size, "is_partial": (F.col("filled") > 0) & (F.col("filled") < size)})

@@ -13,13 +13,13 @@ SECONDS = {"QUOTE": -2, "TICK": -1, "SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DA
 ALIASES = {
     "q": "QUOTE", "quote": "QUOTE", "quotes": "QUOTE",
     "t": "TICK", "tick": "TICK", "ticks": "TICK",
-    "s": "SECOND", "sec": "SECOND", "second": "SECOND", "seconds": "SECOND",
-    "m": "MINUTE", "min": "MINUTE", "minute": "MINUTE", "minutes": "MINUTE",
-    "h": "HOUR", "hour": "HOUR", "hours": "HOUR",
+    "s": "SECOND", "sec": "SECOND", "secs": "SECOND", "second": "SECOND", "seconds": "SECOND",
+    "m": "MINUTE", "min": "MINUTE", "mins": "MINUTE", "minute": "MINUTE", "minutes": "MINUTE",
+    "h": "HOUR", "hr": "HOUR", "hrs": "HOUR", "hour": "HOUR", "hours": "HOUR",
     "d": "DAY", "day": "DAY", "days": "DAY",
-    "w": "WEEK", "week": "WEEK", "weeks": "WEEK",
-    "mo": "MONTH", "month": "MONTH", "months": "MONTH",
-    "y": "YEAR", "year": "YEAR", "years": "YEAR",
+    "w": "WEEK", "wk": "WEEK", "wks": "WEEK", "week": "WEEK", "weeks": "WEEK",
+    "mo": "MONTH", "mon": "MONTH", "mons": "MONTH", "month": "MONTH", "months": "MONTH",
+    "y": "YEAR", "yr": "YEAR", "yrs": "YEAR", "year": "YEAR", "years": "YEAR",
 }
 SHORT = {"QUOTE": "q", "TICK": "t", "SECOND": "s", "MINUTE": "m", "HOUR": "h", "DAY": "d", "WEEK": "w", "MONTH": "mo", "YEAR": "y"}
 BARS = ("SECOND", "MINUTE", "HOUR", "DAY")
@@ -70,17 +70,21 @@ class Resolution:
         return f"{self.period}{SHORT[self.frame]}" + (f"_L{self.level}" if self.level else "")
 
     def to_unit(self) -> Resolution:
-        return Resolution(f"1_{self.frame}")
+        return Resolution(f"1_{self.frame}" + (f"_L{self.level}" if self.level else ""))
 
-    def finer(self) -> Resolution | None:
+    def finer(self) -> Resolution:
+        """One unit of the next finer frame; of quotes the next level. The finest stays as it is."""
+        if self.level:
+            return Resolution(f"1_QUOTE_L{self.level + 1}") if self.level < 3 else self
         frames = list(SECONDS)
-        i = frames.index(self.frame)
-        return Resolution(f"1_{frames[i - 1]}") if i else None
+        return Resolution(f"1_{frames[frames.index(self.frame) - 1]}")
 
-    def coarser(self) -> Resolution | None:
+    def coarser(self) -> Resolution:
+        """One unit of the next coarser frame; of quotes the level before, then ticks. The coarsest frame stays."""
+        if self.level and self.level > 1:
+            return Resolution(f"1_QUOTE_L{self.level - 1}")
         frames = list(SECONDS)
-        i = frames.index(self.frame)
-        return Resolution(f"1_{frames[i + 1]}") if i + 1 < len(frames) else None
+        return Resolution(f"1_{frames[min(frames.index(self.frame) + 1, len(frames) - 1)]}")
 
 
 def supported(wanted: Resolution, offered: dict[str, list[int]], shifts: dict[str, int] | None = None) -> Resolution:

@@ -52,6 +52,22 @@ def fixed(bars: DataFrame, capital: float = 1e6) -> DataFrame:
     return moved.join(dates.select("date", "cash", (F.col("cash") + F.col("_value")).alias("equity")), "date").select("date", "product", "close", "weight", "position", "cash", "equity")
 
 
+def checked_panel(panel: DataFrame, scenario: str = "scenario") -> DataFrame:
+    """The panel; it fails on a close that is missing between a product's first and last one, and on a weight without a close.
+
+    Closes may be missing before a product's first and after its last one.
+    """
+    by_date = Window.partitionBy(scenario).orderBy("date")
+    earlier = Window.partitionBy(scenario, "product").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    priced = F.col("close").isNotNull() & ~F.isnan(F.col("close").cast("double"))
+    weighed = F.col("weight").isNotNull() & ~F.isnan(F.col("weight").cast("double"))
+    ranked = panel.withColumn("_rank", F.dense_rank().over(by_date)).withColumn("_before", F.last(F.when(priced, F.col("_rank")), ignorenulls=True).over(earlier))
+    at = F.concat(F.col("product"), F.lit(" before "), F.col("date").cast("string"))
+    fault = F.when(priced & (F.col("_rank") - F.col("_before") > 1), F.concat(F.lit("a close is missing: "), at)).when(weighed & ~priced, F.concat(F.lit("a weight has no close: "), at))
+    weight = F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("weight"))
+    return ranked.withColumn("weight", weight).select(*panel.columns)
+
+
 class Portfolio:
     def __init__(self, capital: float, compounding: bool):
         self.capital, self.cash, self.compounding = capital, capital, compounding
@@ -108,7 +124,8 @@ class Portfolio:
 def run_portfolio(panel: DataFrame, capital: float = 1e6, compounding: bool = True, scenario: str = "scenario") -> DataFrame:
     """Results of weighted bars (scenario, date, product, close, weight).
 
-    A row without a close is out of the universe: what is held is closed at 0 on the next date.
+    After a product's last close, what is held of it is closed at 0 on the next date. A close that
+    is missing before that, and a weight without a close, fail (``checked_panel``).
     """
     if capital <= 0:
         raise ValueError("capital must be positive")
@@ -136,4 +153,4 @@ def run_portfolio(panel: DataFrame, capital: float = 1e6, compounding: bool = Tr
         if rows:
             yield flush()
 
-    return panel.select(*keys, "weight").repartition(scenario).sortWithinPartitions(scenario, "date", "product").mapInPandas(walk, schema)
+    return checked_panel(panel.select(*keys, "weight"), scenario).repartition(scenario).sortWithinPartitions(scenario, "date", "product").mapInPandas(walk, schema)

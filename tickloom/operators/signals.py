@@ -60,3 +60,62 @@ def segment_params(bars: DataFrame, starts: DataFrame, params: list[str]) -> Dat
     w = _by_product().rowsBetween(Window.unboundedPreceding, 0)
     carried = marked.withColumn("_params", F.last("_params", ignorenulls=True).over(w))
     return carried.select(*bars.columns, *[F.col("_params")[p].alias(p) for p in params])
+
+
+def _fill(fill_price: str) -> str:
+    if fill_price not in ("open", "close"):
+        raise ValueError("a fill price is open or close")
+    return fill_price
+
+
+def open_position(
+    signals: DataFrame,
+    order_price: Column | None = None,
+    order_quantity: Column | float = 1,
+    first_only: bool = False,
+    long_only: bool = False,
+    short_only: bool = False,
+    fill_price: str = "close",
+) -> DataFrame:
+    """Bars with the columns of orders that open positions; ``create_signal`` comes first.
+
+    A null price is a market order where no price column is given, and no order where one is.
+    """
+    if "signal" not in signals.columns:
+        raise ValueError("create_signal comes before open_position")
+    if long_only and short_only:
+        raise ValueError("long_only and short_only exclude each other")
+    if isinstance(order_quantity, bool):
+        raise ValueError("a quantity is a number or a column")
+    return signals.withColumns(
+        {
+            "order_price": order_price.cast("double") if order_price is not None else F.lit(None).cast("double"),
+            "order_quantity": (order_quantity if isinstance(order_quantity, Column) else F.lit(order_quantity)).cast("double"),
+            "first_only": F.lit(first_only), "long_only": F.lit(long_only), "short_only": F.lit(short_only), "entry_fill": F.lit(_fill(fill_price)),
+        }
+    )
+
+
+def close_position(
+    signals: DataFrame,
+    take_profit: float | None = None,
+    stop_loss: float | None = None,
+    trailing_stop: float | None = None,
+    time_window: int | None = None,
+    fill_price: str = "close",
+) -> DataFrame:
+    """Bars with the columns of conditions that close positions: shares of the price, and a number of bars."""
+    if "signal" not in signals.columns:
+        raise ValueError("create_signal comes before close_position")
+    if take_profit is not None and not take_profit > 0:
+        raise ValueError("take_profit is above 0")
+    stop_loss = None if stop_loss is None else abs(stop_loss)
+    for name, share in (("stop_loss", stop_loss), ("trailing_stop", trailing_stop)):
+        if share is not None and not 0 < share < 1:
+            raise ValueError(f"{name} is between 0 and 1")
+    if stop_loss is not None and trailing_stop is not None:
+        raise ValueError("stop_loss and trailing_stop exclude each other")
+    if time_window is not None and (isinstance(time_window, bool) or not isinstance(time_window, int) or time_window < 1):
+        raise ValueError("time_window is a number of bars")
+    given = {"take_profit": take_profit, "stop_loss": stop_loss, "trailing_stop": trailing_stop, "time_window": time_window}
+    return signals.withColumns({k: F.lit(v).cast("double") for k, v in given.items()} | {"exit_fill": F.lit(_fill(fill_price))})

@@ -15,6 +15,7 @@ from tickloom.operators import splits
 from tickloom.plans.bar_queries import daily, hourly
 from tickloom.plans.registry import BAR, CHANGES, DAILY, HOURLY, SIGNALS, query
 from tickloom.sources import market as m
+from tickloom.streaming import streams
 
 
 def signals(spark, d) -> DataFrame:
@@ -307,19 +308,33 @@ def vwap(spark, d):
 
 @query("SELECT o_orderkey AS order_id, coalesce(q, 0) AS filled, 200 - coalesce(q, 0) AS remaining, coalesce(q, 0) >= 200 AS is_filled, coalesce(q, 0) > 0 AND coalesce(q, 0) < 200 AS is_partial FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def order_fills(spark, d):
-    done = m.fills(spark, d).groupBy("order_id").agg(F.sum("quantity").alias("q"))
-    o = m.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id")).join(done, "order_id", "left").withColumn("filled", F.coalesce("q", F.lit(0.0)))
-    return o.select("order_id", "filled", (200 - F.col("filled")).alias("remaining"), (F.col("filled") >= 200).alias("is_filled"), ((F.col("filled") > 0) & (F.col("filled") < 200)).alias("is_partial"))
+    o = m.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"))
+    return finance.filled_state(o, m.fills(spark, d), F.lit(200)).select("order_id", "filled", "remaining", "is_filled", "is_partial")
 
 
-LEGS = "(SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS net, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS long, avg(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END) AS la, avg(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) AS sa FROM lineitem GROUP BY 1)"
+LEGS = "(SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS net, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS long, sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END) / sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity END) AS la, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) / sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS sa FROM lineitem GROUP BY 1)"
 
 
 @query(f"SELECT l_suppkey, net, round(CASE WHEN net > 0 THEN la WHEN net < 0 THEN sa END, 4) AS avg_price FROM {LEGS}")
 def net_position(spark, d):
-    sale = F.col("l_returnflag") == "R"
-    legs = m.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(sale, -F.col("l_quantity")).otherwise(F.col("l_quantity"))).alias("net"), F.avg(F.when(~sale, F.col("l_extendedprice"))).alias("la"), F.avg(F.when(sale, F.col("l_extendedprice"))).alias("sa"))
-    return legs.select("l_suppkey", "net", F.round(F.when(F.col("net") > 0, F.col("la")).when(F.col("net") < 0, F.col("sa")), 4).alias("avg_price"))
+    sale, quantity, paid = F.col("l_returnflag") == "R", F.col("l_quantity"), F.col("l_extendedprice")
+    price = lambda side: F.sum(F.when(side, paid)) / F.sum(F.when(side, quantity))
+    legs = m.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(sale, -quantity).otherwise(quantity)).alias("net"), price(~sale).alias("la"), price(sale).alias("sa"))
+    return legs.select("l_suppkey", "net", F.round(finance.net_price(F.col("net"), F.col("la"), F.col("sa")), 4).alias("avg_price"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN (a IS NULL) = (p IS NULL) THEN 'one of amount and percent' WHEN a <= 0 THEN 'amount' WHEN p <= 0 THEN 'percent' WHEN o <= 0 THEN 'limit_offset' END AS fault FROM (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity - 10 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END AS p, CASE WHEN l_linenumber % 4 = 0 THEN l_tax END AS o FROM lineitem)")
+def trailing_stop_faults(spark, d):
+    n = F.col("l_linenumber")
+    given = (F.when(n % 3 == 0, F.col("l_quantity") - 10), F.when(n % 2 == 0, F.col("l_discount")), F.when(n % 4 == 0, F.col("l_tax")))
+    return m.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", finance.trailing_stop_fault(*given).alias("fault"))
+
+
+@query(f"WITH {SIGNALS} SELECT date, product, signal, CASE WHEN close > 50 THEN close END AS order_price, 2.0::DOUBLE AS order_quantity, true AS first_only, true AS long_only, false AS short_only, 'open' AS entry_fill, 0.1::DOUBLE AS take_profit, 0.05::DOUBLE AS stop_loss, NULL::DOUBLE AS trailing_stop, 8.0::DOUBLE AS time_window, 'close' AS exit_fill FROM s")
+def instructions(spark, d):
+    opened = sg.open_position(signals(spark, d), F.when(F.col("close") > 50, F.col("close")), 2, first_only=True, long_only=True, fill_price="open")
+    closed = sg.close_position(opened, take_profit=0.1, stop_loss=-0.05, time_window=8)
+    return closed.drop("resolution", "open", "high", "low", "close", "volume")
 
 
 @query("SELECT p_partkey, list_min(list_filter([1, 3, 5, 15, 30], lambda x: p_size % x = 0))::BIGINT AS period FROM part")
@@ -463,21 +478,19 @@ def predict_vector(spark, d):
 @query(f"WITH {HOURLY}, r AS (SELECT {BAR}, 1 AS o FROM bars WHERE day(date) <= 15 UNION ALL SELECT date, product, resolution, open, high, low, close + 1, volume, 2 FROM bars) SELECT {BAR} FROM r QUALIFY row_number() OVER (PARTITION BY date, product ORDER BY o) = 1")
 def rehydrate(spark, d):
     h = hourly(spark, d)
-    both = m.with_source_type(h.where("day(date) <= 15")).unionByName(m.with_source_type(h.withColumn("close", F.col("close") + 1), "STREAM"))
-    w = Window.partitionBy("date", "product", "resolution").orderBy("source_type")
-    return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "source_type")
+    return streams.batch_first(h.where("day(date) <= 15"), h.withColumn("close", F.col("close") + 1), ["date", "product", "resolution"])
 
 
 @query(f"WITH {HOURLY}, a AS (SELECT date, product, close AS one FROM bars WHERE close > 40), b AS (SELECT date, product, open AS two FROM bars WHERE open < 60) SELECT coalesce(a.date, b.date) AS date, coalesce(a.product, b.product) AS product, one, two FROM a FULL JOIN b ON a.date = b.date AND a.product = b.product")
 def upsert_signals(spark, d):
     h = hourly(spark, d)
     one, two = h.where("close > 40").select("date", "product", F.col("close").alias("one")), h.where("open < 60").select("date", "product", F.col("open").alias("two"))
-    return one.join(two, ["date", "product"], "full")
+    return streams.upsert(two, one, ["date", "product"])
 
 
 @query(f"WITH {HOURLY} SELECT date, count(*) AS n_products FROM bars GROUP BY 1 HAVING count(*) = 5")
 def wide_ready(spark, d):
-    return hourly(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n_products")).where("n_products = 5")
+    return streams.ready_dates(hourly(spark, d), 5)
 
 
 @query(f"WITH {HOURLY} SELECT p.date, p.product, p.close, c.close AS child FROM bars p LEFT JOIN bars c ON c.product = p.product AND c.date = p.date AND c.volume > 1")
@@ -488,7 +501,7 @@ def signal_join(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def latest_snapshot(spark, d):
-    return m.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+    return streams.latest(m.table(spark, d, "events"), "user_id", "event_id", ["event_type"])
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -74,22 +74,41 @@ def deduplicated(stream: DataFrame, keys: list[str], time_col: str, wait: str) -
 
 
 def upsert(batch: DataFrame, stored: DataFrame | None, keys: list[str], max_rows: int | None = None) -> DataFrame:
-    """Stored rows with a batch merged in: what the batch has replaces, other columns stay; at most ``max_rows`` of latest dates."""
+    """Stored rows with a batch merged in: a batch's columns replace those of its rows, nulls too, and other columns stay.
+
+    At most ``max_rows`` rows of the latest dates are kept, of one date those of the least keys.
+    """
     if stored is None:
         out = batch
     else:
         columns = list(dict.fromkeys(stored.columns + batch.columns))
-        a, b = stored.alias("a"), batch.alias("b")
+        a, b = stored.alias("a"), batch.withColumn("_new", F.lit(True)).alias("b")
         on = F.lit(True)
         for k in keys:
             on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
 
         def pick(c: str):
-            sides = [F.col(f"{s}.{c}") for s, df in (("b", batch), ("a", stored)) if c in df.columns]
-            return F.coalesce(*sides).alias(c)
+            if c not in batch.columns:
+                return F.col(f"a.{c}").alias(c)
+            return (F.when(F.col("b._new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) if c in stored.columns else F.col(f"b.{c}")).alias(c)
 
         out = a.join(b, on, "full").select(*map(pick, columns))
-    return out.orderBy(F.desc("date")).limit(max_rows) if max_rows else out
+    return out.orderBy(F.desc("date"), *keys).limit(max_rows) if max_rows else out
+
+
+def batch_first(batch: DataFrame, streamed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both; where both have a row of the same keys, the batch's."""
+    return batch.unionByName(streamed.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns))
+
+
+def latest(updates: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """The last state of each key by ``order``."""
+    return updates.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in columns], F.max(order).alias(order))
+
+
+def ready_dates(bars: DataFrame, n_products: int) -> DataFrame:
+    """Dates on which all products have a bar, so that a wide row can be given out."""
+    return bars.groupBy("date").agg(F.count_distinct("product").alias("n_products")).where(F.col("n_products") == n_products)
 
 
 def on_batches(stream: DataFrame, hook: Callable[[DataFrame, int], None], every: str | None = None):
