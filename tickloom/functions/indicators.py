@@ -70,13 +70,16 @@ def _folded(bars: DataFrame, value: Column, n: int, rate: float, name: str) -> D
     rows = rows.withColumn("_part", F.when(F.col("_t") > 0, F.pow(F.lit(q), F.col("_i").cast("double")) * part))
     # At most q^block of what lies before a block is left in it; carried through one term per block.
     ends = rows.where(F.col("_t") == (F.col("_block") + 1) * block).select("product", "resolution", (F.col("_block") + 1).alias("_block"), F.col("_part").alias("_end"))
-    carried = ends.groupBy("product", "resolution").agg(F.array_sort(F.collect_list(F.struct("_block", "_end"))).alias("_ends"))
-    rows = rows.join(carried, ["product", "resolution"], "left")
-    start = F.aggregate(
-        F.filter(F.coalesce("_ends", F.array().cast("array<struct<_block:bigint,_end:double>>")), lambda e: e["_block"] <= F.col("_block")),
-        F.col("_seed"),
-        lambda s, e: s * (q**block) + e["_end"],
+    # What each block starts from is folded once for a product, and joined to the rows by block.
+    folded = seeds.join(ends.groupBy("product", "resolution").agg(F.array_sort(F.collect_list(F.struct("_block", "_end"))).alias("_ends")), ["product", "resolution"], "left")
+    starts = F.aggregate(
+        F.coalesce("_ends", F.array().cast("array<struct<_block:bigint,_end:double>>")),
+        F.array("_seed"),
+        lambda s, e: F.concat(s, F.array(F.element_at(s, -1) * (q**block) + e["_end"])),
     )
+    by_block = folded.select("product", "resolution", F.posexplode(starts).alias("_block", "_start")).withColumn("_block", F.col("_block").cast("bigint"))
+    rows = rows.join(by_block, ["product", "resolution", "_block"], "left")
+    start = F.col("_start")
     out = F.when(F.col("_t") == 0, F.col("_seed")).when(F.col("_t") > 0, F.col("_part") + start * F.pow(F.lit(q), F.col("_i").cast("double")))
     return rows.withColumn(name, out).select(*bars.columns, name)
 

@@ -3,16 +3,17 @@
 A rule set is a dict from output name to a rule: a constant (``Const``), a path (a list of
 keys, then functions of columns), or a nested rule set located by a path (``Each``), which
 gives a struct, or an array of structs where the message has a list. A missing or null value
-ends a path: functions after it do not run.
+ends a path: functions after it do not run. A message is parsed once, by a schema that has the
+rules' paths and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -27,27 +28,61 @@ class Each:
     many: bool = False
 
 
-def _path(keys: list[str]) -> str:
-    return "$" + "".join(f"[{k}]" if isinstance(k, int) else f"['{k}']" for k in keys)
+def _shape(rules: dict) -> dict:
+    """Keys that the rules' paths go through, nested; a list has its elements' shape, a text is an empty dict."""
+    shape: dict = {}
+    for rule in rules.values():
+        if isinstance(rule, Const):
+            continue
+        at, path = shape, [k for k in (rule.path if isinstance(rule, Each) else rule) if not callable(k)]
+        for here in path:
+            at = at.setdefault("[]" if isinstance(here, int) else here, {})
+        if isinstance(rule, Each):
+            inner = _shape(rule.rules)
+            _merge(at.setdefault("[]", {}) if rule.many else at, inner)
+    return shape
 
 
-def _value(message: Column, rule) -> Column:
+def _merge(into: dict, more: dict) -> None:
+    for k, v in more.items():
+        _merge(into.setdefault(k, {}), v)
+
+
+def _type(shape: dict) -> DataType:
+    if not shape:
+        return StringType()
+    if "[]" in shape:
+        if len(shape) > 1:
+            raise ValueError("rules take one part of a message for a list and for an object")
+        return ArrayType(_type(shape["[]"]))
+    return StructType([StructField(k, _type(v)) for k, v in shape.items()])
+
+
+def _at(part: Column, path: list) -> Column:
+    for k in path:
+        part = F.get(part, k) if isinstance(k, int) else part.getField(k)
+    return part
+
+
+def _value(part: Column, rule) -> Column:
     if isinstance(rule, Const):
         return F.lit(rule.value)
     if isinstance(rule, Each):
-        part = F.get_json_object(message, _path(list(rule.path)))
-        if not rule.many:
-            return F.when(part.isNotNull(), F.struct(*compiled(part, rule.rules)))
-        items = F.from_json(part, "array<string>")
-        return F.transform(items, lambda x: F.struct(*compiled(x, rule.rules)))
-    keys = [k for k in rule if not callable(k)]
-    steps: list[Callable[[Column], Column]] = [k for k in rule if callable(k)]
-    out = F.get_json_object(message, _path(keys))
-    for step in steps:
+        inner = _at(part, list(rule.path))
+        if rule.many:
+            return F.transform(inner, lambda x: F.struct(*_columns(x, rule.rules)))
+        return F.when(inner.isNotNull(), F.struct(*_columns(inner, rule.rules)))
+    out = _at(part, [k for k in rule if not callable(k)])
+    for step in (k for k in rule if callable(k)):
         out = F.when(out.isNotNull(), step(out))
     return out
 
 
+def _columns(part: Column, rules: dict) -> list[Column]:
+    return [_value(part, rule).alias(name) for name, rule in rules.items()]
+
+
 def compiled(message: Column, rules: dict) -> list[Column]:
-    """Columns of a rule set over a JSON text."""
-    return [_value(message, rule).alias(name) for name, rule in rules.items()]
+    """Columns of a rule set over a JSON text. Rules must not take a part as a text and also look into it."""
+    kind = _type(_shape(rules))
+    return _columns(F.from_json(message, kind) if isinstance(kind, StructType) else message, rules)
