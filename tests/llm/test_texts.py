@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+import pytest
+
 import corpus_pipeline
 from tickloom.llm import bpe, decontam, html_region, ngram_join, secrets, toxicity
 from tickloom.llm.common import table
@@ -125,3 +127,24 @@ def test_pipeline_stages_match_brute_force(spark):
     last = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.encode(spark, four, sf).collect()}
     assert last == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in four.collect()}
     assert bpe.VOCABULARY.endswith(".tiktoken")
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, stage):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (2, ""), (None, "some words that stand here"), (None, None), (3, long), (3, long), (4, f"x AKIA{'A' * 20}")]
+    clashing = [f"{k} AS {c}" for k, c in enumerate(("row", "found", "spans", "toxicity", "kept", "node", "key", "ids", "hits", "component", "id", "at"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS INT) AS n_chars", *clashing)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, docs, sf)
+    got = out.collect()
+    if stage == "byte_bpe":
+        assert sorted(r.n_tokens for r in got)[:4] == [0, 0, 0, 0] and len(got) == len(rows)
+    else:
+        assert out.columns == docs.columns
+        left = sorted((str(r.doc_id), str(r.text)[:9]) for r in got)
+        want = rows if stage != "ngram_join" else {r: 1 for r in rows}
+        assert left == sorted((str(i), "x [SECRET" if stage == "secrets" and i == 4 else str(t)[:9]) for i, t in want)
+    assert run(spark, docs.limit(0), sf).count() == 0

@@ -55,15 +55,15 @@ def _found(text: Column, every: Column, kind: int, pattern: str) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """The columns ``keep`` and ``spans``: (start, stop, kind, place), in order of start and kind.
+def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", scope: int = SCOPE, into: str = "spans") -> DataFrame:
+    """The columns ``keep`` and ``into``: (start, stop, kind, name), in order of start and kind.
 
     Starts count code points, stops are exclusive, kinds are those of ``PATTERNS`` in that
     order. Null and empty texts have no spans. Repeated rows stay separate rows. Columns that
-    are not kept may have any names; kept ones must not be called ``spans``.
+    are not kept may have any names; ``into`` must be new among the kept ones.
     """
-    if "spans" in keep:
-        raise ValueError("column spans exists")
+    if into in keep:
+        raise ValueError(f"column {into} exists")
     every = [F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m{k}") for k, p in enumerate(PATTERNS.values())]
     found = [_found(F.col("text"), F.col(f"m{k}"), k, p) for k, p in enumerate(PATTERNS.values())]
     rows = (
@@ -108,8 +108,8 @@ def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", scope
     return (
         free.withColumn("reported", base | linked)
         .groupBy("row")
-        .agg(F.first("doc", ignorenulls=True).alias("doc"), F.array_sort(F.collect_list(F.when(F.col("reported"), span))).alias("spans"))
-        .select("doc.*", "spans")
+        .agg(F.first("doc", ignorenulls=True).alias("doc"), F.array_sort(F.collect_list(F.when(F.col("reported"), span))).alias("found"))
+        .select("doc.*", F.col("found").alias(into))
     )
 
 
