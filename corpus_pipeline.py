@@ -45,9 +45,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with reported secrets masked in their texts and ``n_chars`` counted anew where it was known."""
-    found = secrets.find_secrets(docs, docs.columns)
-    changed = F.size("spans") > 0
-    out = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
+    name = free_name(docs, "spans")
+    found = secrets.find_secrets(docs, docs.columns, into=name)
+    changed = F.size(name) > 0
+    out = found.withColumn("text", secrets.masked(F.col("text"), F.col(name)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed & F.col("n_chars").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
