@@ -7,8 +7,9 @@ through one priority queue, nearest planes first, until it has met ``probes`` le
 that takes for the wanted recall is measured on the sample against brute force. What lies in
 the leaves is reranked exactly.
 
-Leaves meet queries in groups of at most about ``BLOCK`` rows on either side: a large leaf is
-cut into blocks, and so are many queries. Vectors that are the same are one candidate with
+Leaves meet queries by cells, the leaves below one node at depth ``CELL_DEPTH``, in groups of at
+most about ``BLOCK`` rows on either side: a large cell is cut into blocks, and so are many queries.
+A query is compared with the leaves that it has met only. Vectors that are the same are one candidate with
 its least ids, reduced within each batch before the shuffle. A block gives for each query the
 candidates that can be among the nearest by score and then id, without their vectors.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import checkpointed, hashed_sample, table
 
 K, EVERY = 5, 50
-TREES, LEAF, LEAST_LEAF = 6, 256, 16
+TREES, LEAF, LEAST_LEAF, CELL_DEPTH = 6, 256, 16, 6
 SAMPLE, TRIALS, RECALL = 20_000, 200, 0.95
 BLOCK = 4096
 #: More than a matrix product's scores are off the exact ones.
@@ -41,14 +42,22 @@ class Forest:
         self.planes: list[np.ndarray] = []
         self.offsets: list[float] = []
         self.children: list[list[int]] = []
-        self.n_leaves = 0
+        #: Cell of each leaf.
+        self.cells: list[int] = []
+        self.n_cells = 0
         random = np.random.default_rng(seed)
-        self.roots = [self._grow(x, depth, random) for _ in range(trees)]
+        self.roots = [self._grow(x, depth, 0, random) for _ in range(trees)]
         self.matrix = np.array(self.planes).reshape(len(self.planes), x.shape[1])
         self.shift = np.array(self.offsets)
 
-    def _grow(self, x: np.ndarray, depth: int, random) -> int:
-        if depth and len(x) >= 2 * LEAST_LEAF:
+    @property
+    def n_leaves(self) -> int:
+        return len(self.cells)
+
+    def _grow(self, x: np.ndarray, depth: int, at_depth: int, random) -> int:
+        if at_depth <= CELL_DEPTH:
+            self.n_cells += 1
+        if at_depth < depth and len(x) >= 2 * LEAST_LEAF:
             a, b = x[random.choice(len(x), 2, replace=False)]
             plane = a - b
             if (size := np.linalg.norm(plane)) > 0:
@@ -59,10 +68,10 @@ class Forest:
                     self.planes.append(plane / size)
                     self.offsets.append(middle)
                     self.children.append([0, 0])
-                    self.children[node] = [self._grow(x[at <= middle], depth - 1, random), self._grow(x[at > middle], depth - 1, random)]
+                    self.children[node] = [self._grow(x[side], depth, at_depth + 1, random) for side in (at <= middle, at > middle)]
                     return node
-        self.n_leaves += 1
-        return -self.n_leaves
+        self.cells.append(self.n_cells)
+        return -len(self.cells)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.matrix.T - self.shift
@@ -170,29 +179,36 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         for b in batches:
             if len(b):
                 leaves = held.value.leaves(_unit(np.frombuffer(b"".join(b["raw"]), np.float64).reshape(len(b), -1)))
-                yield pd.DataFrame({"leaves": leaves.tolist(), "raw": b["raw"], "ids": b["ids"]})
+                cells = [[{"cell": held.value.cells[leaf], "leaf": leaf} for leaf in mine] for mine in leaves.tolist()]
+                yield pd.DataFrame({"at": cells, "raw": b["raw"], "ids": b["ids"]})
+
+    index = checkpointed(spark, merged.mapInPandas(place, "at array<struct<cell: int, leaf: int>>, raw binary, ids array<bigint>"), "leaves")
+    def by_cell(leaves: list[int]) -> list[dict]:
+        out: dict[int, list[int]] = {}
+        for leaf in leaves:
+            out.setdefault(held.value.cells[leaf], []).append(leaf)
+        return [{"cell": cell, "leaves": mine} for cell, mine in out.items()]
 
-    index = checkpointed(spark, merged.mapInPandas(place, "leaves array<int>, raw binary, ids array<bigint>"), "leaves")
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 v = _unit(np.frombuffer(b"".join(b["raw"]), np.float64).reshape(len(b), -1))
                 asked = [held.value.probe(m, probes) for start in range(0, len(v), 256) for m in held.value.margins(v[start : start + 256])]
-                yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "leaves": asked})
+                yield pd.DataFrame({"id": b["id"], "raw": b["raw"], "at": [by_cell(leaves) for leaves in asked]})
 
     queries = packed.where(F.col("id") % every == 0).dropDuplicates(["id", "raw"])
-    asked = checkpointed(spark, queries.mapInPandas(ask, "id bigint, raw binary, leaves array<int>"), "queries")
-    placed, wanted = (df.withColumn("leaf", F.explode("leaves")).drop("leaves") for df in (index, asked))
+    asked = checkpointed(spark, queries.mapInPandas(ask, "id bigint, raw binary, at array<struct<cell: int, leaves: array<int>>>"), "queries")
+    placed, wanted = (df.withColumn("at", F.explode("at")).select("*", "at.*").drop("at") for df in (index, asked))
 
     def cuts(df: DataFrame, name: str) -> DataFrame:
-        """The leaves that have more than one block of these rows; nearly all leaves have one."""
-        return df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name)).where(F.col(name) > 1)
+        """The cells that have more than one block of these rows."""
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name)).where(F.col(name) > 1)
 
-    sizes = checkpointed(spark, cuts(placed, "blocks").join(cuts(wanted, "turns"), "leaf", "full"), "cuts")
+    sizes = checkpointed(spark, cuts(placed, "blocks").join(cuts(wanted, "turns"), "cell", "full"), "cuts")
 
     def blocked(df: DataFrame, mine: str, mine_cuts: str, theirs: str, their_cuts: str, spread: Column) -> DataFrame:
-        """Each row once in its own block of a leaf, and there once for each block of the other side."""
-        cut = df.join(sizes, "leaf", "left").fillna(1, ["blocks", "turns"])
+        """Each row once in its own block of a cell, and there once for each block of the other side."""
+        cut = df.join(sizes, "cell", "left").fillna(1, ["blocks", "turns"])
         own = F.pmod(spread, F.col(mine_cuts)).cast("int")
         others = F.explode(F.sequence(F.lit(0), (F.col(their_cuts) - 1).cast("int")))
         return cut.withColumn(mine, own).withColumn(theirs, others).drop("blocks", "turns")
@@ -206,19 +222,29 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         a, b = (np.frombuffer(b"".join(z["raw"]), np.float64).reshape(len(z), -1) for z in (q, c))
         la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         least = np.array([ids[0] for ids in c["ids"]])
-        most = min(k + 1, len(b))
-        near = (a @ b.T) / np.outer(la, lb)
-        bound = np.partition(near, len(b) - most, axis=1)[:, len(b) - most]
-        i, j = np.nonzero(near >= bound[:, None] - ROUNDING)
+        counts = [len(x) for x in q["leaves"]]
+        asking, wanted_leaf = np.repeat(np.arange(len(q)), counts), np.concatenate([*q["leaves"]])
+        leaf = c["leaf"].to_numpy()
+        found_i, found_j = [np.empty(0, int)], [np.empty(0, int)]
+        for here in np.unique(leaf):
+            i, j = asking[wanted_leaf == here], np.flatnonzero(leaf == here)
+            if not len(i):
+                continue
+            near = (a[i] @ b[j].T) / np.outer(la[i], lb[j])
+            least_near = np.partition(near, len(j) - min(k + 1, len(j)), axis=1)[:, len(j) - min(k + 1, len(j))]
+            x, y = np.nonzero(near >= least_near[:, None] - ROUNDING)
+            found_i.append(i[x])
+            found_j.append(j[y])
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
         exact = (a[i] * b[j]).sum(axis=1) / (la[i] * lb[j])
         # A candidate behind k + 1 others, by score and then its least id, has k better ids than any of its own.
         order = np.lexsort((least[j], -exact, i))
         i, j, exact = i[order], j[order], exact[order]
-        kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+        kept = np.arange(len(i)) - np.searchsorted(i, i) <= k
         i, j = i[kept], j[kept]
         return pd.DataFrame({"id": q["id"].to_numpy()[i], "form": q["form"].to_numpy()[i], "ids": c["ids"].to_numpy()[j], "score": exact[kept]})
 
-    found = left.groupBy("leaf", "i", "q").cogroup(right.groupBy("leaf", "i", "q")).applyInPandas(rerank, "id bigint, form bigint, ids array<bigint>, score double")
+    found = left.groupBy("cell", "i", "q").cogroup(right.groupBy("cell", "i", "q")).applyInPandas(rerank, "id bigint, form bigint, ids array<bigint>, score double")
     # An id with several vectors counts with the nearest one.
     each = found.select("id", "form", "score", F.explode("ids").alias("other")).where("id <> other").groupBy("id", "form", "other").agg(F.max("score").alias("score"))
     order = Window.partitionBy("id", "form").orderBy(F.desc("score"), "other")
