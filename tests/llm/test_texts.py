@@ -7,7 +7,7 @@ import time
 import pytest
 
 import corpus_pipeline
-from tickloom.llm import bpe, decontam, html_region, ngram_join, secrets, toxicity
+from tickloom.llm import bpe, decontam, html_region, secrets, toxicity
 from tickloom.llm.common import table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -104,6 +104,25 @@ def test_many_spans_and_long_runs_take_seconds(spark):
     assert got == {0: 200_000, 1: 0, 2: 0, 3: 0, 4: 0} and time.time() - began < 90
 
 
+def near_groups(rows, words, percent):
+    """Least id of each document's group, by comparing all pairs."""
+    rows = sorted(rows)
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in ((t or "").encode().lower().split() for _, t in rows)]
+    least = list(range(len(rows)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                least[y] = x
+    return {doc: rows[root(i)][0] for i, (doc, _) in enumerate(rows)}
+
+
 def test_pipeline_stages_match_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
@@ -111,7 +130,7 @@ def test_pipeline_stages_match_brute_force(spark):
     terms, weights = toxicity.fit_toxicity(docs, table(spark, sf, "labels"))
     low = {r.doc_id for r in toxicity.score_toxicity(docs, terms, weights).where("toxicity < 0.5").select("doc_id").collect()}
     assert {r.doc_id for r in kept[0].select("doc_id").collect()} == low and kept[0].columns == docs.columns
-    groups = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(kept[0]).collect()}
+    groups = near_groups([(r.doc_id, r.text) for r in kept[0].collect()], corpus_pipeline.COPY_WORDS, corpus_pipeline.COPY_PERCENT)
     two = corpus_pipeline.drop_near_copies(spark, kept[0], sf)
     assert sorted(r.doc_id for r in two.select("doc_id").collect()) == sorted(set(groups.values())) and two.columns == docs.columns
     three = corpus_pipeline.drop_contaminated(spark, two, sf)
