@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickloom.llm import ann_forest, bpe, decontam, html_region, ngram_join, quality_gam, secrets, token_files, token_fsm, toxicity
+from tickloom.llm import ann_forest, bpe, decontam, exact_dedup, html_region, ngram_join, quality_gam, secrets, token_files, token_fsm, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": html_region.op8_html_text,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
+        "op11_exact_dedup": exact_dedup.op11_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.OP1_SQL}
+    return {"op1_decontamination": decontam.OP1_SQL, "op11_exact_dedup": exact_dedup.OP11_SQL}
