@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickloom.llm import ann_forest, bpe, decontam, exact_dedup, html_region, ngram_join, quality_gam, secrets, token_files, token_fsm, toxicity
+from tickloom.llm import ann_forest, bpe, decontam, exact_dedup, html_region, ngram_join, quality_gam, resampling, secrets, token_files, token_fsm, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
         "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
