@@ -84,8 +84,10 @@ def book_stream(messages: DataFrame, depth: int | None = None) -> DataFrame:
 
     ``applied`` is false for messages that came too late. Messages without a book, number or kind
     are left out. A book's messages of one micro-batch are sorted by number; those of a later one
-    that are older come too late. Batches work too: they are one micro-batch.
+    that are older come too late. A table's last books are those of ``functions.books.book_state``.
     """
+    if not messages.isStreaming:
+        raise ValueError("books are kept over a stream of messages")
     keyed_state(messages.sparkSession)
     known = messages.where("book IS NOT NULL AND seq IS NOT NULL AND kind IN ('snapshot', 'delta', 'quote')")
     plain = known.select(F.col("book").cast("string").alias("book"), F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("bigint").alias("seq"), "kind", F.col("bids").cast(LEVELS).alias("bids"), F.col("asks").cast(LEVELS).alias("asks"))
