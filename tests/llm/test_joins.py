@@ -74,6 +74,44 @@ def test_group_without_its_centre(spark, percent):
     assert got == sorted(brute(rows, percent))
 
 
+def family(size, copies, tag, extra=()):
+    base = [f"{tag}{k}" for k in range(size)]
+    return [" ".join(edited(base, 1) + list(extra)) for _ in range(copies)]
+
+
+@pytest.mark.parametrize("kind", ["two", "ten", "chain"])
+def test_pairs_grow_with_a_family(spark, monkeypatch, kind):
+    """Families of near copies that share most of their words make no pairs within them, and few across; components are those of brute force."""
+    made = []
+    for copies in (15, 30):
+        if kind == "two":
+            texts = family(200, copies, "t") + family(200, copies, "t", [f"e{k}" for k in range(70)])
+        elif kind == "ten":
+            texts = [t for j in range(10) for t in family(200, copies // 3, "t", [f"e{j}x{k}" for k in range(50)])]
+        else:
+            texts = [t for j in range(6) for t in family(200, copies // 3, "t", [f"e{k}" for k in range(30 * j)])]
+        rows = list(enumerate(texts))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        counted = []
+        meetings = ngram_join.NearDuplicates.meetings
+        monkeypatch.setattr(ngram_join.NearDuplicates, "meetings", lambda self, r: (counted.append(meetings(self, r).count()), meetings(self, r))[1])
+        got = sorted(tuple(r) for r in ngram_join.near_duplicates(df).collect())
+        monkeypatch.undo()
+        assert got == sorted(brute(rows))
+        made.append(sum(counted))
+    assert made[1] <= (0 if kind == "two" else ngram_join.PAIRS_A_ROW * len(rows)), made
+
+
+@pytest.mark.parametrize("stars", [0, 6])
+def test_stars_change_nothing(spark, monkeypatch, stars):
+    """With as many stars as can be, and with none, components are the same."""
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(ngram_join, "STARS", stars)
+    rows = list(enumerate(family(60, 12, "s") + family(60, 12, "s", [f"e{k}" for k in range(12)]) + family(60, 12, "s", [f"e{k}" for k in range(24)]) + [" ".join(edited([f"s{k}" for k in range(60)], 4)) for _ in range(25)]))
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_join_at_80(spark):
     """Pairs of 80 to 85 %, of sizes on both sides of a band's end and within one."""
     rows = []

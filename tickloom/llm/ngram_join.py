@@ -12,9 +12,11 @@ set among them that shares most with all: the middle of a group of copies. XORin
 its hub cancels what the whole group shares and leaves a small difference. Let A and B have
 differences of a and b members from one hub. If a + b is at most the D of the two, both link
 with the hub; else A and B are similar only if (a + b - D) / 2 members or more are in both
-differences, so they must share one of the few rarest members of each. Only pairs that do, and
-are not in one component yet, are pruned by size and by the Hamming distance of a short bit
-sketch, and verified on the sets.
+differences, so they must share one of the few rarest members of each. Members that only one
+component's differences have, as those of a family of copies, are passed over before any pair
+arises. Where several components share one and their rows would make many pairs, each row is
+first compared with one of them, which merges components. Pairs that are left are pruned by size
+and by the Hamming distance of a short bit sketch, and verified on the sets.
 
 Documents with equal sets are one class. Nodes are 64-bit digests of whole sets; sets are
 compared as 64-bit hashes of shingles.
@@ -42,6 +44,8 @@ CACHE_WORDS = 200_000
 SENT_NODES = 500_000
 #: Sides of so many rows of two numbers are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: Turns of stars at most, and the pairs a row across components beyond which they begin.
+STARS, PAIRS_A_ROW = 6, 4
 #: First sizes of the bands. Narrow bands have a tight D, but more sets are guests in them.
 BAND_STARTS = sorted({int(1.4**i) for i in range(80)})
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -262,8 +266,8 @@ class NearDuplicates:
         spread = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("classes"))
         return known.join(spread.where("lo < hi AND classes > 2").select("key"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
-    def meetings(self, spokes: DataFrame) -> DataFrame:
-        """Pairs (a, b) that share one of the rarest members of their differences from one hub.
+    def differences(self, spokes: DataFrame) -> DataFrame:
+        """Rows (hub, member, node) of the rarest members of classes' differences from one hub, over which similar ones meet.
 
         Of a pair, x is the one farther from the hub. With d and e members in the differences of
         x and y, and at most D between x and y, t = (d + e - D) / 2 must be in both, so one is among
@@ -279,16 +283,63 @@ class NearDuplicates:
         rows = every.join(shared, ["hub", "member"]).withColumn("place", first + F.row_number().over(mine.orderBy("c", "member")))
         most = F.lit(r) * (F.col("n") + F.floor(F.col("n") * 100 / p))
         near = (F.col("apart") + r * (F.col("n") - F.col("h"))) / 2
-        rows = checkpointed(self.spark, rows.select("hub", "member", "node", "n", "apart", "linked", "place", F.when(F.col("linked"), near).otherwise(most).alias("outer"), F.when(F.col("linked"), F.least(near, most / 2)).otherwise(most / 2).alias("inner")).where("place <= outer + 1"), "differences")
-        x = rows.select("hub", "member", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "apart", "linked", "place")))
-        y = rows.where("place <= inner + 1").select("hub", "member", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "apart", "linked", "place")))
+        outer = F.when(F.col("linked"), near).otherwise(most)
+        inner = F.when(F.col("linked"), F.least(near, most / 2)).otherwise(most / 2)
+        kept = rows.select("hub", "member", "node", "n", "apart", "linked", "place", (F.col("place") <= inner + 1).alias("is_inner"), outer.alias("outer"))
+        return checkpointed(self.spark, kept.where("place <= outer + 1").drop("outer"), "differences")
+
+    def crossing(self, rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+        """Rows whose (hub, member) has classes of several components, with theirs; how many rows, and pairs across components."""
+        known = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = known.groupBy("hub", "member", "component").agg(F.count(F.lit(1)).alias("c"), F.max("is_inner").alias("is_inner"))
+        sizes = parts.groupBy("hub", "member").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count(F.lit(1)).alias("of"), F.max("is_inner").alias("is_inner"))
+        several = checkpointed(self.spark, sizes.where("of > 1 AND is_inner").select("hub", "member", "c", ((F.col("c") * F.col("c") - F.col("within")) / 2).cast("bigint").alias("pairs")), "several")
+        total = several.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        out = checkpointed(self.spark, known.join(several.select("hub", "member"), ["hub", "member"]), "crossing")
+        removed(self.spark, several)
+        return out, total[0], total[1]
+
+    def star(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Links (a, b) between one class of each (hub, member), another one every turn, and those of other components."""
+        one = rows.groupBy("hub", "member").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("one"))
+        pairs = rows.join(one, ["hub", "member"]).where("component <> one.component").select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
+        return self.compared(checkpointed(self.spark, self.pruned(pairs), "stars")).where("linked").select("a", "b")
+
+    def meetings(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components that share one of the rarest members of their differences from one hub."""
+        p = self.percent
+        columns = ("node", "n", "apart", "linked", "place", "component")
+        x = rows.select("hub", "member", *(F.col(c).alias(f"{c}_x") for c in columns))
+        y = rows.where("is_inner").select("hub", "member", *(F.col(c).alias(f"{c}_y") for c in columns))
         farther = F.struct("apart_x", "node_x") > F.struct("apart_y", "node_y")
         size = 100 * F.least("n_x", "n_y") >= p * F.greatest("n_x", "n_y")
         both = F.greatest(F.lit(1), F.ceil((F.col("apart_x") + F.col("apart_y") - F.floor((100 - p) * (F.col("n_x") + F.col("n_y")) / (100 + p))) / 2))
         reach = (F.col("place_x") <= F.col("apart_x") - both + 1) & (F.col("place_y") <= F.col("apart_y") - both + 1)
-        found = x.join(y, ["hub", "member"]).where(farther & size & reach & ~(F.col("linked_x") & F.col("linked_y")))
+        apart = (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
+        found = x.join(y, ["hub", "member"]).where(apart & farther & size & reach)
         return found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
+    def candidates(self, spokes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) that are still to be compared, and labels after the stars.
+
+        Members that one component alone has are passed over. While the others would make more
+        than ``PAIRS_A_ROW`` pairs a row across components, stars of linear size merge components
+        first, as long as a turn finds a link.
+        """
+        rows = self.differences(spokes)
+        crossing, n, pairs = self.crossing(rows, labels)
+        for turn in range(STARS):
+            if pairs <= PAIRS_A_ROW * n:
+                break
+            found = checkpointed(self.spark, self.star(crossing, turn), "found")
+            if found.isEmpty():
+                break
+            labels = components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+            removed(self.spark, crossing)
+            crossing, n, pairs = self.crossing(rows, labels)
+        removed(self.spark, rows)
+        return checkpointed(self.spark, self.pruned(self.meetings(crossing)), "candidates"), labels
+
     def components(self) -> DataFrame:
         """(node, component) of all classes that are linked with others."""
         spark = self.spark
@@ -299,12 +350,9 @@ class NearDuplicates:
         labels = components(spokes.where("linked").select("a", "b"))
         left = checkpointed(spark, self.unresolved(parts, labels), "left")
         removed(spark, parts)
-        pairs = self.meetings(spokes.join(left, ["a", "b"]))
-        for side in "ab":
-            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
-        pairs = checkpointed(spark, self.pruned(pairs.where("a_in <> b_in").select("a", "b")), "candidates")
+        pairs, labels = self.candidates(spokes.join(left, ["a", "b"]), labels)
         late = self.compared(pairs).where("linked").select("a", "b")
-        removed(spark, spokes)
+        removed(spark, spokes, left)
         # Earlier components count as links of their members, so few rounds are left.
         return components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
 
