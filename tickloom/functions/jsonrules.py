@@ -1,19 +1,30 @@
 """Rules that turn nested JSON messages into columns.
 
-A rule set is a dict from output name to a rule: a constant (``Const``), a path (a list of
-keys, then functions of columns), or a nested rule set located by a path (``Each``), which
-gives a struct, or an array of structs where the message has a list. A missing or null value
-ends a path: functions after it do not run. A message is parsed once, by a schema that has the
-rules' paths and nothing else.
+A rule set is a dict from output name to a rule: a constant (``Const``), a path (a list of keys,
+positions and ``ONE``, then functions of columns), or a nested rule set located by a path
+(``Each``), which gives a struct, or an array of structs where the message has a list. A missing
+or null value ends a path: functions after it do not run.
+
+A message is parsed once, into a variant value that all rules read from. A text that is no JSON
+gives nulls.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
+
+
+class _One:
+    """In a path: the only element of a list; nothing where there are more or none."""
+
+    def __repr__(self) -> str:
+        return "ONE"
+
+
+ONE = _One()
 
 
 @dataclass(frozen=True)
@@ -23,56 +34,39 @@ class Const:
 
 @dataclass(frozen=True)
 class Each:
-    path: tuple[str, ...]
+    path: tuple
     rules: dict
     many: bool = False
 
 
-def _shape(rules: dict) -> dict:
-    """Keys that the rules' paths go through, nested; a list has its elements' shape, a text is an empty dict."""
-    shape: dict = {}
-    for rule in rules.values():
-        if isinstance(rule, Const):
-            continue
-        at, path = shape, [k for k in (rule.path if isinstance(rule, Each) else rule) if not callable(k)]
-        for here in path:
-            at = at.setdefault("[]" if isinstance(here, int) else here, {})
-        if isinstance(rule, Each):
-            inner = _shape(rule.rules)
-            _merge(at.setdefault("[]", {}) if rule.many else at, inner)
-    return shape
-
-
-def _merge(into: dict, more: dict) -> None:
-    for k, v in more.items():
-        _merge(into.setdefault(k, {}), v)
-
-
-def _type(shape: dict) -> DataType:
-    if not shape:
-        return StringType()
-    if "[]" in shape:
-        if len(shape) > 1:
-            raise ValueError("rules take one part of a message for a list and for an object")
-        return ArrayType(_type(shape["[]"]))
-    return StructType([StructField(k, _type(v)) for k, v in shape.items()])
+def _path(steps: list | tuple) -> str:
+    """A variant path; keys are quoted, so that they may have any characters but quotes."""
+    out = "$"
+    for step in steps:
+        if isinstance(step, str) and ("'" in step or "\\" in step):
+            raise ValueError(f"a key has a quote or backslash: {step}")
+        out += f"[{step}]" if isinstance(step, int) else f"['{step}']"
+    return out
 
 
-def _at(part: Column, path: list) -> Column:
-    for k in path:
-        part = F.get(part, k) if isinstance(k, int) else part.getField(k)
-    return part
+def _at(part: Column, steps: list | tuple, kind: str) -> Column:
+    steps = list(steps)
+    if ONE in steps:
+        i = steps.index(ONE)
+        some = _at(part, steps[:i], "array<variant>")
+        return _at(F.when(F.size(some) == 1, F.get(some, 0)), steps[i + 1 :], kind)
+    return F.try_variant_get(part, _path(steps), kind)
 
 
 def _value(part: Column, rule) -> Column:
     if isinstance(rule, Const):
         return F.lit(rule.value)
     if isinstance(rule, Each):
-        inner = _at(part, list(rule.path))
         if rule.many:
-            return F.transform(inner, lambda x: F.struct(*_columns(x, rule.rules)))
-        return F.when(inner.isNotNull(), F.struct(*_columns(inner, rule.rules)))
-    out = _at(part, [k for k in rule if not callable(k)])
+            return F.transform(_at(part, rule.path, "array<variant>"), lambda x: F.struct(*_columns(x, rule.rules)))
+        inner = _at(part, rule.path, "variant")
+        return F.when(inner.isNotNull() & ~F.is_variant_null(inner), F.struct(*_columns(inner, rule.rules)))
+    out = _at(part, [k for k in rule if not callable(k)], "string")
     for step in (k for k in rule if callable(k)):
         out = F.when(out.isNotNull(), step(out))
     return out
@@ -82,7 +76,10 @@ def _columns(part: Column, rules: dict) -> list[Column]:
     return [_value(part, rule).alias(name) for name, rule in rules.items()]
 
 
-def compiled(message: Column, rules: dict) -> list[Column]:
-    """Columns of a rule set over a JSON text. Rules must not take a part as a text and also look into it."""
-    kind = _type(_shape(rules))
-    return _columns(F.from_json(message, kind) if isinstance(kind, StructType) else message, rules)
+def parsed(df: DataFrame, message: str, rules: dict, keep: list[str] = []) -> DataFrame:
+    """The columns ``keep`` of ``df`` and those of a rule set over the JSON texts in ``message``."""
+    name = "message"
+    while name in df.columns:
+        name = "_" + name
+    variants = df.select(*keep, F.try_parse_json(message).alias(name))
+    return variants.select(*keep, *_columns(F.col(name), rules))

@@ -68,6 +68,11 @@ def _fill(fill_price: str) -> str:
     return fill_price
 
 
+def _above_zero(value: Column, name: str) -> Column:
+    value = F.nanvl(value.cast("double"), F.lit(None))
+    return F.when(value <= 0, F.raise_error(F.lit(f"{name} is above 0")).cast("double")).otherwise(value)
+
+
 def open_position(
     signals: DataFrame,
     order_price: Column | None = None,
@@ -79,7 +84,9 @@ def open_position(
 ) -> DataFrame:
     """Bars with the columns of orders that open positions; ``create_signal`` comes first.
 
-    A null price is a market order where no price column is given, and no order where one is.
+    Without ``order_price`` orders are market orders: their price is the bar's close. With one, a
+    null price (or quantity) means no order on that bar. Prices and quantities that are given are
+    above 0, or an error is raised: at once for a number, as rows are read for a column.
     """
     if "signal" not in signals.columns:
         raise ValueError("create_signal comes before open_position")
@@ -87,10 +94,12 @@ def open_position(
         raise ValueError("long_only and short_only exclude each other")
     if isinstance(order_quantity, bool):
         raise ValueError("a quantity is a number or a column")
+    if not isinstance(order_quantity, Column) and not order_quantity > 0:
+        raise ValueError("a quantity is above 0")
     return signals.withColumns(
         {
-            "order_price": order_price.cast("double") if order_price is not None else F.lit(None).cast("double"),
-            "order_quantity": (order_quantity if isinstance(order_quantity, Column) else F.lit(order_quantity)).cast("double"),
+            "order_price": _above_zero(order_price, "order_price") if order_price is not None else F.col("close").cast("double"),
+            "order_quantity": _above_zero(order_quantity, "order_quantity") if isinstance(order_quantity, Column) else F.lit(float(order_quantity)),
             "first_only": F.lit(first_only), "long_only": F.lit(long_only), "short_only": F.lit(short_only), "entry_fill": F.lit(_fill(fill_price)),
         }
     )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tickloom.plans.bar_queries import hourly
 from tickloom.plans.registry import BAR, HOURLY, TICKS, bars_sql, query
 from tickloom.plans.trade_queries import rounded, signals
+from tickloom.session import shared_path
 from tickloom.sources import market as m
+from tickloom.sources import store
 from tickloom.streaming import idle_bars, order_books, partial_bars, signal_joins, streams
 
 CLOSED = "(SELECT max(ts) - INTERVAL 6 MINUTES FROM ticks)"
@@ -56,17 +58,32 @@ def stream_backtest(spark, d):
 def stored_bars(spark, d):
     """Bars through a stored table: fetched once, then read."""
     from tickloom.operators.bars import ohlcv
-    from tickloom.session import shared_path
 
     path = shared_path(spark, "bars")
     fetched = m.retrieve_or_fetch(spark, path, lambda s: ohlcv(m.ticks(s, d), "1d"))
     return fetched.groupBy("product").agg(F.count(F.lit(1)).alias("n_bars"), F.round(F.sum("close"), 4).alias("total"))
 
 
+@query(
+    f"WITH {TICKS}, {bars_sql('day', '1_DAY', 'b')}, r AS (SELECT * FROM b WHERE product IN ('click', 'view', 'error') AND date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20') "
+    "SELECT origin, r.date, product, resolution, open, high, low, close, volume FROM r, (VALUES ('stored'), ('cache')) AS t(origin)"
+)
+def cached_bars(spark, d):
+    """Daily bars made of stored hourly ones: asked for twice in other words, resampled once and read from the cache then."""
+    import datetime as dt
+
+    origin, cache = shared_path(spark, "bars"), shared_path(spark, "cache")
+    store.write_days(hourly(spark, d), origin)
+    asked = store.Request(origin, "1h", "1d", ("view", "click", "error"), dt.date(2024, 1, 3), dt.date(2024, 1, 20))
+    again = store.Request(origin + "/", "1_HOUR", "1_DAY", ("click", "error", "view"), dt.datetime(2024, 1, 3, 7), dt.date(2024, 1, 20))
+    got = [store.cached(spark, r, cache) for r in (asked, again)]
+    one, two = (df.withColumn("origin", F.lit(where)) for df, where in got)
+    return one.unionByName(two)
+
+
 @query(f"WITH {HOURLY} SELECT product, count(*) AS n_bars FROM bars GROUP BY 1")
 def artifact_round_trip(spark, d):
     """Results stored by product and read back."""
-    from tickloom.session import shared_path
     from tickloom.sources import artifacts
 
     path = shared_path(spark, "trading")

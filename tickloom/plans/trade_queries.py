@@ -7,13 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions import books, finance, indicators, jsonrules
+from tickloom.functions import books, finance, indicators, jsonrules, messages
 from tickloom.operators import portfolio_backtest as pf
 from tickloom.operators import product_backtest as pb
 from tickloom.operators import signals as sg
 from tickloom.operators import splits
 from tickloom.plans.bar_queries import daily, hourly
 from tickloom.plans.registry import BAR, CHANGES, DAILY, HOURLY, SIGNALS, query
+from tickloom.session import shared_path
 from tickloom.sources import market as m
 from tickloom.streaming import streams
 
@@ -103,6 +104,12 @@ def backtest_machine(spark, d):
     return _market(pb.run_machine(s))
 
 
+@query(market_sql("signal IS NOT NULL").replace("2 * n", "1 * n"))
+def open_position_market(spark, d):
+    """Orders as ``open_position`` makes them by default, through the machine: at the close, a unit each."""
+    return _market(pb.run_machine(sg.open_position(signals(spark, d))))
+
+
 STOPS = (
     f"WITH RECURSIVE {SIGNALS}, r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY date) AS i FROM s), "
     # State after each bar: position, average, pending order's size and price, pending stop and target, last signal, traded in the streak.
@@ -436,22 +443,86 @@ def available_balance(spark, d):
 @query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(props ->> '$.k' AS BIGINT) % 2 = 0 AS even, 'event' AS kind FROM events")
 def json_parse_flat(spark, d):
     rules = {"k": ["k", lambda c: c.cast("bigint")], "even": ["k", lambda c: c.cast("bigint") % 2 == 0], "kind": jsonrules.Const("event"), "none": ["missing", "deep", F.upper]}
-    return m.table(spark, d, "events").select("event_id", *jsonrules.compiled(F.col("props"), rules)).drop("none")
+    return jsonrules.parsed(m.table(spark, d, "events"), "props", rules, ["event_id"]).drop("none")
 
 
 @query("SELECT o_orderkey, coalesce(l, 0) AS n_fills, s AS total FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS l, sum(l_quantity)::BIGINT AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def json_parse_nested(spark, d):
     f = m.fills(spark, d).groupBy("order_id").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.col("quantity").cast("int").alias("q"))).alias("fills")).alias("data"))).alias("message"))
     rules = {"fills": jsonrules.Each(("data", "fills"), {"q": ["q", lambda c: c.cast("bigint")]}, many=True)}
-    o = m.table(spark, d, "orders").join(f, F.col("o_orderkey") == F.col("order_id"), "left").select("o_orderkey", *jsonrules.compiled(F.col("message"), rules))
+    o = jsonrules.parsed(m.table(spark, d, "orders").join(f, F.col("o_orderkey") == F.col("order_id"), "left"), "message", rules, ["o_orderkey"])
     return o.select("o_orderkey", F.coalesce(F.size("fills"), F.lit(0)).cast("bigint").alias("n_fills"), F.aggregate("fills", F.lit(0).cast("bigint"), lambda s, x: s + x["q"]).alias("total"))
 
 
-@query("SELECT c_nationkey, c_mktsegment AS currency, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1, 2")
+@query(f"WITH {HOURLY} SELECT product, epoch_ms(date)::DOUBLE AS start_ts, epoch_ms(date)::DOUBLE + 3599999 AS end_ts, open, high, low, close, volume, volume < 2 AS is_incremental, round(volume * close, 6) AS turnover, 'kline.60.' || product AS channel FROM bars")
+def json_kline(spark, d):
+    """Bars as a venue's messages, numbers as texts, and back."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    start = F.unix_millis(F.col("date").cast("timestamp"))
+    bar = F.struct(start.alias("start"), (start + 3599999).alias("end"), (start + 3600500).alias("timestamp"), *map(text, ("open", "high", "low", "close", "volume")), (F.col("volume") >= 2).alias("confirm"), F.round(F.col("volume") * F.col("close"), 6).cast("string").alias("turnover"))
+    sent = hourly(spark, d).select("product", F.to_json(F.struct(F.concat(F.lit("kline.60."), "product").alias("topic"), (start + 3600501).alias("ts"), F.array(bar).alias("data"))).alias("value"))
+    got = jsonrules.parsed(sent, "value", messages.KLINE, ["product"]).select("product", "channel", F.explode("data").alias("b"))
+    return got.select("product", "channel", *(F.col(f"b.{c}").alias(c) for c in ("start_ts", "end_ts", "open", "high", "low", "close", "volume", "is_incremental")), F.col("b.extra.turnover").alias("turnover"))
+
+
+@query("SELECT event_id::VARCHAR AS trade_id, (epoch_us(ts) // 1000)::DOUBLE AS ts, value AS price, abs(50 - value) AS volume, CASE WHEN event_id % 2 = 0 THEN 'Buy' ELSE 'Sell' END AS taker_side, event_type AS channel FROM events")
+def json_trades(spark, d):
+    """A user's events of a kind as one message of many trades, and back; volumes lose their sign."""
+    trade = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("T"), F.col("value").cast("string").alias("p"), (50 - F.col("value")).cast("string").alias("v"), F.col("event_id").cast("string").alias("i"), F.when(F.col("event_id") % 2 == 0, "Buy").otherwise("Sell").alias("S"))
+    sent = m.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.collect_list(trade).alias("data"))
+    sent = sent.select(F.to_json(F.struct(F.col("event_type").alias("topic"), F.lit(1).alias("ts"), "data")).alias("value"))
+    got = jsonrules.parsed(sent, "value", messages.TRADES).select("channel", F.explode("data").alias("t"))
+    return got.select("channel", F.col("t.extra.trade_id").alias("trade_id"), F.col("t.ts").alias("ts"), F.col("t.price").alias("price"), F.col("t.volume").alias("volume"), F.col("t.extra.taker_side").alias("taker_side"))
+
+
+COINS = "coins AS (SELECT c_nationkey AS account, c_mktsegment AS currency, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS cash, CAST(count(*) * 2 AS DECIMAL(18, 2)) AS locked FROM customer GROUP BY 1, 2)"
+
+
+def balance_messages(spark, d) -> DataFrame:
+    """Each nation's customers as one account's balance message, a currency for a market segment; texts of decimals."""
+    coins = m.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("account"), "c_mktsegment").agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("cash"), (F.count(F.lit(1)) * 2).alias("locked"))
+    coin = F.struct(F.col("c_mktsegment").alias("coin"), F.col("cash").cast("string").alias("walletBalance"), (F.col("cash") + 1).cast("string").alias("equity"), F.col("locked").cast("string").alias("locked"))
+    per = coins.groupBy("account").agg(F.collect_list(coin).alias("coin"), F.sum("cash").cast("string").alias("totalWalletBalance"))
+    whole = F.array(F.struct("totalWalletBalance", "coin"))
+    return per.select("account", F.to_json(F.struct(F.lit("wallet").alias("topic"), F.lit(1700000000500).alias("creationTime"), whole.alias("data"))).alias("value"))
+
+
+@query(f"WITH {COINS} SELECT account, round(sum(cash), 2)::DOUBLE AS cash, count(*) AS n_currencies, round(sum(cash - locked), 2)::DOUBLE AS available, 1700000000.5::DOUBLE AS ts FROM coins GROUP BY 1")
+def json_balance(spark, d):
+    """Accounts' cash and what all their currencies have available."""
+    got = messages.balances(balance_messages(spark, d).withColumnRenamed("account", "id"), "value", ["id"])
+    free = F.aggregate("balances", F.lit(0).cast("decimal(38,18)"), lambda s, b: (s + b["available"]).cast("decimal(38,18)"))
+    return got.select(F.col("id").alias("account"), F.round(F.col("account.cash").cast("double"), 2).alias("cash"), F.size("balances").cast("bigint").alias("n_currencies"), F.round(free.cast("double"), 2).alias("available"), "ts")
+
+
+@query(f"WITH {COINS} SELECT account AS c_nationkey, currency, cash::DOUBLE AS total, (cash + 1)::DOUBLE AS equity, (cash - locked)::DOUBLE AS available FROM coins")
 def explode_balances(spark, d):
-    per = m.table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.round(F.sum("c_acctbal"), 2).alias("total"))
-    maps = per.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "total"))).alias("balances"))
-    return maps.select("c_nationkey", F.explode("balances").alias("currency", "total"))
+    """A row for each account and currency of balance messages."""
+    sent = balance_messages(spark, d).withColumnRenamed("account", "c_nationkey")
+    got = messages.balance_updates(sent, "value", ["c_nationkey"])
+    return got.select("c_nationkey", "currency", *(F.col(c).cast("double").alias(to) for c, to in (("cash", "total"), ("equity", "equity"), ("available", "available"))))
+
+
+@query(
+    "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'no json' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' WHEN 3 THEN 'wrong type' WHEN 4 THEN 'no ts' END AS fault, "
+    "CASE event_id % 7 WHEN 1 THEN 'code ' || user_id WHEN 2 THEN 'unknown' WHEN 3 THEN 'expected a list, got OBJECT<x: BIGINT>' END AS error, CASE WHEN event_id % 7 > 4 THEN '[' || user_id || ']' END AS data FROM events"
+)
+def response_envelopes(spark, d):
+    """Responses stored by their outcome in one pass, and read back."""
+    e = F.col("event_id") % 7
+    user = F.col("user_id").cast("string")
+    body = lambda data, ts="1.5": F.concat(F.lit('{"success": true, "response": {"ts": ' + ts + ', "data": '), data, F.lit("}}"))
+    value = (
+        F.when(e == 0, F.lit("{broken"))
+        .when(e == 1, F.concat(F.lit('{"success": false, "error": "code '), user, F.lit('"}')))
+        .when(e == 2, F.lit('{"response": {}}'))
+        .when(e == 3, body(F.lit('{"x": 1}')))
+        .when(e == 4, body(F.lit("[]"), "null"))
+        .otherwise(body(F.concat(F.lit("["), user, F.lit("]"))))
+    )
+    path = shared_path(spark, "responses")
+    messages.store_checked(messages.checked(m.table(spark, d, "events").select("event_id", value.alias("value")), "value"), path)
+    return spark.read.parquet(path).select("event_id", "fault", "error", "data")
 
 
 LEVELS = "(SELECT s_nationkey AS book, CASE WHEN s_suppkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, s_acctbal AS price, s_suppkey AS size FROM supplier)"
