@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import books, finance, indicators, jsonrules, messages
+from tickloom.operators import components, folds
 from tickloom.operators import portfolio_backtest as pf
 from tickloom.operators import product_backtest as pb
 from tickloom.operators import signals as sg
@@ -542,8 +544,72 @@ def book_state(spark, d):
 
 @query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], list_transform(range(len(embedding)), lambda i: 1.0 / (i + 1))), 6) AS prediction FROM embeddings")
 def predict_vector(spark, d):
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x / (i + 1))
-    return rounded(m.table(spark, d, "embeddings").select("vec_id", F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("prediction")))
+    """A model that weighs a vector's entries, one number a row."""
+    found = components.predict(m.table(spark, d, "embeddings").select("vec_id", "embedding"), ["embedding"], lambda x: x @ (1.0 / np.arange(1, x.shape[1] + 1)), "prediction")
+    return rounded(found.drop("embedding"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda v: v)), 6) AS total, round(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v)), 6) AS squares, round(list_max(embedding)::DOUBLE, 6) AS most, round(list_min(embedding)::DOUBLE, 6) AS least FROM embeddings")
+def predict_nested(spark, d):
+    """A model that gives a matrix for each row: its last dimension is columns, the other one arrays within them."""
+    found = components.predict(m.table(spark, d, "embeddings").select("vec_id", "embedding"), ["embedding"], lambda x: np.stack([np.stack([x.sum(1), x.max(1)], 1), np.stack([(x * x).sum(1), x.min(1)], 1)], 2), "p", (2, 2))
+    sums, ends = F.col("`p-0`"), F.col("`p-1`")
+    return rounded(found.select("vec_id", sums[0].alias("total"), ends[0].alias("squares"), sums[1].alias("most"), ends[1].alias("least")))
+
+
+class _Cheap:
+    """Buys below the mean of the last bars, two orders if far below, and sells above it."""
+
+    def __call__(self, x):
+        mean = x["close"].mean()
+        last = x["close"].iloc[-1]
+        if len(x) < 5 or 0.8 * mean <= last <= 1.2 * mean:
+            return []
+        return [components.Order(1 if last < mean else -1, 1.0, last)] * (2 if last < 0.5 * mean else 1)
+
+
+@query(
+    f"WITH {HOURLY}, x AS (SELECT date, product, close, avg(close) OVER w AS mean, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY product ORDER BY date ROWS 4 PRECEDING)) "
+    "SELECT date, product, CASE WHEN n = 5 AND close < 0.8 * mean THEN 1::BIGINT WHEN n = 5 AND close > 1.2 * mean THEN -1 END AS play, CASE WHEN n < 5 OR close BETWEEN 0.8 * mean AND 1.2 * mean THEN 0::BIGINT WHEN close < 0.5 * mean THEN 2 ELSE 1 END AS n_orders FROM x"
+)
+def strategy_trades(spark, d):
+    """Signals of a strategy that looks back five bars, through a table function."""
+    out = components.trades(hourly(spark, d), _Cheap(), "play", 5, ["close"])
+    return out.select("date", "product", F.col("play").cast("bigint").alias("play"), F.size("play_orders").cast("bigint").alias("n_orders"))
+
+
+class _Blocks:
+    """Each of four equal blocks of dates is tested once, and all others are trained on."""
+
+    def get_n_splits(self, X=None, y=None, groups=None):
+        return 4
+
+    def split(self, X, y=None, groups=None):
+        n = len(X)
+        for k in range(4):
+            test = np.arange(k * n // 4, (k + 1) * n // 4)
+            yield np.setdiff1d(np.arange(n), test), test
+
+
+BLOCKS = (
+    f"WITH {HOURLY}, i AS {INDEX}, f AS (SELECT fold, fold * n // 4 AS a, (fold + 1) * n // 4 AS b FROM range(4) r(fold), (SELECT any_value(n) AS n FROM i)), "
+    "s AS (SELECT product, date, fold, CASE WHEN t >= a AND t < b THEN 'test' ELSE 'train' END AS side FROM bars JOIN i USING (date) JOIN f ON (t >= a AND t < b) OR t < a - 2 OR t >= b + 5) "
+)
+
+
+@query(BLOCKS + "SELECT product, date, fold, side FROM s")
+def split_custom(spark, d):
+    """A splitter of the user's own, with purge and embargo."""
+    return folds.with_folds(hourly(spark, d), _Blocks(), purge=2, embargo=5).select("product", "date", "fold", "side")
+
+
+@query(BLOCKS + "SELECT product, fold, side, round(sum(close), 4) AS weight, count(*) AS n FROM s JOIN bars USING (product, date) GROUP BY ALL")
+def split_companion(spark, d):
+    """Weights of the bars, kept apart from them, in the same folds."""
+    h = hourly(spark, d)
+    placed = folds.with_folds(h, _Blocks(), purge=2, embargo=5)
+    weights = folds.split_companion(placed, h.select("date", "product", "resolution", F.col("close").alias("weight")))
+    return weights.groupBy("product", "fold", "side").agg(F.round(F.sum("weight"), 4).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {HOURLY}, r AS (SELECT {BAR}, 1 AS o FROM bars WHERE day(date) <= 15 UNION ALL SELECT date, product, resolution, open, high, low, close + 1, volume, 2 FROM bars) SELECT {BAR} FROM r QUALIFY row_number() OVER (PARTITION BY date, product ORDER BY o) = 1")
