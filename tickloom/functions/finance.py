@@ -126,3 +126,58 @@ def filled_state(orders: DataFrame, fills: DataFrame, size: Column) -> DataFrame
     done = fills.groupBy("order_id").agg(F.sum("quantity").alias("filled"))
     out = orders.join(done, "order_id", "left").withColumn("filled", F.coalesce("filled", F.lit(0.0)))
     return out.withColumns({"remaining": size - F.col("filled"), "is_filled": F.col("filled") >= size, "is_partial": (F.col("filled") > 0) & (F.col("filled") < size)})
+
+
+def trim_zeros(number: Column) -> Column:
+    """A decimal number's text without needless zeros: 0.010 is 0.01, and 25000.00 is 25000; null where there is no plain number."""
+    text = F.when(F.trim(number).rlike(r"^[+-]?[0-9]*\.?[0-9]+$|^[+-]?[0-9]+\.$"), F.trim(number))
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = F.regexp_replace(F.regexp_replace(short, r"^\+", ""), r"^(-?)0*(?=[0-9])", "$1")
+    pointed = F.regexp_replace(plain, r"^(-?)\.", "$10.")
+    return F.when(pointed.isin("", "-", "-0"), F.lit("0")).otherwise(pointed)
+
+
+def available(cash: Column, locked: Column) -> Column:
+    """What of a balance is not locked, exactly; nothing locked where that is not known."""
+    return (cash.cast("decimal(28,10)") - F.coalesce(locked.cast("decimal(28,10)"), F.lit(0))).cast("decimal(28,10)")
+
+
+# Order types that wait for a trigger, all order types, and how long orders stand.
+STOP_TYPES = ("STOP_MARKET", "STOP_LIMIT")
+ORDER_TYPES = ("MARKET", "LIMIT", *STOP_TYPES)
+TIMES_IN_FORCE = ("GTC", "GTD", "IOC", "FOK", "DAY")
+
+
+def known(text: Column, names: tuple[str, ...]) -> Column:
+    """A name in whatever case as the known one; other names stay as they are."""
+    return F.when(F.upper(text).isin(*names), F.upper(text)).otherwise(text)
+
+
+def order_fault(side: Column, order_type: Column, price: Column, quantity: Column, trigger_price: Column, direction: Column, trailing: Column) -> Column:
+    """What is wrong with an order, or null.
+
+    A side has a sign; prices and quantities that are given are above 0. A limit has a price. A
+    stop has a trigger price and a direction, up or down, unless it trails: a trailing stop makes
+    its own price and takes the direction from the side.
+    """
+    kind = known(order_type, ORDER_TYPES)
+    stop = F.coalesce(kind.isin(*STOP_TYPES), F.lit(False)) & ~F.coalesce(trailing, F.lit(False))
+    below = lambda c: F.coalesce(c <= 0, F.lit(False))
+    return (
+        F.when(side_sign(side).isNull(), "side")
+        .when(kind.isNull(), "order_type")
+        .when(quantity.isNull() | below(quantity), "quantity")
+        .when(below(price) | (F.coalesce(kind.isin("LIMIT", "STOP_LIMIT"), F.lit(False)) & price.isNull()), "price")
+        .when(stop & (trigger_price.isNull() | below(trigger_price)), "trigger_price")
+        .when(stop & ~F.coalesce(F.upper(direction).isin("UP", "DOWN"), F.lit(False)), "trigger_direction")
+    )
+
+
+def amended(price: Column, quantity: Column, new_price: Column, new_quantity: Column, tick: Column, lot: Column, side: Column) -> Column:
+    """Struct (price, quantity, fault) after an amendment: new prices to the passive tick, new quantities to the lot.
+
+    An amendment without either, or to nothing, is a fault and leaves the order as it was.
+    """
+    p, q = round_tick(new_price, tick, "passive", side), round_lot(new_quantity, lot)
+    fault = F.when(new_price.isNull() & new_quantity.isNull(), "nothing to amend").when(F.coalesce(p <= 0, F.lit(False)), "price").when(F.coalesce(q <= 0, F.lit(False)), "quantity")
+    return F.struct(F.when(fault.isNull(), F.coalesce(p, price)).otherwise(price).alias("price"), F.when(fault.isNull(), F.coalesce(q, quantity)).otherwise(quantity).alias("quantity"), fault.alias("fault"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +63,7 @@ def _folded(bars: DataFrame, value: Column, n: int, rate: float, name: str) -> D
     through their last values: two windows and no fold over a whole product.
     """
     q = 1.0 - rate
-    block = max(1, int(300 / max(1e-9, -__import__("math").log10(q)) / 4)) if q > 0 else 1
+    block = max(1, int(300 / max(1e-9, -math.log10(q)) / 4)) if q > 0 else 1
     w = _ordered()
     rows = bars.withColumn("_x", value).withColumn("_k", F.sum(F.col("_x").isNotNull().cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     seeds = rows.where((F.col("_k") <= n) & F.col("_x").isNotNull()).groupBy("product", "resolution").agg(F.avg("_x").alias("_seed"))
@@ -96,3 +100,76 @@ def rsi(bars: DataFrame, n: int, field: str = "close", name: str = "rsi") -> Dat
     down = _folded(up, F.greatest(-F.col("_change"), F.lit(0.0)) + F.col("_change") * 0, n, 1 / n, "_down")
     total = F.col("_up") + F.col("_down")
     return down.withColumn(name, F.when(total == 0, 0.0).otherwise(100 * F.col("_up") / total)).select(*bars.columns, name)
+
+
+@dataclass(frozen=True)
+class Indicator:
+    """A named indicator: its parameters with their defaults, its outputs, and how bars get them."""
+
+    name: str
+    parameters: dict[str, object]
+    outputs: tuple[str, ...]
+    add: Callable[..., DataFrame]
+
+    def look_back(self, **given) -> int:
+        """Bars that a value needs: the largest of the whole-number parameters, and one more for changes."""
+        p = self.parameters | given
+        return max((v for v in p.values() if isinstance(v, int)), default=1) + (self.name in ("ROC", "MOM", "RSI", "TRANGE"))
+
+
+def _columns(make: Callable[..., Column | tuple[Column, ...]]) -> Callable[..., DataFrame]:
+    """An adder of column expressions, one for each output."""
+
+    def add(bars: DataFrame, names: tuple[str, ...], **p) -> DataFrame:
+        made = make(**p)
+        return bars.withColumns(dict(zip(names, made if isinstance(made, tuple) else (made,))))
+
+    return add
+
+
+_REGISTRY: dict[str, Indicator] = {}
+
+
+def register(name: str, parameters: dict[str, object], outputs: tuple[str, ...], add: Callable[..., DataFrame]) -> None:
+    """Makes an indicator known by a name in upper case: ``add(bars, names, **parameters)`` gives bars with columns of these names."""
+    if name != name.upper() or name in _REGISTRY:
+        raise ValueError(f"a new name in upper case is needed, not {name!r}")
+    _REGISTRY[name] = Indicator(name, parameters, outputs, add)
+
+
+def indicator(name: str) -> Indicator:
+    if name.upper() not in _REGISTRY:
+        raise LookupError(f"there is no indicator {name!r}; there are {sorted(_REGISTRY)}")
+    return _REGISTRY[name.upper()]
+
+
+def with_indicator(bars: DataFrame, name: str, prefix: str = "", **given) -> DataFrame:
+    """Bars with an indicator's outputs, named as the indicator names them after ``prefix``.
+
+    Parameters that are not given have their defaults; unknown ones, and periods below 1, are
+    errors, as are columns that the bars lack or already have.
+    """
+    of = indicator(name)
+    if unknown := sorted(set(given) - set(of.parameters)):
+        raise ValueError(f"{of.name} has no parameters {unknown}; it has {sorted(of.parameters)}")
+    p = of.parameters | given
+    for k, v in p.items():
+        if k == "n" and (isinstance(v, bool) or not isinstance(v, int) or v < 1):
+            raise ValueError(f"{of.name} has a period of 1 or more")
+        if k == "field" and v not in bars.columns:
+            raise ValueError(f"the bars have no {v}")
+    names = tuple(prefix + o for o in of.outputs)
+    if taken := sorted(set(names) & set(bars.columns)):
+        raise ValueError(f"there are columns of these names already: {taken}")
+    return of.add(bars, names, **p)
+
+
+register("SMA", {"n": 30, "field": "close"}, ("sma",), _columns(sma))
+register("BBANDS", {"n": 5, "width": 2.0, "field": "close"}, ("upperband", "middleband", "lowerband"), _columns(bbands))
+register("ROC", {"n": 10, "field": "close"}, ("roc",), _columns(roc))
+register("MOM", {"n": 10, "field": "close"}, ("mom",), _columns(mom))
+register("MAX", {"n": 30, "field": "high"}, ("max",), _columns(highest))
+register("MIN", {"n": 30, "field": "low"}, ("min",), _columns(lowest))
+register("TRANGE", {}, ("trange",), _columns(true_range))
+register("EMA", {"n": 30, "field": "close"}, ("ema",), lambda bars, names, n, field: ema(bars, n, field, names[0]))
+register("RSI", {"n": 14, "field": "close"}, ("rsi",), lambda bars, names, n, field: rsi(bars, n, field, names[0]))

@@ -92,12 +92,20 @@ def spine_union(frames: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+#: Products of so many are written into every row of dates; more are an error, as a wide frame has a column for each.
+WIDE_PRODUCTS = 20_000
+
+
 def cross_spine(dates: DataFrame, products: DataFrame) -> DataFrame:
-    """Every date with every product of a wide parent: the parent's own cells."""
-    return dates.select("date").distinct().join(F.broadcast(products.select("product").distinct()))
+    """Every date with every product of a wide parent: the parent's own cells, of at most ``WIDE_PRODUCTS`` products."""
+    names = [r["product"] for r in products.select("product").where("product IS NOT NULL").distinct().limit(WIDE_PRODUCTS + 1).collect()]
+    if len(names) > WIDE_PRODUCTS:
+        raise ValueError(f"a wide frame has at most {WIDE_PRODUCTS} products")
+    return dates.select("date").distinct().withColumn("product", F.explode(F.array(*map(F.lit, sorted(names))).cast("array<string>")))
 
 
 def align(spine: DataFrame, other: DataFrame, mode: str, resolution: str, other_resolution: str | None = None, time_col: str = "ts") -> DataFrame:
+    """``other`` on the spine's bars: by key (``exact``), as of their close (``asof``) or by the bar that a time falls into (``event``)."""
     if mode == "exact":
         return align_exact(spine, other)
     if mode == "asof":

@@ -84,7 +84,7 @@ def predict(df: DataFrame, inputs: list[str], model: object, name: str, shape: t
     columns of numbers, or one column of arrays of one length. Columns are named after the
     component unless ``names`` says otherwise. The model is pickled, checked to be at most
     ``MODEL_BYTES``, broadcast, and unpickled once a worker. A prediction of another shape, or of
-    none, is an error.
+    none, is an error; NaN in a column of numbers is null.
     """
     n = shape[-1] if shape else 1
     names = names or signal_names(name, n)

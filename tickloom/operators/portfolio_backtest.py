@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.folds import time_ranks
+
 RESULT = ("weight", "order_price", "order_size", "trade_price", "trade_size", "position", "avg_price", "cash", "equity")
 
 
@@ -24,11 +26,17 @@ def weight_check(weights: DataFrame) -> DataFrame:
 
 
 def panel_gaps(bars: DataFrame, dates: DataFrame) -> DataFrame:
-    """Dates between a product's first and last close on which it has none."""
-    priced = bars.where("close IS NOT NULL")
-    life = priced.groupBy("product").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    expected = dates.select("date").distinct().join(F.broadcast(life), F.col("date").between(F.col("first"), F.col("last"))).select("product", "date")
-    return expected.join(priced.select("product", "date"), ["product", "date"], "left_anti")
+    """Dates between a product's first and last close on which it has none.
+
+    Dates are numbered; where a product's next close is more than one number on, the numbers
+    between are its gaps. So rows are made for gaps alone, and nothing is compared over ranges.
+    """
+    numbered = time_ranks(dates)
+    priced = bars.where("close IS NOT NULL").select("product", "date").distinct().join(numbered, "date")
+    after = F.lead("time_idx").over(Window.partitionBy("product").orderBy("time_idx"))
+    gaps = priced.withColumn("_after", after).where(F.col("_after") > F.col("time_idx") + 1)
+    missing = gaps.select("product", F.explode(F.sequence(F.col("time_idx") + 1, F.col("_after") - 1)).alias("time_idx"))
+    return missing.join(numbered, "time_idx").select("product", "date")
 
 
 def compound(bars: DataFrame, capital: float = 1e6) -> DataFrame:

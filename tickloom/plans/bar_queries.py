@@ -266,10 +266,15 @@ def anti_missing(spark, d):
     return k.missing_rows(h.select("date", "product"), h.where("close > 50"), ["date", "product"])
 
 
-@query("SELECT s, p.period::BIGINT AS period, p.timeframe, p.level::BIGINT AS level, p.seconds::BIGINT AS seconds FROM (VALUES ('1m', 1, 'MINUTE', NULL, 60), ('15_MINUTE', 15, 'MINUTE', NULL, 900), ('h', 1, 'HOUR', NULL, 3600), ('4-hours', 4, 'HOUR', NULL, 14400), ('1q_L2', 1, 'QUOTE', 2, -2), ('2d', 2, 'DAY', NULL, 172800), ('bad!', NULL, NULL, NULL, NULL), ('0m', NULL, NULL, NULL, NULL)) AS p(s, period, timeframe, level, seconds)")
+@query(
+    "SELECT p_partkey, p_size AS period, CASE p_partkey % 5 WHEN 0 THEN 'MINUTE' WHEN 1 THEN 'HOUR' WHEN 2 THEN 'QUOTE' WHEN 3 THEN 'DAY' END AS timeframe, CASE WHEN p_partkey % 5 = 2 THEN 2::BIGINT END AS level, "
+    "CASE p_partkey % 5 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN -2 WHEN 3 THEN 86400 END * p_size::BIGINT AS seconds FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN p_size::BIGINT END AS p_size FROM part)"
+)
 def parse_resolution(spark, d):
-    rows = [(s,) for s in ("1m", "15_MINUTE", "h", "4-hours", "1q_L2", "2d", "bad!", "0m")]
-    return spark.createDataFrame(rows, "s string").withColumn("p", parsed(F.col("s"))).select("s", "p.period", "p.timeframe", "p.level", "p.seconds")
+    """Resolutions written in several ways, their periods from the parts' sizes; some are none."""
+    size = F.col("p_size").cast("string")
+    text = F.element_at(F.array(F.concat(size, F.lit("m")), F.concat(size, F.lit("-hours")), F.concat(size, F.lit("q_L2")), F.concat(size, F.lit("_DAY")), F.concat(size, F.lit("bad!"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return m.table(spark, d, "part").select("p_partkey", parsed(text).alias("p")).select("p_partkey", "p.period", "p.timeframe", "p.level", "p.seconds")
 
 
 @query("SELECT event_id, CAST(floor((epoch(ts) - 1800) / 3600) * 3600 + 1800 AS BIGINT) AS start_s, CAST(floor((epoch(ts) - 1800) / 3600) * 3600 - 1800 AS BIGINT) AS completed_s FROM events")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions import books, finance, indicators, jsonrules, messages
+from tickloom.functions import books, finance, indicators, jsonrules, messages, products
 from tickloom.operators import components, folds
 from tickloom.operators import portfolio_backtest as pf
 from tickloom.operators import product_backtest as pb
@@ -17,6 +17,7 @@ from tickloom.operators import splits
 from tickloom.plans.bar_queries import daily, hourly
 from tickloom.plans.registry import BAR, CHANGES, DAILY, HOURLY, SIGNALS, query
 from tickloom.session import shared_path
+from tickloom.sources import files
 from tickloom.sources import market as m
 from tickloom.streaming import streams
 
@@ -363,10 +364,12 @@ def round_tick(spark, d):
     return m.table(spark, d, "part").select("p_partkey", finance.round_tick(price, tick, "nearest").alias("nearest"), finance.round_tick(price, tick, "passive", buy).alias("passive_buy"), finance.round_tick(price, tick, "aggressive", buy).alias("aggressive_buy"))
 
 
-@query("SELECT * FROM (VALUES ('buy', 1::BIGINT), ('SHORT', -1), ('Long', 1), ('sell', -1), ('5', 1), ('-2', -1), ('0', NULL), ('x', NULL)) AS t(side, sign)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN 1::BIGINT WHEN 1 THEN -1 WHEN 2 THEN nullif(sign(l_quantity - 25), 0)::BIGINT END AS sign FROM lineitem")
 def side_sign(spark, d):
-    rows = [(s,) for s in ("buy", "SHORT", "Long", "sell", "5", "-2", "0", "x")]
-    return spark.createDataFrame(rows, "side string").select("side", finance.side_sign(F.col("side")).cast("bigint").alias("sign"))
+    """Sides as names in any case, as signed numbers, and as neither."""
+    n = F.col("l_linenumber") % 4
+    side = F.when(n == 0, F.when(F.col("l_suppkey") % 2 == 0, "buy").otherwise("Long")).when(n == 1, F.when(F.col("l_suppkey") % 2 == 0, "SELL").otherwise("short")).when(n == 2, (F.col("l_quantity") - 25).cast("int").cast("string")).otherwise(F.col("l_returnflag"))
+    return m.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", finance.side_sign(side).cast("bigint").alias("sign"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_size % 2 = 0 THEN p_size * 10 / p_retailprice ELSE p_size * 10 END, 6) AS base, round(CASE WHEN p_size % 2 = 0 THEN p_size * 10 ELSE p_size * 10 * p_retailprice END, 6) AS quote FROM part")
@@ -394,15 +397,78 @@ def venue_symbol(spark, d):
     return m.table(spark, d, "orders").select("o_orderkey", finance.venue_symbol(F.lit("BTC"), quote, kind, F.col("o_orderdate")).alias("symbol"))
 
 
-@query("SELECT * FROM (VALUES ('btc_usdt_perp', 'BTC', 'USDT', 'PERPETUAL'), ('AAPL_USD_STK', 'AAPL', 'USD', 'STOCK'), ('ETH_USD_inverse-perpetual', 'ETH', 'USD', 'INVERSE-PERPETUAL'), ('bad', NULL, NULL, NULL), ('A_B', NULL, NULL, NULL)) AS t(text, base, quote, asset_type)")
+KIND = "CASE p_partkey % 4 WHEN 0 THEN 'PERPETUAL' WHEN 1 THEN 'STOCK' WHEN 2 THEN 'INVERSE-PERPETUAL' ELSE 'BOND' END"
+
+
+def written_kind():
+    """A part's asset type as a user writes it."""
+    return F.element_at(F.array(*map(F.lit, ("perp", "STK", "inverse-perpetual", "Bond"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN ok THEN 'P' || p_partkey END AS base, CASE WHEN ok THEN 'USD' END AS quote, CASE WHEN ok THEN {KIND} END AS asset_type FROM (SELECT *, p_size % 3 > 0 AS ok FROM part)")
 def parse_basis(spark, d):
-    rows = [(s,) for s in ("btc_usdt_perp", "AAPL_USD_STK", "ETH_USD_inverse-perpetual", "bad", "A_B")]
-    return spark.createDataFrame(rows, "text string").withColumn("p", finance.parse_basis(F.col("text"))).select("text", "p.base", "p.quote", "p.asset_type")
+    """Parts as products of a base, a quote and a type; those of some sizes lack the quote."""
+    base = F.concat(F.lit("p"), F.col("p_partkey"))
+    text = F.when(F.col("p_size") % 3 > 0, F.concat_ws("_", base, F.lit("usd"), written_kind())).otherwise(F.concat_ws("_", base, written_kind()))
+    return m.table(spark, d, "part").select("p_partkey", finance.parse_basis(text).alias("p")).select("p_partkey", "p.base", "p.quote", "p.asset_type")
 
 
-@query("SELECT * FROM (VALUES ('iperp', 'INVERSE-PERPETUAL'), ('STK', 'STOCK'), ('spot', 'CRYPTO'), ('bond', 'BOND')) AS t(name, full_name)")
+@query(f"SELECT p_partkey, {KIND} AS full_name FROM part")
 def asset_type_norm(spark, d):
-    return spark.createDataFrame([("iperp",), ("STK",), ("spot",), ("bond",)], "name string").select("name", finance.asset_type(F.col("name")).alias("full_name"))
+    return m.table(spark, d, "part").select("p_partkey", finance.asset_type(written_kind()).alias("full_name"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN ['colour'] WHEN p_partkey % 3 = 1 AND p_size % 2 = 0 THEN ['strike_price'] ELSE [] END::VARCHAR AS unknown, "
+    "CASE WHEN p_partkey % 3 = 0 AND p_size % 5 = 0 THEN ['option_type'] ELSE [] END::VARCHAR AS missing, "
+    "CASE WHEN p_partkey % 3 = 2 OR (p_partkey % 3 = 1 AND p_size % 2 = 0) THEN 'unknown specs' WHEN p_partkey % 3 = 0 AND p_size % 5 = 0 THEN 'missing specs' END AS fault FROM part"
+)
+def product_specs(spark, d):
+    """Parts as options, stocks and futures whose specifications are checked by a rule table."""
+    k, size = F.col("p_partkey") % 3, F.col("p_size")
+    strike = F.col("p_retailprice").cast("string")
+    option = F.create_map(F.lit("strike_price"), strike, F.lit("expiration"), F.lit("2026-03-27"), F.lit("option_type"), F.when(size % 5 > 0, "call").otherwise(" "))
+    stock = F.when(size % 2 == 0, F.create_map(F.lit("strike_price"), strike))
+    future = F.create_map(F.lit("expiration"), F.lit("2026-03-27"), F.lit("colour"), F.col("p_brand"))
+    basis = F.concat(F.lit("P"), F.col("p_partkey"), F.lit("_USD_"), F.element_at(F.array(*map(F.lit, ("OPT", "STK", "FUT"))), (k + 1).cast("int")))
+    parts = m.table(spark, d, "part").select("p_partkey", F.lit("bybit").alias("source"), basis.alias("basis"), F.when(k == 0, option).when(k == 1, stock).otherwise(future).alias("specs"))
+    out = products.checked(parts, products.rules(spark))
+    text = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    return out.select("p_partkey", text(F.col("unknown")).alias("unknown"), text(F.col("missing")).alias("missing"), "fault")
+
+
+@query("SELECT 'P' || s_suppkey % 7 || '_USD_OPTION_2026-03-' || lpad((s_suppkey % 5 + 10)::VARCHAR, 2, '0') || '_' || s_suppkey % 3 || '_CALL' AS symbol, count(*) AS n, count(DISTINCT s_nationkey % 2) AS n_sources FROM supplier GROUP BY 1")
+def product_identity(spark, d):
+    """Options that several suppliers list: the same if source, symbol and asset type are."""
+    s = F.col("s_suppkey")
+    day = F.concat(F.lit("2026-03-"), F.lpad((s % 5 + 10).cast("string"), 2, "0"))
+    specs = F.create_map(F.lit("strike_price"), (s % 3).cast("string"), F.lit("option_type"), F.lit("call"), F.lit("expiration"), day)
+    listed = m.table(spark, d, "supplier").select(F.concat(F.lit("P"), s % 7, F.lit("_usd_"), F.when(s % 2 == 0, "opt").otherwise("OPTION")).alias("basis"), F.when(F.col("s_nationkey") % 2 == 0, "one").otherwise("TWO").alias("source"), specs.alias("specs"))
+    same = products.identical(products.checked(listed, products.rules(spark)).where("fault IS NULL"))
+    of_key = same.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return of_key.groupBy(F.col("key.symbol").alias("symbol")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sources"))
+
+
+@query("SELECT c_custkey, CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE rtrim(x::VARCHAR, '0') END AS text FROM (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18, 4)) AS x FROM customer)")
+def trim_zeros(spark, d):
+    """Balances as decimal texts of four places, without needless zeros."""
+    return m.table(spark, d, "customer").select("c_custkey", finance.trim_zeros(F.col("c_acctbal").cast("decimal(18,4)").cast("string")).alias("text"))
+
+
+@query(f"WITH {HOURLY} SELECT {BAR} FROM bars")
+def csv_round_trip(spark, d):
+    """Bars through CSV files with a schema and no inference."""
+    path = shared_path(spark, "csv")
+    h = hourly(spark, d)
+    files.store(h.withColumn("date", F.col("date").cast("timestamp")), path, "csv")
+    return files.load(spark, path, "csv")[0].withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query(_indicator("registry", "round(CASE WHEN count(*) OVER x = 5 THEN avg(close) OVER x + 2 * stddev_pop(close) OVER x END, 6) AS b_upperband, round(CASE WHEN count(*) OVER x = 5 THEN avg(close) OVER x END, 6) AS b_middleband, round(CASE WHEN count(*) OVER x = 5 THEN avg(close) OVER x - 2 * stddev_pop(close) OVER x END, 6) AS b_lowerband, round(CASE WHEN count(*) OVER x = 5 THEN avg(open) OVER x END, 6) AS sma"))
+def ind_registry(spark, d):
+    """Indicators by name, with defaults and given parameters."""
+    bars = indicators.with_indicator(hourly(spark, d), "BBANDS", "b_")
+    return rounded(indicators.with_indicator(bars, "sma", n=5, field="open").select("date", "product", "b_upperband", "b_middleband", "b_lowerband", "sma"))
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'U' WHEN '2-HIGH' THEN 'H' ELSE o_orderpriority END AS code FROM orders")
@@ -429,17 +495,38 @@ def stop_kind(spark, d):
     return m.table(spark, d, "orders").select("o_orderkey", finance.stop_kind(side, F.when(F.col("o_orderkey") % 3 == 0, "DOWN").otherwise("UP")).alias("kind"))
 
 
-@query("SELECT o_orderkey, o_orderstatus IN ('F', 'P') AND o_custkey % 7 = 0 AS lacks_trigger, o_totalprice <= 0 AS bad_price FROM orders WHERE (o_orderstatus IN ('F', 'P') AND o_custkey % 7 = 0) OR o_totalprice <= 0")
+ORDERS = "(SELECT *, o_orderkey % 4 AS k, CASE WHEN o_custkey % 7 > 0 THEN o_totalprice END AS trigger, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'sideways' ELSE 'up' END AS direction FROM orders)"
+
+
+@query(
+    f"SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN 'side' WHEN o_custkey % 13 = 0 THEN 'quantity' WHEN k = 3 AND o_orderstatus = 'P' THEN 'price' WHEN k IN (2, 3) AND trigger IS NULL THEN 'trigger_price' "
+    f"WHEN k IN (2, 3) AND (direction IS NULL OR direction = 'sideways') THEN 'trigger_direction' END AS fault FROM {ORDERS}"
+)
 def order_violations(spark, d):
-    trigger = F.when(F.col("o_custkey") % 7 != 0, F.col("o_totalprice"))
-    o = m.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus").isin("F", "P") & trigger.isNull()).alias("lacks_trigger"), (F.col("o_totalprice") <= 0).alias("bad_price"))
-    return o.where("lacks_trigger OR bad_price")
+    """What is wrong with orders of all types."""
+    c, k = F.col("o_custkey"), (F.col("o_orderkey") % 4 + 1).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, ("market", "Limit", "stop_market", "STOP_LIMIT"))), k)
+    direction = F.when(c % 5 == 0, None).when(c % 5 == 1, "sideways").otherwise("up")
+    price = F.when((k == 4) & (F.col("o_orderstatus") == "P"), F.lit(None)).otherwise(F.col("o_totalprice"))
+    fault = finance.order_fault(F.when(c % 11 == 0, "hold").otherwise("Buy"), kind, price, F.when(c % 13 == 0, 0).otherwise(1), F.when(c % 7 > 0, F.col("o_totalprice")), direction, F.lit(False))
+    return m.table(spark, d, "orders").select("o_orderkey", fault.alias("fault"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN f IS NULL AND p IS NOT NULL THEN floor(p / 0.25) * 0.25 ELSE p_retailprice END AS price, CASE WHEN f IS NULL AND q IS NOT NULL THEN floor(q / 4) * 4 ELSE 40 END::DOUBLE AS quantity, f AS fault FROM ("
+    "SELECT *, CASE WHEN p IS NULL AND q IS NULL THEN 'nothing to amend' WHEN floor(q / 4) <= 0 THEN 'quantity' END AS f FROM (SELECT *, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice * 1.01 END AS p, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS q FROM part))"
+)
+def order_amendments(spark, d):
+    """New prices to the passive tick and new quantities to the lot."""
+    price, quantity = F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice") * 1.01), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double"))
+    out = finance.amended(F.col("p_retailprice"), F.lit(40.0), price, quantity, F.lit(0.25), F.lit(4.0), F.lit(1))
+    return m.table(spark, d, "part").select("p_partkey", out.alias("o")).select("p_partkey", "o.price", F.col("o.quantity").cast("double").alias("quantity"), "o.fault")
 
 
 @query("SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(18, 4)) - CAST(abs(c_nationkey) AS DECIMAL(18, 4)) * 2 AS DOUBLE) AS available FROM customer")
 def available_balance(spark, d):
     c = m.table(spark, d, "customer")
-    return c.select("c_custkey", (F.col("c_acctbal").cast("decimal(18,4)") - F.col("c_nationkey").cast("decimal(18,4)") * 2).cast("double").alias("available"))
+    return c.select("c_custkey", finance.available(F.col("c_acctbal"), F.col("c_nationkey") * 2).cast("double").alias("available"))
 
 
 @query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(props ->> '$.k' AS BIGINT) % 2 = 0 AS even, 'event' AS kind FROM events")
