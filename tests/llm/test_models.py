@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import quality_gam, toxicity
-from tickloom.llm.labelled import held_out
+from tickloom.llm.labelled import held_out, labelled_sample
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,39 +51,49 @@ def test_label_model_sees_correlated_voters_once():
     copies = np.repeat((rnd.random((2000, 1)) < np.where(y, 0.4, 0.2)[:, None]).astype(float), 6, axis=1)
     v = np.hstack([strong, copies])
     assert len(set(toxicity.clusters_of(toxicity.correlations_of(v, y.astype(float)))[3:])) == 1
-    marked = (y ^ (rnd.random(2000) < 0.05)).astype(float)
-    model = toxicity.posterior_of(marked, v, marked)
-    assert ((model.posterior > 0.5) == y).mean() > 0.95
+    model = toxicity.LabelModel.fit(v[:1000], y[:1000].astype(float), v[1000:])
+    bayes = np.log(0.3 / 0.7) + np.where(strong > 0, np.log(0.7 / 0.02), np.log(0.3 / 0.98)).sum(axis=1) + np.where(copies[:, 0] > 0, np.log(0.4 / 0.2), np.log(0.6 / 0.8))
+    right = [((odds > 0) == y)[1000:].mean() for odds in (bayes, bayes + 5 * np.where(copies[:, 0] > 0, np.log(0.4 / 0.2), np.log(0.6 / 0.8)))]
+    assert right[1] + 0.05 < right[0] - 0.01 < ((model.posterior > 0.5) == y[1000:]).mean()
 
 
-def test_label_model_estimates_accuracies_and_corrects_labels():
-    """Independent voters of known rates, two that copy one another, and labels of which a tenth is wrong."""
+def test_label_model_estimates_accuracies_without_labels():
+    """Independent voters of known rates, two that copy one another, and a mined fold that flatters its voters."""
     rnd = np.random.default_rng(1)
-    y = rnd.random(6000) < 0.3
+    y = rnd.random(8000) < 0.3
     bad, good = np.array([0.8, 0.6, 0.5, 0.7, 0.6]), np.array([0.02, 0.05, 0.02, 0.01, 0.03])
-    v = (rnd.random((6000, 5)) < np.where(y[:, None], bad, good)).astype(float)
+    v = (rnd.random((8000, 5)) < np.where(y[:, None], bad, good)).astype(float)
+    v[:2000] = np.where(y[:2000, None] & (rnd.random((2000, 5)) < 0.2), 1.0, v[:2000])
     v = np.hstack([v, v[:, :1]])
-    marked = (y ^ (rnd.random(6000) < 0.1)).astype(float)
-    model = toxicity.posterior_of(marked[:3000], v[3000:], marked[3000:])
+    model = toxicity.LabelModel.fit(v[:2000], y[:2000].astype(float), v[2000:])
     assert np.abs(model.toxic_rates[:5] - bad).max() < 0.06 and np.abs(model.clean_rates[:5] - good).max() < 0.04
-    assert model.correlations[0, 5] > 0.9 and model.clusters[0] == model.clusters[5] and max(np.abs(np.array(model.noise) - 0.1)) < 0.04
-    assert ((model.posterior > 0.5) == y[3000:]).mean() > (marked[3000:] == y[3000:]).mean() + 0.05
+    assert model.correlations[0, 5] > 0.9 and model.clusters[0] == model.clusters[5]
+    assert ((model.posterior > 0.5) == y[2000:]).mean() > 0.96
 
 
-def test_posteriors_are_not_the_labels(spark):
-    """Without the label model, the classifier would learn the labels as they are."""
+def test_posteriors_come_from_votes_alone(spark):
+    """They agree with labels that the model has not seen, and stay the same when these are others."""
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     seen = []
-    fitted, toxicity.fit_linear = toxicity.fit_linear, lambda x, p: seen.append((x, p)) or np.zeros(x.shape[1] + 1)
-    try:
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "cross_fitted", lambda *a, f=toxicity.cross_fitted: seen.append((*a, f(*a))) or seen[-1][-1])
         toxicity.fit_toxicity(docs.select("doc_id", "text"), labels)
-    finally:
-        toxicity.fit_linear = fitted
-    p = seen[0][1]
-    given = {r.doc_id: r.y for r in toxicity.labelled_sample(docs, labels, "toxic").select("doc_id", "y").collect()}
-    y = np.array([given[i] for i in sorted(given)])
-    assert 0 < ((p > 0.5) != y).sum() < 0.02 * len(y)
+    x, y, fold, terms, by_fold, p = seen[0]
+    for k in (0, 1):
+        assert ((p > 0.5) == y)[fold == k].mean() >= 0.95 > (y[fold == k] == 0).mean()
+        changed = np.where(fold == k, 1 - y, y)
+        assert (toxicity.cross_fitted(x, changed, fold, terms, by_fold)[fold == k] == p[fold == k]).all()
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One id with many rows, and one with two labels, are a row each."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "two"), (3, None)], SCHEMA)
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (2, 1, 1), (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    free = {r.id for r in spark.range(4).where(~held_out(F.col("id"))).collect()}
+    got = {r.doc_id: (r.text, r.y) for r in labelled_sample(docs, labels, "quality").collect()}
+    assert set(got) == {1, 2, 3} & free and got.get(2, ("two", 1)) == ("two", 1) and got.get(3, (None, 1)) == (None, 1)
+    assert labelled_sample(docs, labels, "quality").count() == len(got) and labelled_sample(docs, labels, "toxic", 1).count() <= 1
 
 
 def test_additive_model_learns_an_interaction():

@@ -19,13 +19,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """doc_id, text and ``y`` of at most ``max_rows`` labelled documents outside the held-out fold.
 
     The sample of labels has a fixed bound, so it is broadcast to the scan of the texts. Rows
-    without an id or label are left out; a document that is labelled twice counts twice.
+    without an id or label are left out. A document that is labelled twice has the larger label,
+    and an id of several texts stands for the one of least hash, so the bound is one of rows.
     """
-    some = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y"))
-        .dropna()
-        .where(~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
-        .limit(max_rows)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    y = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().where(~held_out(F.col("doc_id")))
+    some = y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return met.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"), F.max("y").alias("y"))

@@ -7,9 +7,9 @@ one fold of the labelled texts vote on the other fold. There a generative label
 estimates how each voter votes in toxic and clean texts: voters that agree more than the
 classes explain are put into one cluster, and a cluster's number of votes has a distribution of
 its own in each class, so that correlated voters are not counted twice. Expectation
-maximisation begins half with votes and half with labels and gives each text the probability of being
-toxic; the text's label is one more voter, whose error rates are estimated too. A linear
-classifier is trained on those probabilities.
+maximisation begins with the rates of the fold that the words were mined on, goes on over the
+votes of the other fold without its labels, and gives each of its texts the probability of being
+toxic. A linear classifier is trained on those probabilities.
 
 Mining counts terms in Spark, summed before the shuffle; the sample is bounded by
 ``max_rows``, and only its votes of a few dozen voters reach the driver.
@@ -38,9 +38,7 @@ BEGINNINGS = (4, 5, 6)
 #: Times per text, and times in a hundred words, that make a voter vote.
 TIMES, RATES = (1, 2), (1.0, 3.0)
 LEAST_TOXIC = 6
-CORRELATED = 0.5
-#: Labels are taken to be wrong in this share of either class at least.
-LEAST_NOISE = 0.01
+CORRELATED = 0.8
 CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -166,41 +164,39 @@ def correlations_of(v: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """What expectation maximisation has found: no label of the rows of votes has been looked at."""
+    """What expectation maximisation has found about the texts of one fold from their votes alone."""
 
     posterior: np.ndarray  # probability of toxic, by row
     toxic_rates: np.ndarray  # share of toxic texts in which a voter votes
     clean_rates: np.ndarray
     correlations: np.ndarray
     clusters: np.ndarray
-    noise: tuple[float, float]  # estimated share of toxic texts that are labelled clean, and of clean ones labelled toxic
 
     @classmethod
-    def fit(cls, v: np.ndarray, marked: np.ndarray, share: float, rounds: int = 30, most: int = 5) -> LabelModel:
-        """From votes, labels as one more voter, and the share of toxic texts that is expected at first.
+    def fit(cls, mined: np.ndarray, mined_y: np.ndarray, v: np.ndarray, rounds: int = 10, most: int = 5) -> LabelModel:
+        """From the votes and labels of the fold that the voters were mined on, and the votes of another fold.
 
-        The first guess is half by the labels and half by votes, each cluster of voters counted
-        once: that share, of most votes, is toxic. The labels' error rates are estimated as all
-        others, but taken to be ``LEAST_NOISE`` at least.
+        Clusters, and first rates of their numbers of votes in either class, come from the mined
+        fold, whose share of toxic texts is taken for the other one too. Rates are then estimated
+        over both folds, a text of the other one counting by its probability. Labels of the
+        texts whose votes are ``v`` take no part.
         """
-        clusters = clusters_of(correlations_of(v, np.ones(len(v))))
-        total = sum((v[:, clusters == c].any(axis=1).astype(float) for c in range(clusters.max(initial=-1) + 1)), np.zeros(len(v)))
-        bound = max(np.quantile(total, 1 - share), 1.0) if len(v) else 1.0
-        p = (np.where(total > bound, 0.95, np.where(total == bound, 0.5, 0.05)) + np.where(marked > 0, 0.9, 0.1)) / 2
-        for n in range(rounds):
-            if n in (0, rounds // 3):
-                correlations = correlations_of(v, p)
-                clusters = clusters_of(correlations)
-            odds = np.full(len(v), np.log((p.sum() + 1) / (len(p) - p.sum() + 1)))
-            for c in range(clusters.max(initial=-1) + 1):
-                x = np.minimum(v[:, clusters == c].sum(axis=1).astype(int), most)
-                bad, good = np.bincount(x, p, most + 1) + 0.1, np.bincount(x, 1 - p, most + 1) + 0.1
+        correlations = correlations_of(mined, mined_y.astype(float))
+        clusters = clusters_of(correlations)
+        number = range(clusters.max(initial=-1) + 1)
+        counted = [tuple(np.minimum(z[:, clusters == c].sum(axis=1).astype(int), most) for z in (mined, v)) for c in number]
+        known = [tuple(np.bincount(x, w, most + 1) + 0.5 for w in (mined_y, 1 - mined_y)) for x, _ in counted]
+        share = float(np.clip(mined_y.mean(), 0.005, 0.5))
+        p = np.zeros(len(v))
+        for n in range(rounds + 1):
+            odds = np.full(len(v), np.log(share / (1 - share)))
+            for (_, x), (bad, good) in zip(counted, known):
+                if n:
+                    bad, good = bad + np.bincount(x, p, most + 1), good + np.bincount(x, 1 - p, most + 1)
                 odds += np.log(bad / bad.sum() / (good / good.sum()))[x]
-            noise = tuple(float(max(LEAST_NOISE, (w @ wrong + 0.1) / (w.sum() + 0.2))) for w, wrong in ((p, 1 - marked), (1 - p, marked)))
-            odds += np.where(marked > 0, np.log((1 - noise[0]) / noise[1]), np.log(noise[0] / (1 - noise[1])))
             p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         rates = [(w @ v + 0.1) / (w.sum() + 0.2) for w in (p, 1 - p)]
-        return cls(p, rates[0], rates[1], correlations, clusters, noise)
+        return cls(p, rates[0], rates[1], correlations, clusters)
 
 
 def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -218,22 +214,18 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 2
     return w
 
 
-def posterior_of(mined_y: np.ndarray, votes: np.ndarray, marked: np.ndarray) -> LabelModel:
-    """The label model of the votes and labels of one fold; the fold that the voters were mined on gives the share."""
-    return LabelModel.fit(votes, marked, float(np.clip(mined_y.mean(), 0.005, 0.5)))
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_voters: int = VOTERS) -> tuple[list[tuple[str, int]], np.ndarray]:
     """Voters and weights, from ``labels.toxic`` of at most ``max_rows`` labelled texts outside the held-out fold.
 
-    The sample has two folds. Words mined on one of them vote on the other, so no text's own
-    label has chosen its voters; the classifier has the voters of both. Without labelled rows
-    all scores are 0.5; with clean ones only, only patterns vote.
+    The sample has two folds. Words mined on one of them vote on the other, whose labels the label
+    model does not see; the classifier has the voters of both and learns from the probabilities
+    of both, never from labels, unless one fold is empty. Without labelled rows all scores are
+    0.5; with clean ones only, only patterns vote.
     """
     sample = labelled_sample(docs, labels, "toxic", max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int"))
     by_fold = [mine_terms(sample.where(F.col("fold") == k), max_voters) for k in (0, 1)]
     terms = sorted(set(by_fold[0]) | set(by_fold[1]))
-    rows = sorted(tuple(r) for r in sample.select("doc_id", "y", "fold", _row_udf(terms)("text").alias("x")).limit(2 * max_rows).collect())
+    rows = sorted(tuple(r) for r in sample.select("doc_id", "y", "fold", _row_udf(terms)("text").alias("x")).collect())
     width = len(Counters(terms).row(""))
     if not rows:
         return terms, np.zeros(width + 1)
@@ -242,13 +234,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLE
 
 
 def cross_fitted(x: np.ndarray, y: np.ndarray, fold: np.ndarray, terms: list[tuple[str, int]], by_fold: list[list[tuple[str, int]]]) -> np.ndarray:
-    """Probability of toxic of each text by the voters that the other fold has chosen."""
+    """Probability of toxic of each text by the votes of the voters that the other fold has chosen, without its own label."""
     p = y.copy()
     patterns = range(len(terms), len(terms) + len(PATTERN_VOTERS))
     for k in (0, 1):
         mine = [terms.index(t) for t in by_fold[k]] + [*patterns]
         if (fold == k).any() and (fold != k).any():
-            p[fold != k] = posterior_of(y[fold == k], x[fold != k][:, mine], y[fold != k]).posterior
+            p[fold != k] = LabelModel.fit(x[fold == k][:, mine], y[fold == k], x[fold != k][:, mine]).posterior
     return p
 
 
