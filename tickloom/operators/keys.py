@@ -30,6 +30,18 @@ def require_keys(df: DataFrame, keys: list[str] = list(KEYS)) -> DataFrame:
     return df
 
 
+def require_long(df: DataFrame, order: str | None = None) -> DataFrame:
+    """A frame that a backtest may take: it has the keys and a close, keys without nulls or repeats, one resolution, and,
+    where the stored order is a column, each product's dates in that order."""
+    if lacking := sorted({*KEYS, "close"} - set(df.columns)):
+        raise ValueError(f"the frame lacks {lacking}")
+    require_keys(df)
+    require_one_resolution(df)
+    if order is not None and (bad := unsorted_rows(df, order, "date", "product").limit(3).collect()):
+        raise ValueError(f"dates are not sorted: {bad}")
+    return df
+
+
 def resolutions(df: DataFrame) -> DataFrame:
     return df.groupBy("resolution").agg(F.count(F.lit(1)).alias("n_rows"))
 

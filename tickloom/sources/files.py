@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import shared_path
+
 # The columns of stored bars and ticks.
 BARS = "date timestamp, product string, resolution string, open double, high double, low double, close double, volume double"
 TICKS = "ts timestamp, product string, price double, volume double, seq bigint"
@@ -15,9 +17,10 @@ _BAD = "_unreadable"
 def load(spark: SparkSession, path: str, kind: str, schema: str = BARS, **options: str) -> tuple[DataFrame, DataFrame]:
     """(rows, unreadable) of files: rows have the columns of ``schema``; unreadable ones are texts.
 
-    Nothing is inferred, so files are read once. A CSV file has a header, whose names decide the
-    order of columns, and a line that does not fit the schema is unreadable. Parquet and ORC files
-    have types of their own, which are cast.
+    Nothing is inferred. CSV and JSON files are parsed once, into Parquet in the shared folder,
+    from which rows and unreadable lines are read. A CSV file has a header, whose names must be
+    those of the schema in its order, and a line that does not fit is unreadable. Parquet and ORC
+    files have types of their own, which are cast.
     """
     if kind not in FORMATS:
         raise ValueError(f"a format is one of {FORMATS}")
@@ -28,7 +31,10 @@ def load(spark: SparkSession, path: str, kind: str, schema: str = BARS, **option
     reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]")
     reader = reader.options(header="true", enforceSchema="false") if kind == "csv" else reader
     both = reader.options(**options).schema(f"{schema}, {_BAD} string").format(kind).load(path)
-    return both.where(F.col(_BAD).isNull()).drop(_BAD), both.where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("text"))
+    once = shared_path(spark, "parsed")
+    both.withColumn("readable", F.col(_BAD).isNull()).write.partitionBy("readable").parquet(once)
+    parsed = spark.read.schema(f"{schema}, {_BAD} string, readable boolean").parquet(once)
+    return parsed.where("readable").drop(_BAD, "readable"), parsed.where("NOT readable").select(F.col(_BAD).alias("text"))
 
 
 def store(df: DataFrame, path: str, kind: str) -> None:
