@@ -5,7 +5,7 @@ depends on where they stand, and is learned from pages that mark their article
 (``<article>`` or ``<main>``): the log-odds of standing inside it, for tags by name and for
 words by the elements they stand in. One linear scan finds the contiguous run of tokens
 with the largest sum. Inside that run, words of menus, forms, notices and the like are
-left out.
+left out, unless such an element wraps the page.
 
 Weights come from at most ``LABELLED_PAGES`` marked pages, chosen by a hash of the page,
 and are a few numbers per tag name. Pages are independent: nothing else is shuffled.
@@ -47,6 +47,14 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social newsletter subscribe signup login "
     "comment comments disqus replies footer masthead header copyright toolbar pagination".split()
 )
+#: First parts of names that say how a page is laid out ("has-sidebar"), and those of an article's own heading block ("entry-header").
+LAYOUT = frozenset("has with without no is not layout".split())
+OWN_HEADER = frozenset("article entry post story".split())
+#: Elements of running text. Within a marked article they are left out only if they are called adverts or the like.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split()) | INLINE
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo share sharing social newsletter subscribe related recommended".split())
+#: What shows that an excluded element may be a wrapper of the page.
+CORE = frozenset(("article", "main", "h1"))
 REPLACED = frozenset("script style noscript template svg iframe textarea title".split())
 
 
@@ -57,7 +65,9 @@ class Place(NamedTuple):
     block: str = ""  # the innermost element that is not inline
     link: bool = False
     article: bool = False
-    excluded: bool = False  # never part of an article, by an element's name or by what its attributes call it
+    excluded: bool = False  # no part of an article, by an element's name or by what its attributes call it
+    root: int = 0  # the outermost element that excludes: its number among start tags, negative if its name alone does, but for forms
+    form: bool = False  # whether that element is a form
 
     @property
     def feature(self) -> str:
@@ -67,14 +77,47 @@ class Place(NamedTuple):
 _TOP = Place()
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, Place]]:
-    """(kind, value, place): ``open``, ``close`` or ``words``.
+def called_boilerplate(name: str, attributes: str, article: bool) -> bool:
+    """Whether an element's attributes call it something else than an article's part."""
+    if name in ("html", "body", "article", "main"):
+        return False
+    telling = ADVERTS if article and name in TEXT else BOILERPLATE
+    for found in _MARKS.findall(attributes):
+        for word in "".join(found).lower().split():
+            parts = [p for p in re.split(r"[^a-z]+", word) if p]
+            if parts and parts[0] not in LAYOUT and telling.intersection(parts) - ({"header"} if parts[0] in OWN_HEADER else set()):
+                return True
+    return False
+
+
+def wrappers(page: str) -> frozenset[int]:
+    """Excluded elements that wrap the page, by their numbers: they have most of its words outside links, and its article,
+    main part or first heading, or they are forms. What they wrap is judged by itself."""
+    kept: frozenset[int] = frozenset()
+    for _ in range(4):
+        words: Counter[int] = Counter()
+        holds: set[int] = set()
+        for kind, value, at in tokens(page, kept):
+            if kind == "words" and not at.link:
+                words[at.root] += len(value.split())
+            elif kind == "open" and at.root > 0 and (at.form or value in CORE):
+                holds.add(at.root)
+        new = {r for r in holds if 2 * words[r] > sum(words.values())}
+        if not new:
+            break
+        kept |= new
+    return kept
+
+
+def tokens(page: str, kept: frozenset[int] = frozenset()) -> Iterator[tuple[str, str, Place]]:
+    """(kind, value, place): ``open``, ``close`` or ``words``. Elements of the numbers ``kept`` exclude nothing.
 
     Raw elements, comments and declarations give nothing. A tag that does not end, or has ``<``
     outside quotes, is text. An element costs one small record however deep it stands.
     """
     stack: list[Place] = []
     open_: Counter[str] = Counter()
+    number = 0
 
     def leave() -> str:
         name = stack.pop().name
@@ -102,9 +145,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, Place]]:
                     leave()
                 at = stack[-1] if stack else _TOP
             if name not in VOID:
-                marks = {w for found in _MARKS.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower())}
-                never = name in NEVER or (name == "header" and not at.article) or (name not in ("html", "body", "article", "main") and bool(marks & BOILERPLATE))
-                inner = Place(name, at.block if name in INLINE else name, at.link or name == "a", at.article or name in ("article", "main"), at.excluded or never)
+                number += 1
+                by_name = (name in NEVER and name != "form") or (name == "header" and not at.article)
+                never = number not in kept and (by_name or name == "form" or called_boilerplate(name, attributes, at.article))
+                root, form = (at.root, at.form) if at.excluded or not never else (-number if by_name else number, name == "form")
+                inner = Place(name, at.block if name in INLINE else name, at.link or name == "a", at.article or name in ("article", "main"), at.excluded or never, root, form)
                 stack.append(inner)
                 open_[name] += 1
                 yield "open", name, inner._replace(excluded=at.excluded)
@@ -113,12 +158,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, Place]]:
         elif raw is not None:
             yield "open", raw.lower(), at._replace(excluded=True)
 
+
 def learn(pages: list[str]) -> dict[str, float]:
     """Log-odds of standing inside a marked article, by feature, between -4 and 4."""
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page in pages:
-        for kind, value, at in tokens(page):
+        for kind, value, at in tokens(page, wrappers(page)):
             n = len(value.split()) if kind == "words" else 1
             key = f"words {at.feature}" if kind == "words" else f"{kind} {value}"
             (inside if at.article and not at.excluded else outside)[key] += n
@@ -142,7 +188,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     run: list[str] = []
     text = ""
     counted = 0  # pieces of ``run`` up to the best end, 0 if the best run is an earlier one
-    for kind, value, at in tokens(page):
+    for kind, value, at in tokens(page, wrappers(page)):
         if total <= 0:
             if counted:
                 text, counted = "".join(run[:counted]), 0
