@@ -55,3 +55,17 @@ def test_query_matches_sql(spark, sf):
     got = d.op1_decontamination(spark, sf).toPandas()
     columns = sorted(want.columns)
     assert got[columns].sort_values(columns).values.tolist() == want[columns].sort_values(columns).values.tolist()
+
+
+def test_no_block_exceeds_its_bound(spark):
+    """Many small items, an id with much text in many rows, and items above half the bound and above all of it."""
+    rows = [(str(k), "w" * (k % 90)) for k in range(400)] + [("hot", "x" * 40)] * 300 + [("large", "y" * 600), ("huge", "z" * 3000)]
+    placed = d.blocks_of(spark.createDataFrame(rows, "i string, t string").repartition(7), 1000)
+    got = placed.collect()
+    assert sorted((r.i, r.t) for r in got) == sorted(rows)
+    size, of = {}, {}
+    for r in got:
+        size[r.block] = size.get(r.block, 0) + len(r.i) + len(r.t)
+        of.setdefault(r.block, set()).add(r.i)
+    assert all(n <= 1000 or of[b] == {"huge"} for b, n in size.items()) and len(size) <= 2 + 2 * sum(map(len, (i + t for i, t in rows))) // 1000
+    assert d.blocks_of(spark.createDataFrame([], "i string, t string"), 1000).count() == 0

@@ -8,9 +8,10 @@ bucket for each final block holds the patterns to compare directly.
 The patterns are held by every executor. They come from the benchmark, not from
 the corpus, and the size of the benchmark is checked first: beyond
 ``max_block_bytes`` of text it is searched in blocks, in one job over the texts for
-each block, and no block is larger than that bound (unless a single item is). Tables
-take about 130 times a block's text, once in each worker, so that bound is what a
-worker can hold; a job's hits are written before the next job begins.
+each block, and no block is larger than that bound (unless a single item is). Rows of
+one item may lie in several blocks. Tables take about 130 times a block's text, once in
+each worker, so that bound is what a worker can hold; a job's hits are written before
+the next job begins.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -126,6 +127,26 @@ def _searcher(held: Broadcast, window: int):
     return search
 
 
+def blocks_of(items: DataFrame, bound: int) -> DataFrame:
+    """Items (i, t) with their ``bytes`` and ``block``: no block has more than ``bound`` bytes, unless one row alone has.
+
+    Rows of up to half the bound are laid end to end, and those that begin within one half of
+    the bound are a block. Larger rows are a block each. Running sums are taken within the parts
+    in which rows are written, and over the parts' sums.
+    """
+    half = max(1, bound // 2)
+    sized = items.select("i", "t", (F.octet_length("t") + F.octet_length("i")).alias("bytes"), F.monotonically_increasing_id().alias("at"))
+    rows = checkpointed(items.sparkSession, sized.withColumn("small", F.col("bytes") <= half), "items").withColumn("part", F.shiftrightunsigned("at", 33))
+    # Large rows are counted, small ones measured.
+    rows = rows.withColumn("size", F.when(F.col("small"), F.col("bytes")).otherwise(1))
+    sums = rows.groupBy("small", "part").agg(F.sum("size").alias("sum"))
+    before = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("small").orderBy("part")) - F.col("sum")).drop("sum")
+    within = F.sum("size").over(Window.partitionBy("small", "part").orderBy("at")) - F.col("size")
+    start = F.col("before") + F.col("within")
+    block = F.when(F.col("small"), 2 * F.floor(start / half)).otherwise(2 * start + 1)
+    return checkpointed(items.sparkSession, rows.withColumn("within", within).join(F.broadcast(before), ["small", "part"]).select("i", "t", "bytes", block.cast("bigint").alias("block")), "blocks")
+
+
 def find_benchmark(
     spark: SparkSession,
     docs: DataFrame,
@@ -155,9 +176,9 @@ def find_benchmark(
     row, name = free_name(docs, "row"), free_name(docs, "hits")
     numbered = checkpointed(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     hits = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    placed = blocks_of(items, max_block_bytes)
+    for k, block in enumerate(sorted(r["block"] for r in placed.select("block").distinct().collect())):
+        held = spark.sparkContext.broadcast([tuple(r) for r in placed.where(F.col("block") == block).select("i", "t").collect()])
         found = numbered.select(row, _searcher(held, window)(F.col(text_col)).alias(name))
         # Every text has a row in the first block's result, which brings its number of words.
         each = checkpointed(spark, found if k == 0 else found.where(F.size(F.col(name)["items"]) > 0), "block")
