@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -57,6 +58,19 @@ def test_very_long_pieces_match_tiktoken():
     assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(texts)] == want
 
 
+def test_long_varied_pieces_match_tiktoken():
+    """Pieces of windows that meet, of windows that do not, and of both; time grows with the length."""
+    own = random.Random(13)
+    b = bpe.Bpe(P.path(bpe.VOCABULARY), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(own.choice(of) for _ in range(n))
+    texts = [letters(n) for n in (512, 513, 640, 641, 897, 1025, 3000)] + [letters(2000) + "a" * 3000 + letters(2000), letters(6000, "ab"), letters(4000, "ACGT"), "ab" * 5000, letters(1500) * 4]
+    texts += ["".join(chr(own.randrange(0x4E00, 0x9FFF)) for _ in range(4000)), letters(100_000)]
+    began = time.time()
+    assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    assert time.time() - began < 120
+
+
 def test_odd_tables(spark):
     """Clashing columns, null and repeated ids, and no rows, for BPE and for token counts."""
     rows = [(1, None), (1, "a b"), (None, ""), (1, "a b")]

@@ -10,8 +10,10 @@ Documents are independent, so the work follows the input's partitions and nothin
 shuffled. A worker remembers the ids of at most ``CACHE_PIECES`` pieces and starts anew
 beyond that. The recursion comes in two forms with the same contractions. ``ENCODE`` keeps
 the rows of every step, which is quick for words but quadratic in a piece's length, so new
-pieces are cut into queries by the sum of their squared lengths. ``ENCODE_LONG`` keeps the
-last step alone, as keyed rows that each step overwrites, and contracts all pairs of the
+pieces are cut into queries by the sum of their squared lengths. Longer pieces are contracted
+in windows that overlap and meet at a token that both have. Where they have none in common, as
+in runs of one letter, windows are joined, and ``ENCODE_LONG`` contracts the whole: it keeps
+the last step alone, as keyed rows that each step overwrites, and contracts all pairs of the
 least rank in one step where that cannot make a pair of lower rank.
 """
 
@@ -36,7 +38,8 @@ from tickloom.llm.common import is_plain, short_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHE_PIECES = 300_000
-#: Bytes from which on a piece is contracted by ENCODE_LONG, and the sum of lengths of one such query.
+#: Bytes of a window of a longer piece, a quarter of which it shares with the next; and the sum of lengths of one query
+#: of ENCODE_LONG, which contracts windows that had to be joined.
 LONG_PIECE, LONG_BYTES = 512, 100_000
 #: Sum of squared lengths of the pieces of one encoding query. It makes at most half as many rows of 16 bytes.
 LEARN_SQUARES = 4_000_000
@@ -132,6 +135,8 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.own_pattern = pattern == public_tokenizers.PATTERN
         self.byte_tokens = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, dtype=np.int64)
+        self.lengths[list(self.ranks.values())] = list(map(len, self.ranks))
         self.cache: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [
@@ -176,10 +181,60 @@ class Bpe:
         cut = bisect_right(new, LONG_PIECE, key=lambda x: len(x[1]))
         for group in _groups(new[:cut], lambda n: n * n, LEARN_SQUARES):
             self._contract(group, ENCODE)
-        for group in _groups(new[cut:], lambda n: n, LONG_BYTES):
-            self._contract(group, ENCODE_LONG)
+        for p, raw in new[cut:]:
+            self.cache[p] = self._windows(raw)
+
+    def _ids(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces of bytes, each by the recursion for its length."""
+        out: dict[bytes, bytes] = {}
+        new = sorted(set(raws), key=len)
+        cut = bisect_right(new, LONG_PIECE, key=len)
+        for group in _groups([(b, b) for b in new[:cut]], lambda n: n * n, LEARN_SQUARES):
+            out |= self._contracted(group, ENCODE)
+        for group in _groups([(b, b) for b in new[cut:]], lambda n: n, LONG_BYTES):
+            out |= self._contracted(group, ENCODE_LONG)
+        return [np.frombuffer(out[b], dtype="<u4") for b in raws]
+
+    def _windows(self, raw: bytes) -> bytes:
+        """Ids of a long piece from those of windows that overlap.
+
+        Tokens follow one another in a text's ids exactly if each two of them do so when they
+        stand alone. So where two windows have one and the same token in the part that they share,
+        the ids of the first up to it and those of the second after it are the ids of both. Windows
+        that share no token are joined and contracted as one, until all seams are found.
+        """
+        shared = LONG_PIECE // 4
+        spans = [(a, min(a + LONG_PIECE, len(raw))) for a in range(0, len(raw) - shared, LONG_PIECE - shared)]
+        ids = dict(zip(spans, self._ids([raw[a:b] for a, b in spans])))
+        while True:
+            # Ends of tokens by window, and where each window's tokens are left for those of the next.
+            ends = {span: span[0] + np.cumsum(self.lengths[ids[span]]) for span in spans}
+            seams = [self._seam(ids[x], ends[x], ids[y], ends[y], y[0]) for x, y in zip(spans, spans[1:])]
+            if None not in seams:
+                break
+            joined = [spans[0]]
+            for span, seam in zip(spans[1:], seams):
+                joined[-1:] = [joined[-1], span] if seam is not None else [(joined[-1][0], span[1])]
+            new = [span for span in joined if span not in ids]
+            ids |= zip(new, self._ids([raw[a:b] for a, b in new]))
+            spans = joined
+        parts, first = [], 0
+        for span, seam in zip(spans, [*seams, (len(ids[spans[-1]]), 0)]):
+            parts.append(ids[span][first : seam[0]])
+            first = seam[1]
+        return b"".join(p.tobytes() for p in parts)
+
+    def _seam(self, x: np.ndarray, x_ends: np.ndarray, y: np.ndarray, y_ends: np.ndarray, start: int) -> tuple[int, int] | None:
+        """(tokens to take of x, tokens to leave of y) at the last token that both have in the same place."""
+        both, i, j = np.intersect1d(x_ends, y_ends, assume_unique=True, return_indices=True)
+        same = np.flatnonzero((x[i] == y[j]) & (both - self.lengths[x[i]] >= start))
+        return (int(i[same[-1]]) + 1, int(j[same[-1]]) + 1) if same.size else None
 
     def _contract(self, new: list[tuple[str, bytes]], query: str) -> None:
+        self.cache |= self._contracted(new, query)
+
+    def _contracted(self, new: list[tuple], query: str) -> dict:
+        """Ids of pieces of bytes by their names."""
         lengths = np.array([len(raw) for _, raw in new])
         piece = np.repeat(np.arange(len(new), dtype=np.int32), lengths)
         pos = (np.arange(len(piece)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
@@ -187,10 +242,11 @@ class Bpe:
         got = self._query(query, "pieces", {"piece": piece, "pos": pos, "token": token})
         tokens = got["token"].astype("<u4").tobytes()
         ends = 4 * np.cumsum(np.bincount(got["piece"], minlength=len(new)))
-        start = 0
+        start, out = 0, {}
         for (p, _), end in zip(new, ends.tolist()):
-            self.cache[p] = tokens[start:end]
+            out[p] = tokens[start:end]
             start = end
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
