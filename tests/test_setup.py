@@ -9,7 +9,7 @@ from tickloom.operators import align, components, keys, portfolio_backtest
 from tickloom.operators.setup import DataConfig, Inputs, data_range, require_inputs
 from tickloom.session import shared_path
 from tickloom.sources import files
-from tickloom.streaming import streams
+from tickloom.streaming import dispatch, streams
 
 TODAY = dt.date(2024, 3, 31)
 
@@ -188,3 +188,36 @@ def test_long_frames_are_checked(spark):
     assert keys.require_long(bars.orderBy("date").withColumn("row", F.dayofmonth("date")), order="row") is not None
     with pytest.raises(ValueError, match="sorted"):
         keys.require_long(placed.withColumn("row", -F.dayofmonth("date")), order="row")
+
+
+def test_channels_and_requests(spark):
+    rows = [("g", 1, "b"), ("g", 2, "a"), ("g", 3, "c"), ("g", 9, "a"), ("g", 4, None), ("h", 1, "x")]
+    df = spark.createDataFrame(rows, "g string, o int, name string")
+    got = {(r.g, r.chunk): r.names for r in dispatch.subscriptions(df, "g", "o", "name", 2).collect()}
+    assert got == {("g", 0): ["b", "a"], ("g", 1): ["c"], ("h", 0): ["x"]}
+    names = df.select(dispatch.channel("book", F.col("name"), F.col("o")).alias("a"), dispatch.channel("trade", F.col("name")).alias("b")).collect()
+    assert [(r.a, r.b) for r in names][:1] == [("book.1.b", "trade.b")] and (None, None) in [(r.a, r.b) for r in names]
+    with pytest.raises(ValueError):
+        dispatch.subscriptions(df, "g", "o", "name", 0)
+
+
+def test_steps(spark):
+    bars = frame(spark, range(4)).union(frame(spark, [1, 3], "b"))
+    now = dt.datetime(2024, 1, 4, 12)
+    assert sorted((r["product"], r.date.day) for r in dispatch.steps(bars, "1d", now).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 2)]
+    assert sorted((r["product"], r.date.day) for r in dispatch.steps(bars, "1d", now, warmup=2).collect()) == [("a", 2), ("a", 3)]
+    assert sorted((r["product"], r.date.day) for r in dispatch.steps(bars, "1d", dt.datetime(2024, 1, 5), "wide", ["a", "b"]).collect()) == [("a", 2), ("a", 4), ("b", 2), ("b", 4)]
+    assert dispatch.steps(bars, "1h", now).count() == 0 == dispatch.steps(bars, "1d", now, "wide", ["a", "c"]).count()
+    for wrong in (dict(form="deep"), dict(warmup=0), dict(form="wide")):
+        with pytest.raises(ValueError):
+            dispatch.steps(bars, "1d", now, **wrong)
+    child = frame(spark, [0, 2]).select("date", "product", F.col("close").alias("s"))
+    assert sorted((r.date.day, r["product"], r.s, r.n_missing) for r in dispatch.missed(child, bars, ["s"]).collect()) == [(1, "a", 1.0, 0), (2, "a", None, 1), (2, "b", None, 1), (3, "a", 3.0, 0), (4, "a", None, 1), (4, "b", None, 1)]
+
+
+def test_replay_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(streams, "SLICE_ROWS", 10)
+    df = spark.range(200).select((F.timestamp_seconds(F.col("id") * 60)).alias("t"), "id")
+    seen = []
+    streams.on_batches(streams.replay(spark, df, "t"), lambda rows, batch: seen.append(sorted(r.id for r in rows.select("id").collect()))).awaitTermination()
+    assert sum(seen, []) == list(range(200)) and len(seen) == 4

@@ -121,6 +121,11 @@ def trailing_stop_fault(amount: Column, percent: Column, limit_offset: Column) -
     )
 
 
+def average_price(price: Column, quantity: Column) -> Column:
+    """Mean price of trades by quantity, an aggregate; null where nothing is traded."""
+    return F.sum(price * quantity) / F.nullif(F.sum(quantity), F.lit(0.0))
+
+
 def filled_state(orders: DataFrame, fills: DataFrame, size: Column) -> DataFrame:
     """Orders (order_id) with what is filled and remains of ``size``, and whether that is all or a part; orders without fills stay."""
     done = fills.groupBy("order_id").agg(F.sum("quantity").alias("filled"))

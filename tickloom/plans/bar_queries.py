@@ -14,6 +14,7 @@ from tickloom.operators import reshape as rs
 from tickloom.operators.signals import in_range
 from tickloom.plans.registry import BAR, BOTH, DAILY, HOURLY, NEWS, TICKS, bars_sql, query
 from tickloom.sources import market as m
+from tickloom.streaming import dispatch
 
 PRODUCTS = ("click", "error", "purchase", "signup", "view")
 
@@ -78,16 +79,28 @@ def reference_merge(spark, d):
 @query("SELECT o_orderkey, 'kline.' || (o_custkey % 60 + 1) || '.' || o_orderpriority AS channel FROM orders")
 def channel_name(spark, d):
     o = m.table(spark, d, "orders")
-    return o.select("o_orderkey", F.concat_ws(".", F.lit("kline"), F.col("o_custkey") % 60 + 1, "o_orderpriority").alias("channel"))
+    return o.select("o_orderkey", dispatch.channel("kline", F.col("o_orderpriority"), F.col("o_custkey") % 60 + 1).alias("channel"))
 
 
 @query("SELECT c_nationkey, (rn - 1) // 10 AS chunk, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer) GROUP BY 1, 2")
 def chunk_list(spark, d):
-    from pyspark.sql import Window
+    lists = dispatch.subscriptions(m.table(spark, d, "customer"), "c_nationkey", "c_custkey", "c_name", 10)
+    return lists.select("c_nationkey", "chunk", F.array_join("names", ",").alias("names"))
+
+
+DUE = f"WITH {HOURLY}, c AS (SELECT *, date + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-20 10:30:00' AS closed FROM bars) "
+
+
+@query(DUE + f"SELECT {BAR} FROM c WHERE closed QUALIFY row_number() OVER (PARTITION BY product ORDER BY date) >= 3")
+def steps_long(spark, d):
+    """Closed bars at which a long component steps, after three of a product, among bars of two resolutions."""
+    return dispatch.steps(hourly(spark, d).union(daily(spark, d)), "1h", dt.datetime(2024, 1, 20, 10, 30), warmup=3)
+
 
-    c = m.table(spark, d, "customer").withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
-    groups = c.groupBy("c_nationkey", F.floor((F.col("rn") - 1) / 10).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("l"))
-    return groups.select("c_nationkey", "chunk", F.array_join(F.col("l.c_name"), ",").alias("names"))
+@query(DUE + ", w AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM c WHERE closed AND product IN ('click', 'view', 'error') GROUP BY 1 HAVING count(*) = 3) " + f"SELECT {BAR} FROM c JOIN w USING (date) WHERE n >= 2 AND product IN ('click', 'view', 'error')")
+def steps_wide(spark, d):
+    """Closed bars at which a wide component steps: those of dates at which all its products have one."""
+    return dispatch.steps(hourly(spark, d), "1h", dt.datetime(2024, 1, 20, 10, 30), "wide", ["click", "view", "error"], 2)
 
 
 @query(f"WITH {HOURLY} SELECT {BAR} FROM bars", name="reorder_keys")

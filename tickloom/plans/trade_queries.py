@@ -19,7 +19,7 @@ from tickloom.plans.registry import BAR, CHANGES, DAILY, HOURLY, SIGNALS, query
 from tickloom.session import shared_path
 from tickloom.sources import files
 from tickloom.sources import market as m
-from tickloom.streaming import streams
+from tickloom.streaming import dispatch, streams
 
 
 def signals(spark, d) -> DataFrame:
@@ -312,8 +312,7 @@ def ind_rsi(spark, d):
 
 @query("SELECT l_orderkey AS order_id, round(sum(l_extendedprice) / sum(l_quantity) + 1e-7, 4) AS vwap FROM lineitem GROUP BY 1")
 def vwap(spark, d):
-    f = m.fills(spark, d)
-    return rounded(f.groupBy("order_id").agg((F.sum(F.col("price") * F.col("quantity")) / F.nullif(F.sum("quantity"), F.lit(0.0)) + 1e-7).alias("vwap")), 4)
+    return m.fills(spark, d).groupBy("order_id").agg(F.round(finance.average_price(F.col("price"), F.col("quantity")) + 1e-7, 4).alias("vwap"))
 
 
 @query("SELECT o_orderkey AS order_id, coalesce(q, 0) AS filled, 200 - coalesce(q, 0) AS remaining, coalesce(q, 0) >= 200 AS is_filled, coalesce(q, 0) > 0 AND coalesce(q, 0) < 200 AS is_partial FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
@@ -720,7 +719,7 @@ def wide_ready(spark, d):
 @query(f"WITH {HOURLY} SELECT p.date, p.product, p.close, c.close AS child FROM bars p LEFT JOIN bars c ON c.product = p.product AND c.date = p.date AND c.volume > 1")
 def signal_join(spark, d):
     h = hourly(spark, d).select("date", "product", "close", "volume")
-    return h.drop("volume").join(h.where("volume > 1").select("date", "product", F.col("close").alias("child")), ["date", "product"], "left")
+    return dispatch.missed(h.where("volume > 1").select("date", "product", F.col("close").alias("child")), h.drop("volume"), ["child"]).drop("n_missing")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")

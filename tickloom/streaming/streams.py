@@ -16,19 +16,29 @@ from tickloom.operators.product_backtest import DEFAULTS, RESULT, Machine
 from tickloom.session import shared_path
 
 
+#: Rows of a time slice that one task writes.
+SLICE_ROWS = 1_000_000
+
+
 def replay(spark: SparkSession, df: DataFrame, time_col: str, files: int = 4) -> DataFrame:
-    """A stream of ``df`` in order of time, a file to a micro-batch. Files are written one after another, as their times order them."""
+    """A stream of ``df`` in order of time, one of ``files`` equal slices of time to a micro-batch.
+
+    Slices are written one after another, as the times of their files order them, and each by a
+    task for every ``SLICE_ROWS`` rows of a mean slice. Where there are several, a slice of few
+    rows may have fewer files, and its micro-batch then begins with the next slice's.
+    """
     path = shared_path(spark, "replay")
-    cuts = df.select(F.min(time_col).cast("timestamp").alias("a"), F.max(time_col).cast("timestamp").alias("b")).first()
+    t = F.col(time_col).cast("timestamp")
+    cuts = df.select(F.min(t).alias("a"), F.max(t).alias("b"), F.count(F.lit(1)).alias("n")).first()
     width = (cuts["b"] - cuts["a"]) / files if cuts["a"] is not None else None
+    tasks = cuts["n"] // (files * SLICE_ROWS) + 1
     for k in range(files if width is not None else 1):
         part = df
         if width is not None:
-            t = F.col(time_col).cast("timestamp")
             part = df.where(t >= F.lit(cuts["a"] + k * width)) if k else df
             part = part.where(t < F.lit(cuts["a"] + (k + 1) * width)) if k + 1 < files else part
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        (part.repartition(tasks) if tasks > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", tasks).parquet(path)
 
 
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
