@@ -115,15 +115,17 @@ def with_side_table(stream: DataFrame, idle_seconds: float) -> tuple[DataFrame,
             busy[:] = batch, time.monotonic()
         rows.unpersist()
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime="200 milliseconds").start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime="1 second").start()
     try:
-        while not query.awaitTermination(1):
+        while not query.awaitTermination(0.1):
             # A stream with timers always has a next micro-batch, so there is no moment when all is processed.
             done = query.lastProgress
             if not done or done["numInputRows"]:
                 busy[:] = done["batchId"] if done else 0, time.monotonic()
-            elif done["batchId"] > busy[0] + 2 and time.monotonic() - busy[1] > idle_seconds:
-                break
+            elif done["batchId"] > busy[0] + 2 and (idle := time.monotonic() - busy[1]) > idle_seconds:
+                # Best between two micro-batches; one that is cut off has nothing to give.
+                if not query.status["isTriggerActive"] or idle > idle_seconds + 2:
+                    break
     finally:
         query.stop()
     return spark.read.parquet(f"{path}/bars").drop("batch"), spark.read.parquet(f"{path}/late").drop("batch")
