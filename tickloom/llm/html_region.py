@@ -7,8 +7,8 @@ words by the elements they stand in. One linear scan finds the contiguous run of
 with the largest sum. Inside that run, words of menus, forms, notices and the like are
 left out, unless such an element wraps the page.
 
-Weights come from at most ``LABELLED_PAGES`` marked pages, chosen by a hash of the page,
-and are a few numbers per tag name. Pages are independent: nothing else is shuffled.
+Weights come from at most ``LABELLED_PAGES`` marked pages of up to ``LABELLED_CHARS``
+characters, chosen by a hash of the page, and are a few numbers per tag name. Pages are independent: nothing else is shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql.functions import pandas_udf
 
 from tickloom.llm.common import hashed_sample, short_batches, table
 
-LABELLED_PAGES = 400
+#: Pages that weights are learned from, and the longest of them: what is sent to the driver has a bound in bytes too.
+LABELLED_PAGES, LABELLED_CHARS = 400, 1_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)"
@@ -207,7 +208,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def learned_weights(pages: DataFrame, html_col: str = "html", max_pages: int = LABELLED_PAGES) -> dict[str, float]:
-    marked = pages.select(F.col(html_col).alias("h")).where(F.col("h").rlike(r"(?i)<(article|main)\b"))
+    marked = pages.select(F.col(html_col).alias("h")).where((F.length("h") <= LABELLED_CHARS) & F.col("h").rlike(r"(?i)<(article|main)\b"))
     return learn(sorted(r["h"] for r in hashed_sample(marked, F.col("h"), max_pages).collect()))
 
 

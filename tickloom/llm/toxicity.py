@@ -235,7 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLE
 
 def cross_fitted(x: np.ndarray, y: np.ndarray, fold: np.ndarray, terms: list[tuple[str, int]], by_fold: list[list[tuple[str, int]]]) -> np.ndarray:
     """Probability of toxic of each text by the votes of the voters that the other fold has chosen, without its own label."""
-    p = y.copy()
+    p = y.astype(float)
     patterns = range(len(terms), len(terms) + len(PATTERN_VOTERS))
     for k in (0, 1):
         mine = [terms.index(t) for t in by_fold[k]] + [*patterns]
