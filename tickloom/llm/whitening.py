@@ -71,7 +71,8 @@ def summed(rows: DataFrame, of_rows: Callable[[np.ndarray], np.ndarray], d: int,
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "value"])
 
     found = rows.mapInArrow(partial, f"i bigint, value {kind}").groupBy("i").agg(F.sum(F.col("value").cast("decimal(38,0)") if kind == "bigint" else F.col("value")).alias("value"))
-    return np.array([r.value for r in found.orderBy("i").collect()])
+    sums = {r.i: r.value for r in found.collect()}
+    return np.array([sums[i] for i in range(len(sums))])
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> Rows:
