@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.session import shared_path
-from tickloom.sources import store
+from tickloom.sources import artifacts, store
 from tickloom.sources.market import DataNotFound
 
 DAY = dt.date(2024, 1, 1)
@@ -63,3 +63,20 @@ def test_nothing_stored(spark):
     store.write_days(bars(spark, 1), origin)
     got, where = store.cached(spark, store.Request(origin, "1h", "1d", ("none",)), cache, True)
     assert where == "origin" and got.count() == 0
+
+
+def test_upkeep_of_stored_frames(spark):
+    path, to = shared_path(spark, "frame"), shared_path(spark, "frame")
+    df = bars(spark)
+    artifacts.save_frame(df.repartition(7), path, {"signals": ["s"]})
+    artifacts.compact(spark, path, to)
+    got, about = artifacts.load_frame(spark, to)
+    assert rows(got) == rows(df) and about == {"signals": ["s"]}
+    files = [f for f in got.inputFiles()]
+    assert len(files) == 3 < len(artifacts.load_frame(spark, path)[0].inputFiles())
+    hour = 3600.0
+    versions = spark.createDataFrame([(f"v{k}", 1e9 - k * 100 * hour) for k in range(5)], "path string, written double")
+    assert sorted(r.path for r in artifacts.expired(versions, keep=2, now=1e9).collect()) == ["v2", "v3", "v4"]
+    assert sorted(r.path for r in artifacts.expired(versions, keep=4, now=1e9).collect()) == ["v4"] and artifacts.expired(versions.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        artifacts.expired(versions, hours=1)
