@@ -1,7 +1,6 @@
 from collections import defaultdict
 
 import numpy as np
-import pytest
 
 from tickloom.llm import whitening
 
@@ -37,8 +36,8 @@ def compare(rows, ids, vectors, k=32, close=1e-7):
         assert min(np.abs(z[:, j] - want[:, j]).max(), np.abs(z[:, j] + want[:, j]).max()) < close, j
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
-def test_query_matches_eigh(spark, sf):
+def test_query_matches_eigh(spark):
+    sf = "/root/testdata/sf0.01"
     kept = [r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding is not None and all(c is not None and np.isfinite(c) for c in r.embedding)]
     rows = whitening.op13_whitening(spark, sf).collect()
     compare(rows, [r.vec_id for r in kept], [r.embedding for r in kept], min(32, len(kept) - 1), 1e-6)
