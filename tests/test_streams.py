@@ -98,6 +98,13 @@ def test_idle_bars_and_late_ticks(spark):
     assert [(r["product"], r.date, r.close, r.volume, r.seq) for r in aside.collect()] == [("a", T0, 9.0, 2.0, 7)]
 
 
+def test_a_stream_without_ticks_ends(spark, monkeypatch):
+    monkeypatch.setattr(idle_bars, "PATIENCE", 3.0)
+    replay = streams.replay(spark, ticks(spark, []), "ts")
+    bars, late = idle_bars.with_side_table(idle_bars.flushed_bars(replay, "1m"), 1.0)
+    assert bars.count() == late.count() == 0 and bars.columns[:3] == ["date", "product", "resolution"] and "seq" in late.columns
+
+
 def test_waits_are_shorter_than_bars(spark):
     with pytest.raises(ValueError):
         idle_bars.flushed_bars(ticks(spark, []), "1m", wait_seconds=60)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions.resolution import Resolution
@@ -20,6 +21,8 @@ from tickloom.operators.bars import shift_seconds
 from tickloom.session import shared_path
 from tickloom.streaming.order_books import keyed_state
 
+#: Seconds more that a drained stream is given to come to a micro-batch at all.
+PATIENCE = 60.0
 BAR = "start bigint, seen bigint, open double, high double, low double, close double, volume double"
 OUTPUT = "start bigint, product string, open double, high double, low double, close double, volume double, kind string, ts timestamp, seq bigint"
 
@@ -106,11 +109,13 @@ def with_side_table(stream: DataFrame, idle_seconds: float) -> tuple[DataFrame,
     spark = stream.sparkSession
     path = shared_path(spark, "flushed")
     busy = [0, time.monotonic()]  # the last micro-batch that read or gave rows, and when
+    started = [False]
 
     def write(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
         rows.where("kind = 'bar'").drop("kind", "ts", "seq").write.mode("overwrite").parquet(f"{path}/bars/batch={batch}")
         rows.where("kind = 'late'").drop("open", "high", "low", "kind").write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
+        started[0] = True
         if not rows.isEmpty():
             busy[:] = batch, time.monotonic()
         rows.unpersist()
@@ -119,13 +124,14 @@ def with_side_table(stream: DataFrame, idle_seconds: float) -> tuple[DataFrame,
     try:
         while not query.awaitTermination(0.1):
             # A stream with timers always has a next micro-batch, so there is no moment when all is processed.
-            done = query.lastProgress
-            if not done or done["numInputRows"]:
+            done, idle = query.lastProgress, time.monotonic() - busy[1]
+            if query.status["isDataAvailable"] or (done and done["numInputRows"]):
                 busy[:] = done["batchId"] if done else 0, time.monotonic()
-            elif done["batchId"] > busy[0] + 2 and (idle := time.monotonic() - busy[1]) > idle_seconds:
+            elif idle > idle_seconds and (idle > idle_seconds + PATIENCE or (done and done["batchId"] > busy[0] + 2)):
                 # Best between two micro-batches; one that is cut off has nothing to give.
                 if not query.status["isTriggerActive"] or idle > idle_seconds + 2:
                     break
     finally:
         query.stop()
-    return spark.read.parquet(f"{path}/bars").drop("batch"), spark.read.parquet(f"{path}/late").drop("batch")
+    bars, late = (T.StructType([f for f in stream.schema if f.name not in gone]) for gone in (("kind", "ts", "seq"), ("open", "high", "low", "kind")))
+    return tuple(spark.read.schema(kept).parquet(f"{path}/{name}/*") if started[0] else spark.createDataFrame([], kept) for name, kept in (("bars", bars), ("late", late)))
