@@ -36,6 +36,17 @@ def test_base_spans(spark, sf):
         assert [(s.start, s.kind, s.name, s.stop) for s in r.s] == base_spans(texts[r.doc_id]), r
 
 
+def test_counts_of_base_spans(spark, tmp_path):
+    """Two hex runs stand second and third among a document's spans, and one alone is first."""
+    texts = [*ODD, "0123456789abcdef", "f" * 16 + " AKIA" + "Z" * 14 + " " + "e" * 20, "api_key='abcdefghijklmno' PassWord=ABCDEFGHIJKL"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.op10_secrets(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        found = base_spans(t)
+        digest = hashlib.sha256(",".join(f"{name}:{a}:{b}" for a, _, name, b in found).encode()).hexdigest()
+        assert got[i] == (*(sum(f[1] == k for f in found) for k in range(3)), digest), t
+
+
 def test_weak_parts_need_each_other(spark):
     df = spark.createDataFrame([(0, ODD[3]), (1, ODD[4]), (2, f"AKIA{'A' * 20}" + " x" * 200 + f" {KEY}")], "doc_id long, text string")
     got = {r.doc_id: (r.all, r.masked) for r in secrets.find_secrets(df, ["doc_id", "text"]).select("doc_id", secrets.listed(secrets.F.col("spans")).alias("all"), secrets.masked(secrets.F.col("text"), secrets.F.col("spans")).alias("masked")).collect()}

@@ -117,6 +117,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"], s["stop"])), ",")
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    """How many spans are of a kind. A second parameter of the function would be taken for the place in the array."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
     """Text with every span, and spans that overlap as one, replaced by ``mask``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
@@ -138,7 +143,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(BASE)],
+        *[count_of(F.col("spans"), k).alias(f"n_{name}") for k, name in enumerate(BASE)],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
