@@ -1,5 +1,8 @@
 import datetime as dt
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +101,26 @@ def test_idle_bars_and_late_ticks(spark):
     assert [(r["product"], r.date, r.close, r.volume, r.seq) for r in aside.collect()] == [("a", T0, 9.0, 2.0, 7)]
 
 
+def test_blocks_of_ticks_become_parts_of_bars(monkeypatch):
+    """What reaches a product's task grows with blocks and bars, not with ticks, and holds every tick."""
+    monkeypatch.setattr(idle_bars, "BLOCK_ROWS", 2_000)
+    rnd = random.Random(1)
+    rows = [(rnd.choice("ab"), rnd.randrange(-5, 15), i, rnd.randrange(99) / 4, 1.0) for i in range(10_000)]
+    names = ("product", "micros", "seq", "price", "volume")
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 500])], names) for a in range(0, len(rows), 500)]
+    parts = [r for b in idle_bars.bar_parts(10, 3)(iter(batches)) for r in b.to_pylist()]
+    assert len(parts) <= 5 * 2 * 4 and {p["start"] for p in parts} == {-7, 3, 13}
+    held = []
+    for p in parts:
+        ticks = np.frombuffer(p["ticks"], idle_bars.TICK).tolist()
+        assert ticks == sorted(ticks) and all(p["start"] <= t[0] < p["start"] + 10 for t in ticks)
+        prices = [t[2] for t in ticks]
+        assert (p["open"], p["high"], p["low"], p["close"], p["volume"]) == (prices[0], max(prices), min(prices), prices[-1], len(ticks))
+        assert ((p["first"], p["first_seq"]), (p["last"], p["last_seq"])) == (ticks[0][:2], ticks[-1][:2])
+        held += [(p["product"], *t) for t in ticks]
+    assert sorted(held) == sorted(rows)
+
+
 def test_a_stream_without_ticks_ends(spark, monkeypatch):
     monkeypatch.setattr(idle_bars, "PATIENCE", 3.0)
     replay = streams.replay(spark, ticks(spark, []), "ts")

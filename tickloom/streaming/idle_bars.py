@@ -4,13 +4,21 @@ Each product has its open bar as state. A tick of a later bar closes it. Where n
 timer does, by the clock: what is left of the bar when its last tick has been seen, and a wait of
 a tenth of a bar unless told otherwise, at a replay's ``speed`` (seconds of data in a second). A
 tick of a bar that is out already is late; it is given out as such instead of being lost.
+
+Whether a tick is late depends on its product's state before its micro-batch alone, since a
+micro-batch's ticks count in order of time. So tasks that read ticks first make parts of bars of
+a block of ticks, each with its ticks as packed numbers, and a product's task puts parts together;
+it opens the packed ticks of late parts only. What a task holds is a block of ticks, or a row
+for each bar that a product has in a micro-batch.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,20 +31,61 @@ from tickloom.streaming.order_books import keyed_state
 
 #: Seconds more that a drained stream is given to come to a micro-batch at all.
 PATIENCE = 60.0
+#: Ticks of a block.
+BLOCK_ROWS = 200_000
+TICK = np.dtype([("micros", "<i8"), ("seq", "<i8"), ("price", "<f8"), ("volume", "<f8")])
 BAR = "start bigint, seen bigint, open double, high double, low double, close double, volume double"
-OUTPUT = "start bigint, product string, open double, high double, low double, close double, volume double, kind string, ts timestamp, seq bigint"
+PART = "product string, start bigint, first bigint, first_seq bigint, last bigint, last_seq bigint, open double, high double, low double, close double, volume double, ticks binary"
+OUTPUT = "start bigint, product string, open double, high double, low double, close double, volume double, kind string, micros bigint, seq bigint"
 
 
 def _bar(product: str, bar: tuple) -> Row:
     start, _, *prices = bar
-    return Row(start=start, product=product, **dict(zip(("open", "high", "low", "close", "volume"), prices)), kind="bar", ts=None, seq=None)
+    return Row(start=start, product=product, **dict(zip(("open", "high", "low", "close", "volume"), prices)), kind="bar", micros=None, seq=None)
+
+
+def _parts(batches: list[pa.RecordBatch], width: int, offset: int) -> pa.RecordBatch:
+    """Parts of bars of a block of ticks (product, micros, seq, price, volume)."""
+    product, *numbers = pa.Table.from_batches(batches).combine_chunks().columns
+    products = product.combine_chunks().dictionary_encode()
+    code = products.indices.to_numpy(zero_copy_only=False)
+    ticks = np.empty(len(code), dtype=TICK)
+    for name, column in zip(TICK.names, numbers):
+        ticks[name] = column.to_numpy()
+    order = np.lexsort((ticks["seq"], ticks["micros"], code))
+    code, ticks = code[order], ticks[order]
+    start = (ticks["micros"] - offset) // width * width + offset
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (start[1:] != start[:-1])])
+    last = np.r_[first[1:], len(code)] - 1
+    price = np.ascontiguousarray(ticks["price"])
+    columns = [products.dictionary.take(pa.array(code[first])), start[first], ticks["micros"][first], ticks["seq"][first], ticks["micros"][last], ticks["seq"][last]]
+    columns += [price[first], np.maximum.reduceat(price, first), np.minimum.reduceat(price, first), price[last], np.add.reduceat(ticks["volume"], first)]
+    columns.append(pa.array([ticks[a : b + 1].tobytes() for a, b in zip(first.tolist(), last.tolist())], pa.binary()))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in PART.split(", ")])
+
+
+def bar_parts(width: int, offset: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parts of bars of a task's ticks, block by block."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_ROWS:
+                yield _parts(held, width, offset)
+                held, n = [], 0
+        if n:
+            yield _parts(held, width, offset)
+
+    return parts
 
 
 class OpenBars(StatefulProcessor):
     """A product's open bar, and the start of the first bar that is not out yet."""
 
-    def __init__(self, width: int, offset: int, wait: float, speed: float):
-        self.width, self.offset, self.wait, self.speed = width, offset, wait, speed
+    def __init__(self, width: int, wait: float, speed: float):
+        self.width, self.wait, self.speed = width, wait, speed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -47,18 +96,26 @@ class OpenBars(StatefulProcessor):
         product, width = key[0], self.width
         bar = tuple(self.bar.get()) if self.bar.exists() else None
         after = self.after.get()[0] if self.after.exists() else None
-        out = []
-        for r in sorted(rows, key=lambda r: (r.micros, r.seq)):
-            start = (r.micros - self.offset) // width * width + self.offset
-            if after is not None and start < after:
-                out.append(Row(start=start, product=product, open=None, high=None, low=None, close=r.price, volume=r.volume, kind="late", ts=r.ts, seq=r.seq))
-            elif bar is not None and start == bar[0]:
-                _, _, o, high, low, _, volume = bar
-                bar = (start, r.micros, o, max(high, r.price), min(low, r.price), r.price, volume + r.volume)
+        fresh = {}
+        for r in rows:
+            if after is not None and r.start < after:
+                for micros, seq, price, volume in np.frombuffer(r.ticks, TICK).tolist():
+                    yield Row(start=r.start, product=product, open=None, high=None, low=None, close=price, volume=volume, kind="late", micros=micros, seq=seq)
+                continue
+            first, last = (r.first, r.first_seq, r.open), (r.last, r.last_seq, r.close)
+            if r.start in fresh:
+                a, b, high, low, volume = fresh[r.start]
+                fresh[r.start] = (min(a, first), max(b, last), max(high, r.high), min(low, r.low), volume + r.volume)
+            else:
+                fresh[r.start] = (first, last, r.high, r.low, r.volume)
+        for start in sorted(fresh):
+            first, last, high, low, volume = fresh[start]
+            if bar is not None and start == bar[0]:
+                bar = (start, last[0], bar[2], max(bar[3], high), min(bar[4], low), last[2], bar[6] + volume)
             else:
                 if bar is not None:
-                    out.append(_bar(product, bar))
-                bar, after = (start, r.micros, r.price, r.price, r.price, r.price, r.volume), start
+                    yield _bar(product, bar)
+                bar, after = (start, last[0], first[2], high, low, last[2], volume), start
         if bar is not None:
             self.bar.update(bar)
             self.after.update((after,))
@@ -66,7 +123,6 @@ class OpenBars(StatefulProcessor):
                 self.handle.deleteTimer(old)
             left = (bar[0] + width - bar[1]) / 1e6 + self.wait
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, int(1000 * left / self.speed)))
-        yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.bar.exists():
@@ -94,10 +150,11 @@ def flushed_bars(ticks: DataFrame, resolution: str, wait_seconds: float | None =
         raise ValueError("the wait is shorter than a bar")
     keyed_state(ticks.sparkSession)
     known = ticks.dropna(subset=["product", "ts", "price"])
-    plain = known.select("product", F.col("ts").cast("timestamp").alias("ts"), F.col("price").cast("double").alias("price"), F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"), F.coalesce(F.col("seq").cast("bigint"), F.lit(0)).alias("seq"))
-    plain = plain.withColumn("micros", F.unix_micros("ts"))
-    bars = plain.groupBy("product").transformWithState(OpenBars(s * 1_000_000, shift_seconds(r, shift) * 1_000_000, wait, speed), OUTPUT, "append", "ProcessingTime")
-    return bars.select(F.timestamp_micros("start").alias("date"), "product", F.lit(str(r)).alias("resolution"), "open", "high", "low", "close", "volume", "kind", "ts", "seq")
+    volume, seq = F.coalesce(F.col("volume").cast("double"), F.lit(0.0)), F.coalesce(F.col("seq").cast("bigint"), F.lit(0))
+    plain = known.select(F.col("product").cast("string").alias("product"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), seq.alias("seq"), F.col("price").cast("double").alias("price"), volume.alias("volume"))
+    parts = plain.mapInArrow(bar_parts(s * 1_000_000, shift_seconds(r, shift) * 1_000_000), PART)
+    bars = parts.groupBy("product").transformWithState(OpenBars(s * 1_000_000, wait, speed), OUTPUT, "append", "ProcessingTime")
+    return bars.select(F.timestamp_micros("start").alias("date"), "product", F.lit(str(r)).alias("resolution"), "open", "high", "low", "close", "volume", "kind", F.timestamp_micros("micros").alias("ts"), "seq")
 
 
 def with_side_table(stream: DataFrame, idle_seconds: float) -> tuple[DataFrame, DataFrame]:
