@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -71,6 +72,13 @@ def test_pieces_do_not_matter(monkeypatch, size):
     assert got == Counter((i, bucket(f)) for i, t in enumerate(texts) for f in features(t)[0])
 
 
+def test_many_short_texts_of_a_piece_take_seconds():
+    """A piece's words are gathered once, not copied again for each text."""
+    began = time.time()
+    words = [len(piece[0]) for piece in resampling.pieces(["ab cd ef gh"] * 80_000)]
+    assert words == [320_000] and time.time() - began < 5
+
+
 def odd_docs():
     vocabulary = [f"w{i}" for i in range(60)] + ["Été", "NAÏVE", "x" * 3000, "日本語"]
     docs = [(i, " ".join(rnd.choice(vocabulary[: rnd.choice((20, 64))]) for _ in range(rnd.choice((0, 5, 19, 20, 21, 80))))) for i in range(300)]

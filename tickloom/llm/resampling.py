@@ -70,10 +70,10 @@ def buckets_of(words: list[bytes], doc: np.ndarray, fresh: np.ndarray) -> tuple[
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     data = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    number = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))[number]
     start = np.cumsum(sizes + 1) - sizes - 1
-    known: dict[bytes, int] = {}
-    number = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
     run, owners, firsts, lengths, places, found = np.zeros(len(words), np.int64), [], [], [], [], 0
     for n in range(1, LONGEST_RUN + 1):
         if len(words) < n:
@@ -110,7 +110,8 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, n
             end = folded.find(b" ", at + PIECE_BYTES - held)
             end = len(folded) if end < 0 else end
             new = folded[at:end].split()
-            words = words + carried + new if words else carried + new
+            words += carried
+            words += new
             doc.append(np.full(len(carried) + len(new), i))
             fresh.append(np.arange(len(carried) + len(new)) >= len(carried))
             held, at, carried = held + end - at, end, (carried + new)[1 - LONGEST_RUN :]
