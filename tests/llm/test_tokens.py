@@ -109,6 +109,16 @@ def test_encoder_matches_library(library, monkeypatch):
         assert [x[:-1].tolist() for x in e.encode(TEXTS)] == [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_plain_pieces_go_to_the_model_at_once(library):
+    """New lower-case ASCII pieces cost no pass of the library's normalizer and splitter, and have the same ids."""
+    e = token_files.Encoder(P.path(token_files.TOKENIZER), None)
+    whole, asked = e._whole, []
+    e._whole = lambda text: asked.append(text) or whole(text)
+    texts = ["".join(rnd.choice("abcdefgh ijk'st.,!?0129 \n") for _ in range(200)) for _ in range(200)] + ["the" * 500, "i'll don't 12,5 -- ~~~", "caf\u00e9 bar", "a\x00b a\x7fb"]
+    assert [x.tolist() for x in e.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked == ["caf\u00e9", "\x00", "\x7f"]
+
+
 def test_every_code_point_below_256(library):
     """\\x1c to \\x1f are white space to Python alone."""
     path = P.path("word_bpe_49k.json")

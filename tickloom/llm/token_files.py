@@ -182,19 +182,32 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = [p.get("pattern", {}).get("Regex") for p in pre.get("pretokenizers", []) if p["type"] == "Split"] == [PIECES]
+        # Such tokenizers leave a lower-case piece of printable ASCII as it is, so it can go to their model at once.
+        normal = spec.get("normalizer") or {}
+        normal = {n["type"]: n for n in normal.get("normalizers", [normal] if normal else [])}
+        spaces = normal.pop("Replace", {"pattern": {"Regex": r"\s+"}})["pattern"]
+        last = pre["pretokenizers"][1:] if self.by_word else []
+        self.direct = spaces == {"Regex": r"\s+"} and normal.keys() <= {"NFC", "Lowercase"} and [(p["type"], p.get("use_regex"), p.get("add_prefix_space")) for p in last] == [("ByteLevel", False, False)]
+        self.model = self.library.model
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special) or r"(?!)")
         size = max(self.library.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1)
         self.width = 2 if size <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
-        self.pieces = Memory(self._whole)
+        self.pieces = Memory(self._piece)
         self.words = Memory(self._word)
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def _piece(self, piece: str) -> bytes:
+        if not (self.direct and piece.isascii() and piece.isprintable()):
+            return self._whole(piece)
+        ids = [token.id for token in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def _word(self, word: str) -> bytes:
         if word.isalpha():
             return self.pieces[word]
