@@ -121,6 +121,27 @@ def test_blocks_of_ticks_become_parts_of_bars(monkeypatch):
     assert sorted(held) == sorted(rows)
 
 
+def test_a_bar_has_one_part_of_scattered_ticks(spark):
+    """Ticks of a bar lie in all tasks that read; a product's task has one row a bar, however many these are."""
+    plain = spark.range(0, 12_000, 1, 6).selectExpr("if(id % 2 = 0, 'a', 'b') AS product", "id * 7 % 2000 - 500 AS micros", "id AS seq", "CAST(id % 9 AS DOUBLE) AS price", "1D AS volume")
+    parts = idle_bars.parts_by_bar(plain, 10, 3).select("product", "start", "volume").collect()
+    assert len(parts) == len({(p["product"], p.start) for p in parts}) and sum(p.volume for p in parts) == 12_000
+    assert {p.start for p in parts} == set(range(-507, 1500, 10))
+
+
+def test_states_have_few_tasks_whatever_shuffles_have(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(idle_bars, "shared_path", lambda _, what: f"file://{tmp_path}/{what}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        replay = streams.replay(spark, ticks(spark, [("a", 0, 1.0, 1.0), ("b", 70, 2.0, 1.0)]), "ts", files=1)
+        bars, _ = idle_bars.with_side_table(idle_bars.flushed_bars(replay, "1m", speed=600.0), 1.0)
+        assert bars.count() == 2 and spark.conf.get("spark.sql.shuffle.partitions") == "30"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < len([p for p in tmp_path.glob("flushed/checkpoint/state/0/*") if p.name.isdigit()]) <= max(idle_bars.STATE_TASKS, spark.sparkContext.defaultParallelism)
+
+
 def test_a_stream_without_ticks_ends(spark, monkeypatch):
     monkeypatch.setattr(idle_bars, "PATIENCE", 3.0)
     replay = streams.replay(spark, ticks(spark, []), "ts")

@@ -6,20 +6,25 @@ a tenth of a bar unless told otherwise, at a replay's ``speed`` (seconds of data
 tick of a bar that is out already is late; it is given out as such instead of being lost.
 
 Whether a tick is late depends on its product's state before its micro-batch alone, since a
-micro-batch's ticks count in order of time. So tasks that read ticks first make parts of bars of
-a block of ticks, each with its ticks as packed numbers, and a product's task puts parts together;
-it opens the packed ticks of late parts only. What a task holds is a block of ticks, or a row
-for each bar that a product has in a micro-batch.
+micro-batch's ticks count in order of time. So ticks are first dealt out by bar, and tasks make
+parts of bars of a block of ticks, each with its ticks as packed numbers; a product's task puts
+parts together and opens the packed ticks of late parts only. What a task holds is a block of
+ticks, or a row for each bar that a product has in a micro-batch.
+
+A product's state is one bar, and each task of states costs a store and a Python worker in every
+micro-batch, with products or without. So there are as many as the cluster runs at once, however
+many partitions shuffles have.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,6 +38,9 @@ from tickloom.streaming.order_books import keyed_state
 PATIENCE = 60.0
 #: Ticks of a block.
 BLOCK_ROWS = 200_000
+#: Tasks that keep products' states where the cluster has fewer cores.
+STATE_TASKS = 8
+PARTITIONS = "spark.sql.shuffle.partitions"
 TICK = np.dtype([("micros", "<i8"), ("seq", "<i8"), ("price", "<f8"), ("volume", "<f8")])
 BAR = "start bigint, seen bigint, open double, high double, low double, close double, volume double"
 PART = "product string, start bigint, first bigint, first_seq bigint, last bigint, last_seq bigint, open double, high double, low double, close double, volume double, ticks binary"
@@ -81,6 +89,24 @@ def bar_parts(width: int, offset: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return parts
 
 
+def parts_by_bar(ticks: DataFrame, width: int, offset: int) -> DataFrame:
+    """Parts of bars of ticks (product, micros, seq, price, volume). One task has all ticks of a bar, so a bar has a part for each of its task's blocks."""
+    start = F.col("micros") - F.pmod(F.col("micros") - F.lit(offset), F.lit(width))
+    tasks = int(ticks.sparkSession.conf.get(PARTITIONS))
+    return ticks.repartition(tasks, "product", start).mapInArrow(bar_parts(width, offset), PART)
+
+
+@contextmanager
+def tasks_of_states(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile keep states in as many tasks as run at once; a stream has its own copy of the setting."""
+    before = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(min(int(before), max(spark.sparkContext.defaultParallelism, STATE_TASKS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
 class OpenBars(StatefulProcessor):
     """A product's open bar, and the start of the first bar that is not out yet."""
 
@@ -152,7 +178,7 @@ def flushed_bars(ticks: DataFrame, resolution: str, wait_seconds: float | None =
     known = ticks.dropna(subset=["product", "ts", "price"])
     volume, seq = F.coalesce(F.col("volume").cast("double"), F.lit(0.0)), F.coalesce(F.col("seq").cast("bigint"), F.lit(0))
     plain = known.select(F.col("product").cast("string").alias("product"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), seq.alias("seq"), F.col("price").cast("double").alias("price"), volume.alias("volume"))
-    parts = plain.mapInArrow(bar_parts(s * 1_000_000, shift_seconds(r, shift) * 1_000_000), PART)
+    parts = parts_by_bar(plain, s * 1_000_000, shift_seconds(r, shift) * 1_000_000)
     bars = parts.groupBy("product").transformWithState(OpenBars(s * 1_000_000, wait, speed), OUTPUT, "append", "ProcessingTime")
     return bars.select(F.timestamp_micros("start").alias("date"), "product", F.lit(str(r)).alias("resolution"), "open", "high", "low", "close", "volume", "kind", F.timestamp_micros("micros").alias("ts"), "seq")
 
@@ -177,7 +203,8 @@ def with_side_table(stream: DataFrame, idle_seconds: float) -> tuple[DataFrame,
             busy[:] = batch, time.monotonic()
         rows.unpersist()
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime="1 second").start()
+    with tasks_of_states(spark):
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime="1 second").start()
     try:
         while not query.awaitTermination(0.1):
             # A stream with timers always has a next micro-batch, so there is no moment when all is processed.
